@@ -129,7 +129,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = TRAIN_ROW
     return fit_matrix(x, [r["lang"] for r in bits])
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], model: Model, own: list[str]) -> Iterator[pa.RecordBatch]:
     names = np.array(model.languages + ["und"], object)
     for batch in batches:
         texts, langs, scores = batch.column("text"), [], []
@@ -142,18 +142,19 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Rec
                 best[found], top[found] = s.argmax(1), np.clip((s.max(1) + 1) / 2, 0, 1)
             langs += names[best].tolist()
             scores += top.tolist()
-        yield pa.RecordBatch.from_arrays([*batch.select([c for c in batch.schema.names if c != "text"]).columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*(c for c in batch.schema.names if c != "text"), "lang_pred", "score"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*own, "lang_pred", "score"])
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of ``docs`` but text, with lang_pred and score, for every row.
+def predict(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
+    """The columns of ``docs``, text only if ``keep_text``, with lang_pred and score, for every row.
 
     ``und`` with score 0 if the text is NULL or has no letter, or if nothing could be learned. The score is the winning
     regression's value, moved from -1..1 to 0..1 and cut there. Texts that equal each other get equal results.
     """
     others = [f for f in docs.schema.fields if f.name not in ("text", "lang_pred", "score")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "lang_pred string, score double"])
-    return docs.select(*(f"`{f.name}`" for f in others), "text").mapInArrow(partial(_predict, model=model), schema)
+    own = [f.name for f in others] + ["text"] * keep_text
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), *["text string"] * keep_text, "lang_pred string, score double"])
+    return docs.select(*(f"`{f.name}`" for f in others), "text").mapInArrow(partial(_predict, model=model, own=own), schema)
 
 
 def held_out():

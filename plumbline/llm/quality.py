@@ -166,6 +166,27 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 250) ->
     return theta, float(bias)
 
 
+def calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Platt's sigmoid, scale and shift, for smoothed targets: damped Newton steps on the standardized margin."""
+    mid, unit = float(margin.mean()), float(margin.std()) or 1.0
+    z = (margin - mid) / unit
+    pos, neg = (y == 1).sum(), (y == 0).sum()
+    target = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    loss = lambda t: float((np.logaddexp(0, t[0] * z + t[1]) - target * (t[0] * z + t[1])).sum())
+    t = np.array([1.0, 0.0])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-(t[0] * z + t[1])))
+        g, q = np.array([((p - target) * z).sum(), (p - target).sum()]), p * (1 - p)
+        h = np.array([[(q * z * z).sum(), (q * z).sum()], [(q * z).sum(), q.sum()]]) + 1e-6 * np.eye(2)
+        step, size = np.linalg.solve(h, g), 1.0
+        while size > 1e-6 and loss(t - size * step) > loss(t):
+            size /= 2
+        t = t - size * step
+        if abs(size * step).max() < 1e-9:
+            break
+    return float(t[0] / unit), float(t[1] - t[0] * mid / unit)
+
+
 def fit_matrix(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> Scorer:
     """Fit on four fifths of the rows, calibrate on the rest (Platt's sigmoid with smoothed targets)."""
     if len(y) == 0 or y.min() == y.max():
@@ -179,18 +200,7 @@ def fit_matrix(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> Scorer:
     b = bias - float(mean @ w)
     held = fold if fold.any() else ~fold
     margin, yy = x[held] @ w + b, y[held]
-    pos, neg = (yy == 1).sum(), (yy == 0).sum()
-    target = np.where(yy == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    a, c = 1.0, 0.0
-    for _ in range(100):  # Newton steps on two numbers
-        p = 1 / (1 + np.exp(-np.clip(a * margin + c, -30, 30)))
-        g = np.array([((p - target) * margin).sum(), (p - target).sum()]) + np.array([1e-3 * (a - 1), 1e-3 * c])
-        q = p * (1 - p)
-        h = np.array([[(q * margin * margin).sum() + 1e-3, (q * margin).sum()], [(q * margin).sum(), q.sum() + 1e-3]])
-        d = np.linalg.solve(h, g)
-        a, c = a - d[0], c - d[1]
-        if abs(d).max() < 1e-8:
-            break
+    a, c = calibrate(margin, yy)
     return Scorer(w[:WORDS].astype(np.float64), w[WORDS:].astype(np.float64), b, float(a), float(c))
 
 
