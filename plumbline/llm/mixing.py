@@ -15,7 +15,7 @@ from plumbline.operators.ranking import bucketed_prefix
 from plumbline.runtime import broadcast_checked, stage
 
 #: Documents of one source in a bucket of the shuffled order, about.
-PER_BUCKET = 20_000
+PER_BUCKET = 4_000
 
 
 def word_count(text: Column) -> Column:
@@ -71,17 +71,22 @@ _INVERT = """transform(takes, k -> transform(array(k.middle * area / target), a
     s -> s.t0 + CASE WHEN a <= s.before THEN 0D ELSE 2 * (a - s.before) / (s.w0 + sqrt(greatest(0D, s.w0 * s.w0 + 2 * (s.w1 - s.w0) / (s.t1 - s.t0) * (a - s.before)))) END)[0])[0])"""
 
 
-def assign(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5, limit: float = 2.0, schedule: DataFrame | None = None, seed: int = 11) -> DataFrame:
+def measured(docs: DataFrame, seed: int = 11) -> DataFrame:
+    """``docs`` with ``size`` and the hash ``_order`` that shuffles them."""
+    return docs.withColumn("size", word_count(F.col("text"))).withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", "text"))
+
+
+def assign(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5, limit: float = 2.0, schedule: DataFrame | None = None, sized: bool = False) -> DataFrame:
     """Every row of ``docs`` with size, source_size, target, taken, takes and positions.
 
     A source's documents are laid end to end in an order given by a hash of id and text, as often as ``limit`` asks; what
     lies before the source's target is taken, so the last document may be taken in part. ``takes`` has, for each pass in
     which a document is taken, its words and the middle of its place in the demand; ``positions`` the training times.
     NULL and empty texts have size 0 and are never taken; NULL is a source of its own; repeated rows are dealt with
-    one by one; without rows the result is empty.
+    one by one; without rows the result is empty. With ``sized``, docs comes from ``measured`` and needs no text.
     """
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "takes", "positions")]
-    rows = docs.select(*own).withColumn("size", word_count(F.col("text"))).withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", "text"))
+    own = [c for c in docs.columns if c not in ("size", "_order", "source_size", "target", "taken", "takes", "positions")]
+    rows = docs if sized else measured(docs.select(*own))
     sizes = stage(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), "sizes")
     if schedule is None:
         schedule = cyclic_schedule(sizes, list(weights))
@@ -117,5 +122,5 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    out = assign(docs).select("doc_id", "size", "source_size", "target", "taken", "source", F.try_element_at("positions", F.lit(1)).alias("first_position"))
+    out = assign(stage(measured(docs).drop("text"), "measured"), sized=True).select("doc_id", "size", "source_size", "target", "taken", "source", F.try_element_at("positions", F.lit(1)).alias("first_position"))
     return out.repartitionByRange(F.col("first_position").asc_nulls_last(), F.col("doc_id")).sortWithinPartitions(F.col("first_position").asc_nulls_last(), "doc_id")

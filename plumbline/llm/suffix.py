@@ -244,13 +244,14 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = GRAM, most: i
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_th"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     pieces = stage(keyed.mapInArrow(partial(_cut_up, length=length, gram=gram), f"doc_id {kind}, _th long, start int, size int, anchor long, content long"), "pieces")
-    again = pieces.groupBy("anchor").count().where("count > 1").select("anchor")
+    # tables of keys are staged: a join with a staged side is split where a key is hot
+    again = stage(pieces.groupBy("anchor").count().where("count > 1").select("anchor"), "again")
     likely = stage(pieces.join(again, "anchor", "left_semi"), "likely")
-    unstage(pieces)
+    unstage(pieces, again)
     different = stage(likely.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "_th", "start", "size")).alias("one")), "different")
-    several = different.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    wanted = different.where("n = 1").select("anchor").distinct()  # an anchor whose pieces are all repeated as a whole is done
-    sought = different.join(several, "anchor").join(wanted, "anchor", "left_semi").select("anchor", "content", "one.*", (F.col("kinds") > most).alias("crowded"))
+    # an anchor with one piece, or whose pieces are all repeated as a whole, is done
+    several = stage(different.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("_fewest")).where("kinds > 1 AND _fewest = 1").drop("_fewest"), "several")
+    sought = different.join(several, "anchor").select("anchor", "content", "one.*", (F.col("kinds") > most).alias("crowded"))
     lists = sought.groupBy(F.col("doc_id").alias("_id"), F.col("_th").alias("_t")).agg(F.collect_list(F.struct("anchor", "content", "crowded", "start", "size")).alias("pieces"))
     texts = keyed.join(lists, keyed["doc_id"].eqNullSafe(lists["_id"]) & (keyed["_th"] == lists["_t"]))
     fetched = stage(texts.select("text", "pieces").mapInArrow(_fetch, "anchor long, content long, crowded boolean, piece binary"), "fetched")
@@ -260,7 +261,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = GRAM, most: i
     twice = windows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
     counted = windows.join(twice, ["w1", "w2"], "left_semi").select("anchor", "content", "lo", (F.col("lo") + length).alias("hi"))
     whole = different.where("n > 1").select("anchor", "content", F.lit(0).alias("lo"), F.col("one.size").alias("hi"))
-    ranges = whole.union(marked).union(counted).groupBy("anchor", "content").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    ranges = stage(whole.union(marked).union(counted).groupBy("anchor", "content").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges")
     found = likely.join(ranges, ["anchor", "content"]).select("doc_id", "_th", F.expr("transform(ranges, r -> struct(r.lo + start AS lo, r.hi + start AS hi))").alias("ranges"))
     return found.groupBy("doc_id", "_th").agg(F.flatten(F.collect_list("ranges")).alias("spans"))
 
