@@ -1,25 +1,33 @@
-"""Ids by the tokenizers library, with a bounded cache of short chunks that it encodes independently of their neighbours."""
+"""Ids by the tokenizers library, with a bounded cache of chunks that it encodes independently of their neighbours."""
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Chunks longer than this are encoded but not kept; the cache is emptied when it has this many chunks.
-LONGEST, MOST = 48, 400_000
-_ODD_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+#: Chunks longer than this are encoded but not kept; the cache holds two generations of so many chunks each.
+LONGEST, MOST = 48, 600_000
+#: Chunks that are encoded in one call.
+TOGETHER = 2_000
+_ODD_SPACE = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+#: Below U+0300 nothing composes, and all letters but one have a lower case of one character.
+_NOT_PLAIN = re.compile("[^\\0-\u012f\u0131-\u02ff]|<\\|")
+#: Punctuation after a letter: both tokenizers' patterns cut between the two.
+_TAIL = re.compile(r"(.*[A-Za-zÀ-ÖØ-öø-ɏ])([.,;:!?*$%&#]+)", re.DOTALL)
 
 
 class ChunkEncoder:
     """Encodes whole texts to little-endian unsigned 32-bit ids.
 
     Text is cut where the tokenizer's own pre-tokenizer always cuts, so ids of chunks laid end to end are the ids of the
-    text. ``space``: the tokenizer drops white space ("drop") or binds one space to the word after it ("lead"). With
-    "lead", a text with runs of white space or unusual white space is encoded whole.
+    text. ``space``: the tokenizer drops white space and case ("drop") or binds one space to the word after it ("lead"). With
+    "lead", a text with runs of white space or unusual white space is encoded whole. Chunks in use move to the younger
+    generation of the cache; when that is full the older one is dropped, so rare chunks go and frequent ones stay.
     """
 
     def __init__(self, path: str, space: str):
@@ -27,14 +35,50 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.lead = space == "lead"
-        self.kept: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        if self.lead:  # tokens that begin with a space
+            self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token[:1] == "Ġ"]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks; those that stand after a space are encoded together and told apart by the tokens that begin with it."""
+        if not self.lead:
+            return self._ids(chunks)
+        if any(w[:1] == "\n" for w in chunks):
+            return self._ids([w if w[:1] == "\n" else " " + w for w in chunks])
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(self.opens[ids])
+        if len(at) != len(chunks):
+            return self._ids([" " + w for w in chunks])
+        raw, cuts = ids.tobytes(), (4 * np.append(at, len(ids))).tolist()
+        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _learn(self, missing: list[str]) -> None:
+        """Put the ids of chunks into the young generation; trailing punctuation is encoded apart."""
+        parts = {w: m.groups() for w in missing if (m := _TAIL.fullmatch(w))}
+        heads = {h for h, _ in parts.values()} - self.young.keys()
+        alone = [w for w in heads.union(w for w in missing if w not in parts)]
+        for group in ([w for w in alone if w[:1] != "\n"], [w for w in alone if w[:1] == "\n"]):
+            for at in range(0, len(group), TOGETHER):
+                part = group[at : at + TOGETHER]
+                self.young.update(zip(part, self._chunk_ids(part), strict=True))
+        tails = sorted({t for _, t in parts.values()} - self.tails.keys())
+        if len(self.tails) > MOST:
+            self.tails.clear()
+            tails = sorted({t for _, t in parts.values()})
+        self.tails.update(zip(tails, self._ids(tails), strict=True))
+        self.young.update((w, self.young[h] + self.tails[t]) for w, (h, t) in parts.items())
 
     def _chunks(self, text: str) -> tuple[str | None, list[str]] | None:
         """The first word and the other chunks; None if the text must be encoded whole."""
         if not self.lead:
+            if not _NOT_PLAIN.search(text):
+                text = text.lower()
             return None, text.replace("\n", " ").split(" ")
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1:] in (" ", "\n") or text[:1] in (" ", "\n") or _ODD_SPACE.search(text):
             return None
@@ -43,25 +87,24 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self._chunks(t) if t else (None, []) for t in texts]
+        if len(self.young) > MOST:
+            self.young, self.old = {}, self.young
         wanted: set[str] = set()
         for c in cut:
             if c:
                 wanted.update(c[1])
-        if len(self.kept) > MOST:
-            self.kept.clear()
-        kept = self.kept
-        missing = [w for w in wanted if w not in kept]
-        longer = {}
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            for w, ids in zip(part, self._ids([w if not self.lead or w[:1] == "\n" else " " + w for w in part]), strict=True):
-                (kept if len(w) <= LONGEST else longer)[w] = ids
-        find = kept.__getitem__ if not longer else lambda w: kept[w] if w in kept else longer[w]
+        missing = wanted - self.young.keys()
+        again = missing & self.old.keys()
+        self.young.update((w, self.old[w]) for w in again)
+        self._learn(list(missing - again))
         alone = [i for i, c in enumerate(cut) if c is None]
         whole = dict(zip(alone, self._ids([texts[i] for i in alone]), strict=True)) if alone else {}
         leads = [i for i, c in enumerate(cut) if c and c[0]]
         first = dict(zip(leads, self._ids([cut[i][0] for i in leads]), strict=True)) if leads else {}
-        return [whole[i] if c is None else first.get(i, b"") + b"".join(map(find, c[1])) for i, c in enumerate(cut)]
+        out = [whole[i] if c is None else first.get(i, b"") + b"".join(map(self.young.__getitem__, c[1])) for i, c in enumerate(cut)]
+        for w in [w for w in self.young.keys() & missing if len(w) > LONGEST]:
+            del self.young[w]
+        return out
 
 
 _encoders: dict[tuple[str, str], ChunkEncoder] = {}
