@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.tokenizing import encoder, tokenizer_path
+from plumbline.llm.tokenizing import encoder, text_blocks, tokenizer_path
 from plumbline.operators.ranking import bucketed_prefix
 from plumbline.runtime import stage
 
@@ -146,8 +146,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str | None, name: str
     end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
         texts, row, piece, start, length, crc = batch.column("text"), [], [], [], [], []
-        for at in range(0, len(texts), 500):
-            for r, ids in enumerate(encode(texts.slice(at, 500).to_pylist()), at):
+        for at, upto in text_blocks(texts):
+            for r, ids in enumerate(encode(texts.slice(at, upto - at)), at):
                 ids += end
                 n = len(ids) // 4
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.tokenizing import encoder, tokenizer_path
+from plumbline.llm.tokenizing import encoder, text_blocks, tokenizer_path
 from plumbline.runtime import broadcast_checked, stage
 
 MAGIC = b"RPG1"
@@ -161,8 +161,8 @@ def _write(batches: Iterator[pa.RecordBatch], tokenizer: str | None, name: str |
 
     for batch in batches:
         texts, doc_ids = batch.column("text"), batch.column("doc_id").to_pylist()
-        for at in range(0, len(texts), 500):
-            for r, x in enumerate(encode(texts.slice(at, 500).to_pylist()), at):
+        for at, upto in text_blocks(texts):
+            for r, x in enumerate(encode(texts.slice(at, upto - at)), at):
                 keys.append(doc_ids[r])
                 ids.append(x + end)
                 n += len(x) // 4 + 1

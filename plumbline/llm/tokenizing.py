@@ -7,6 +7,10 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from plumbline.llm import bytewise
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -14,11 +18,15 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 LONGEST, MOST = 48, 600_000
 #: Chunks that are encoded in one call.
 TOGETHER = 2_000
-_ODD_SPACE = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+#: Texts with runs of white space, white space at an end, other white space than " " and "\n", or the mark of first chunks.
+_ODD = r"  |\n\n| \n|\n |[ \n]\z|\A[ \n]|[\x00\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Below U+0300 nothing composes, and all letters but one have a lower case of one character.
-_NOT_PLAIN = re.compile("[^\\0-\u012f\u0131-\u02ff]|<\\|")
-#: Punctuation after a letter: both tokenizers' patterns cut between the two.
-_TAIL = re.compile(r"(.*[A-Za-zÀ-ÖØ-öø-ɏ])([.,;:!?*$%&#]+)", re.DOTALL)
+_NOT_PLAIN = r"[^\x00-\x{12f}\x{131}-\x{2ff}]|<\|"
+#: A word of lower or plain letters, and punctuation after it: both tokenizers' patterns cut between the two.
+_WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u02af]+)([.,;:!?*$%&#]*)")
+#: How byte-level vocabularies spell bytes: printable ones as themselves, the others as characters from U+0100 on, in turn.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SPELLING = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
 class ChunkEncoder:
@@ -34,78 +42,91 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
         self.lead = space == "lead"
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
-        if self.lead:  # tokens that begin with a space
-            self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
-            self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token[:1] == "Ġ"]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks; those that stand after a space are encoded together and told apart by the tokens that begin with it."""
-        if not self.lead:
-            return self._ids(chunks)
-        if any(w[:1] == "\n" for w in chunks):
-            return self._ids([w if w[:1] == "\n" else " " + w for w in chunks])
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
-        at = np.flatnonzero(self.opens[ids])
-        if len(at) != len(chunks):
-            return self._ids([" " + w for w in chunks])
-        raw, cuts = ids.tobytes(), (4 * np.append(at, len(ids))).tolist()
-        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-
-    def _learn(self, missing: list[str]) -> None:
-        """Put the ids of chunks into the young generation; trailing punctuation is encoded apart."""
-        parts = {w: m.groups() for w in missing if (m := _TAIL.fullmatch(w))}
-        heads = {h for h, _ in parts.values()} - self.young.keys()
-        alone = [w for w in heads.union(w for w in missing if w not in parts)]
-        for group in ([w for w in alone if w[:1] != "\n"], [w for w in alone if w[:1] == "\n"]):
-            for at in range(0, len(group), TOGETHER):
-                part = group[at : at + TOGETHER]
-                self.young.update(zip(part, self._chunk_ids(part), strict=True))
-        tails = sorted({t for _, t in parts.values()} - self.tails.keys())
-        if len(self.tails) > MOST:
-            self.tails.clear()
-            tails = sorted({t for _, t in parts.values()})
-        self.tails.update(zip(tails, self._ids(tails), strict=True))
-        self.young.update((w, self.young[h] + self.tails[t]) for w, (h, t) in parts.items())
-
-    def _chunks(self, text: str) -> tuple[str | None, list[str]] | None:
-        """The first word and the other chunks; None if the text must be encoded whole."""
-        if not self.lead:
-            if not _NOT_PLAIN.search(text):
-                text = text.lower()
-            return None, text.replace("\n", " ").split(" ")
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1:] in (" ", "\n") or text[:1] in (" ", "\n") or _ODD_SPACE.search(text):
-            return None
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return first, rest
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self._chunks(t) if t else (None, []) for t in texts]
+    def _word(self, word: str) -> bytes:
+        """Ids of letters that need no normalizing and no cutting: the merges alone decide."""
+        spelled = (" " + word if self.lead else word).encode().decode("latin-1").translate(_SPELLING)
+        return array("I", [t.id for t in self.merge(spelled)]).tobytes()
+
+    def _tail(self, tail: str) -> bytes:
+        ids = self.tails.get(tail)
+        if ids is None:
+            if len(self.tails) > MOST:
+                self.tails.clear()
+            ids = self.tails[tail] = self._ids([tail])[0]
+        return ids
+
+    def _learn(self, missing: set[str]) -> None:
+        """Put the ids of chunks into the young generation: words with punctuation after them, and all others."""
+        young, rest = self.young, []
+        for w in missing:
+            m = _WORD.fullmatch(w)
+            if m is None or not self.lead and w != w.lower():
+                rest.append(w)
+                continue
+            head, tail = m.groups()
+            ids = young.get(head)
+            if ids is None:
+                ids = young[head] = self._word(head)
+            if tail:
+                young[w] = ids + self._tail(tail)
+        own = lambda w: w if not self.lead or w[:1] == "\n" else w[1:] if w[:1] == "\0" else " " + w
+        for at in range(0, len(rest), TOGETHER):
+            part = rest[at : at + TOGETHER]
+            young.update(zip(part, self._ids([own(w) for w in part]), strict=True))
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        """Ids of different chunks, from the cache as far as it has them."""
         if len(self.young) > MOST:
             self.young, self.old = {}, self.young
-        wanted: set[str] = set()
-        for c in cut:
-            if c:
-                wanted.update(c[1])
-        missing = wanted - self.young.keys()
+        missing = set(words) - self.young.keys()
         again = missing & self.old.keys()
         self.young.update((w, self.old[w]) for w in again)
-        self._learn(list(missing - again))
-        alone = [i for i, c in enumerate(cut) if c is None]
-        whole = dict(zip(alone, self._ids([texts[i] for i in alone]), strict=True)) if alone else {}
-        leads = [i for i, c in enumerate(cut) if c and c[0]]
-        first = dict(zip(leads, self._ids([cut[i][0] for i in leads]), strict=True)) if leads else {}
-        out = [whole[i] if c is None else first.get(i, b"") + b"".join(map(self.young.__getitem__, c[1])) for i, c in enumerate(cut)]
-        for w in [w for w in self.young.keys() & missing if len(w) > LONGEST]:
+        self._learn(missing - again)
+        out = list(map(self.young.__getitem__, words))
+        for w in [w for w in missing if len(w) > LONGEST]:
             del self.young[w]
         return out
 
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text of a batch; NULL has none."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if self.lead:
+            odd = pc.match_substring_regex(texts, _ODD)
+            ready = pc.if_else(odd, None, pc.replace_substring(pc.binary_join_element_wise(pa.scalar("\0", pa.large_string()), texts, pa.scalar("", pa.large_string())), "\n", " \n"))
+        else:
+            odd = pa.nulls(0, pa.bool_())
+            ready = pc.replace_substring(pc.if_else(pc.match_substring_regex(texts, _NOT_PLAIN), texts, pc.utf8_lower(texts)), "\n", " ")
+        chunks = pc.split_pattern(ready, " ")
+        coded = chunks.flatten().dictionary_encode()
+        ids = self._known(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        which = coded.indices.to_numpy()
+        n = sizes[which]
+        ends = np.cumsum(n)
+        source = np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - n), n) + np.arange(int(n.sum()))
+        raw = np.frombuffer(b"".join(ids), "<u4")[source].tobytes()
+        counts = pc.fill_null(pc.list_value_length(chunks), 0).to_numpy().astype(np.int64)
+        bounds = (4 * np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]).tolist()
+        out = [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist() if len(odd) else []
+        for i, found in zip(whole, self._ids([texts[i].as_py() for i in whole]), strict=True):
+            out[i] = found
+        return out
+
+
+def text_blocks(texts: pa.Array, limit: int = 8 << 20):
+    """Row ranges of a batch with at most ``limit`` bytes of text each, or one longer row."""
+    return bytewise.blocks(bytewise.text_bytes(texts)[1], limit)
+
 
 _encoders: dict[tuple[str, str], ChunkEncoder] = {}
 
