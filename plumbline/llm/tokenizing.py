@@ -15,7 +15,7 @@ from plumbline.llm import bytewise
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks longer than this are encoded but not kept; the cache holds two generations of so many chunks each.
-LONGEST, MOST = 48, 600_000
+LONGEST, MOST = 48, 250_000
 #: Chunks that are encoded in one call.
 TOGETHER = 2_000
 #: Texts with runs of white space, white space at an end, other white space than " " and "\n", or the mark of first chunks.
