@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import bytewise
 from plumbline.operators.components import connected_components
-from plumbline.runtime import stage, unstage
+from plumbline.runtime import stage
 
 #: Shards with more fingerprints than this are divided by further bits.
 MOST_IN_SHARD = 4096
@@ -108,11 +108,12 @@ class BKTree:
             node = child
 
 
-def _shard_links(codes: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links that span the components of one shard's codes: as many as codes at most."""
-    if len(codes) > 64 and radius > 8:
-        return _dense_links(codes, radius)
-    tree, parent, out = BKTree(), {}, []
+def _shard_links(ids: np.ndarray, codes: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links that span the components of one shard's codes, one row of lanes each: as many as codes at most."""
+    if len(ids) > 64 and radius > 8:
+        return _dense_links(ids, codes, radius)
+    values = codes[:, 0].tolist() if codes.shape[1] == 1 else [int.from_bytes(row.tobytes(), "little") for row in codes]
+    tree, named, parent, out = BKTree(), {}, {}, []
 
     def top(x: int) -> int:
         while parent[x] != x:
@@ -120,55 +121,55 @@ def _shard_links(codes: np.ndarray, radius: int) -> list[tuple[int, int]]:
             x = parent[x]
         return x
 
-    for code in codes.tolist():
+    for name, code in zip(ids.tolist(), values, strict=True):
         if code in parent:
             continue
-        parent[code] = code
+        parent[code], named[code] = code, name
         for other in tree.add(code, radius):
             a, b = top(code), top(other)
             if a != b:
                 parent[a] = b
-                out.append((code, other))
+                out.append((name, named[other]))
     return out
 
 
-def _dense_links(codes: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def _dense_links(ids: np.ndarray, codes: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """The same by whole levels: with a wide radius nearly every edge is followed, so distances are taken at once."""
-    codes, out = np.unique(codes), []
-    left = np.arange(len(codes))
+    left, out = np.arange(len(ids)), []
     while len(left):
         front, left = left[:1], left[1:]
         while len(front) and len(left):
             at, front = front[0], front[1:]
-            near = np.bitwise_count(codes[left] ^ codes[at]) <= radius
+            near = np.bitwise_count(codes[left] ^ codes[at]).sum(1, dtype=np.int64) <= radius
             if near.any():
-                out += [(int(codes[at]), int(c)) for c in codes[left[near]]]
+                out += [(int(ids[at]), int(c)) for c in ids[left[near]]]
                 front, left = np.concatenate((front, left[near])), left[~near]
     return out
 
 
-def _search(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by shard; a shard can go on in the next batch."""
-    held_keys, held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _search(batches: Iterator[pa.RecordBatch], radius: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by shard; a shard can go on in the next batch. The first column names a code, the others are its lanes."""
+    held_keys, held = np.zeros(0, np.int64), np.zeros((0, len(names)), np.int64)
 
-    def links(keys: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+    def links(keys: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
         ends = np.append(starts[1:], len(keys))
+        codes = rows[:, int(len(names) > 1) :].astype(np.uint64)
         out: list[tuple[int, int]] = []
         for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-            out += _shard_links(codes[a:b].astype(np.uint64), radius)
-        pairs = np.array(out, np.uint64).reshape(-1, 2).astype(np.int64)
+            out += _shard_links(rows[a:b, 0], codes[a:b], radius)
+        pairs = np.array(out, np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["src", "dst"])
 
     for batch in batches:
         keys = np.concatenate((held_keys, batch.column("key").to_numpy()))
-        codes = np.concatenate((held, batch.column("f0").to_numpy()))
+        rows = np.concatenate((held, np.stack([batch.column(c).to_numpy() for c in names], axis=1)))
         if not len(keys):
             continue
         cut = int(np.searchsorted(keys, keys[-1]))
-        held_keys, held = keys[cut:], codes[cut:]
+        held_keys, held = keys[cut:], rows[cut:]
         if cut:
-            yield links(keys[:cut], codes[:cut])
+            yield links(keys[:cut], rows[:cut])
     if len(held):
         yield links(held_keys, held)
 
@@ -213,8 +214,8 @@ def hamming_links(codes: DataFrame, radius: int, most: int = MOST_IN_SHARD) -> D
     return found.union(_searched(rows, radius))
 
 
-def _searched(rows: DataFrame, radius: int) -> DataFrame:
-    return rows.select("key", "f0").repartition("key").sortWithinPartitions("key", "f0").mapInArrow(partial(_search, radius=radius), "src long, dst long")
+def _searched(rows: DataFrame, radius: int, names: tuple[str, ...] = ("f0",)) -> DataFrame:
+    return rows.select("key", *names).repartition("key").sortWithinPartitions("key", names[0]).mapInArrow(partial(_search, radius=radius, names=list(names)), "src long, dst long")
 
 
 def components_of(prints: DataFrame, links: DataFrame) -> DataFrame:
@@ -240,52 +241,60 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     return prints.join(named, "f0").select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id", "n_copies")
 
 
-def _banded(prints: DataFrame, lanes: int, tables: int, bits: int, seed: int = 7) -> DataFrame:
-    """Every fingerprint once per table, keyed by ``bits`` positions of its ``64 * lanes`` bits."""
+def _banded(codes: DataFrame, lanes: int, tables: int, bits: int, seed: int = 7) -> DataFrame:
+    """Every code once per table, keyed by ``bits`` positions of its ``64 * lanes`` bits."""
     rng = np.random.default_rng(seed)
     keys = []
     for t in range(tables):
         at = sorted(rng.choice(64 * lanes, bits, replace=False).tolist())
         picked = [f"(shiftrightunsigned(f{p // 64}, {p % 64}) & 1L)" for p in at]
         keys.append("xxhash64(" + ", ".join([str(t), *picked]) + ")")
-    return prints.select(F.explode(F.expr(f"array({', '.join(keys)})")).alias("key"), "f0")
+    return codes.select(F.explode(F.expr(f"array({', '.join(keys)})")).alias("key"), "code", *(f"f{k}" for k in range(lanes)))
 
 
-def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, lanes: int = 4, tables: int = 32, bits: int = 16) -> DataFrame:
+def tables_for(n_codes: int, share: float, recall: float) -> tuple[int, int]:
+    """(tables, bits): a shard expects about 1024 of unrelated codes at most, and ``recall`` of pairs that differ in ``share`` meet."""
+    bits = max(16, int(n_codes >> 10).bit_length())
+    return int(np.ceil(np.log(1 - recall) / np.log1p(-((1 - share) ** bits)))), bits
+
+
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, lanes: int = 4, recall: float = 0.91) -> DataFrame:
     """(doc_id, _th, group_id): near copies by the similarity of their word shingles; ``group_id`` is an opaque number.
 
-    Two texts whose sets of shingles have Jaccard similarity s differ in a share arccos(2 s / (1 + s)) / pi of their bits. A
-    pair is linked if it meets in one of ``tables`` shards of ``bits`` sampled bits and its ``64 * lanes`` bits differ by
-    no more than that share for ``similarity``. Equal fingerprints are one group without a search. Recall of one table
-    is (1 - share) ** bits; all tables together find about 89 of 100 pairs at 0.8 and 99 of 100 at 0.9.
+    Two texts whose sets of shingles have Jaccard similarity s differ in a share arccos(2 s / (1 + s)) / pi of their bits.
+    Two of them are linked, transitively, if all their ``64 * lanes`` bits differ by no more than that share for
+    ``similarity`` and they meet in one of the shards of sampled bits, whose number follows from ``recall`` at
+    ``similarity``; nearer pairs meet more often. Equal fingerprints are one group without a search.
     """
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    prints = stage(fingerprints(docs, width, lanes), "prints")
     wide = [f"f{k}" for k in range(lanes)]
-    codes = stage(prints.groupBy("f0").agg(*(F.min(c).alias(c) for c in wide[1:])), "codes")
-    near = _divided(_banded(codes, lanes, tables, bits), round(64 * share) + 4)
-    pairs = stage(near.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "pairs")
-    a, b = (codes.select(*[F.col(c).alias(f"{side}_{c}") for c in wide]) for side in ("a", "b"))
-    both = pairs.join(a, F.col("src") == F.col("a_f0")).join(b, F.col("dst") == F.col("b_f0"))
-    differ = sum(F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in wide)
-    links = stage(both.where(differ <= int(64 * lanes * share)).select("src", "dst"), "links")
-    unstage(pairs)
-    cc = connected_components(links).withColumnRenamed("node", "f0")
-    return prints.join(cc, "f0", "left").select("doc_id", "_th", F.coalesce("component", "f0").alias("group_id"))
-
-
-def _divided(rows: DataFrame, radius: int, most: int = MOST_IN_SHARD) -> DataFrame:
-    """The search of sampled-bit shards; crowded ones are divided by eight more bits, others for each key."""
+    prints = stage(fingerprints(docs, width, lanes).withColumn("code", F.xxhash64(*wide)).select("doc_id", "_th", "code", *wide), "prints")
+    codes = stage(prints.select("code", *wide).distinct(), "codes")
+    tables, bits = tables_for(codes.count(), share, recall)
+    found = _divided(_banded(codes, lanes, tables, bits), int(64 * lanes * share), ("code", *wide))
+    links = stage(found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "links")
+    cc = connected_components(links).withColumnRenamed("node", "code")
+    return prints.join(cc, "code", "left").select("doc_id", "_th", F.coalesce("component", "code").alias("group_id"))
+
+
+def _divided(rows: DataFrame, radius: int, names: tuple[str, ...], most: int = MOST_IN_SHARD) -> DataFrame:
+    """The search of sampled-bit shards. Crowded ones, which hold large groups, are divided by eight more bits, others for each key.
+
+    What is crowded after eight divisions has 64 more bits in common and is cut into blocks by hash.
+    """
     found = None
-    for _ in range(8):
+    for turn in range(9):
         crowded = stage(rows.groupBy("key").count().where(F.col("count") > most).select("key"), "crowded")
         any_left = crowded.limit(1).count() > 0
-        part = _searched(rows.join(crowded, "key", "left_anti") if any_left else rows, radius)
+        part = _searched(rows.join(crowded, "key", "left_anti") if any_left else rows, radius, names)
         found = part if found is None else found.union(part)
         if not any_left:
-            break
-        rows = stage(rows.join(crowded, "key", "left_semi").select(F.xxhash64("key", F.expr("shiftrightunsigned(f0, cast(pmod(key, 57) as int)) & 255L")).alias("key"), "f0"), "shards")
-    return found
+            return found
+        lane = "element_at(array(" + ", ".join(names[1:]) + f"), cast(pmod(shiftright(key, 8), {len(names) - 1}) as int) + 1)"
+        more = F.expr(f"shiftrightunsigned({lane}, cast(pmod(key, 57) as int)) & 255L") if turn < 8 else F.lit(0)
+        rows = stage(rows.join(crowded, "key", "left_semi").select(F.xxhash64("key", more).alias("key"), *names), "shards")
+    counts = rows.groupBy("key").count().select("key", F.ceil(F.col("count") / most).alias("_n"))
+    return found.union(_searched(rows.join(counts, "key").withColumn("key", F.expr("xxhash64(key, pmod(code, _n))")), radius, names))
 
 
 def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
