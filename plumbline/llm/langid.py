@@ -18,12 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm import bytewise
 from plumbline.runtime import broadcast_checked, stage
 
 #: n-grams are hashed to this many features.
 FEATURES = 8192
 #: Training rows for each language, at most (smallest hashes), and for all; landmarks among them.
 PER_LANGUAGE, TRAIN_ROWS, LANDMARKS = 500, 3000, 128
+#: Characters whose n-grams are hashed together, or one longer text's.
+BLOCK_CHARS = 1 << 18
 _PLAIN_LETTER = re.compile("[A-Za-z]")
 
 
@@ -49,13 +52,14 @@ def presence(texts: list[str | None]) -> np.ndarray:
     """One row of 0 and 1 for each text: which hashed n-grams occur in it."""
     out = np.zeros((len(texts), FEATURES), np.uint8)
     table = _letters()
-    for at in range(0, len(texts), 256):
-        part = [(t or "").lower().encode("utf-32-le", "surrogatepass") for t in texts[at : at + 256]]
+    offsets = np.cumsum([0] + [len(t or "") for t in texts])
+    for at, upto in bytewise.blocks(offsets, BLOCK_CHARS):
+        part = [(t or "").lower().encode("utf-32-le", "surrogatepass") for t in texts[at:upto]]
         sizes = np.array([len(p) // 4 for p in part])
         code = table[np.frombuffer(b"".join(part), "<u4")].astype(np.uint32)
         if not len(code):
             continue
-        row = np.repeat(np.arange(len(part)), sizes) + at
+        row = np.repeat(np.arange(at, upto, dtype=np.int32), sizes)
         h = code.copy()
         for n in (1, 2, 3):
             if n > 1:
@@ -131,18 +135,16 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = TRAIN_ROW
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model, own: list[str]) -> Iterator[pa.RecordBatch]:
     names = np.array(model.languages + ["und"], object)
-    for batch in batches:
-        texts, langs, scores = batch.column("text"), [], []
-        for at in range(0, len(texts), 128):
-            part = texts.slice(at, 128).to_pylist()
-            found = np.array([has_letter(t) for t in part])
-            best, top = np.full(len(part), len(model.languages)), np.zeros(len(part))
+    for whole in batches:
+        for at in range(0, whole.num_rows, 128):
+            batch = whole.slice(at, 128)
+            texts = batch.column("text").to_pylist()
+            found = np.array([has_letter(t) for t in texts])
+            best, top = np.full(len(texts), len(model.languages)), np.zeros(len(texts))
             if model.languages and found.any():
-                s = model.scores(presence([t for t, f in zip(part, found, strict=True) if f]))
+                s = model.scores(presence([t for t, f in zip(texts, found, strict=True) if f]))
                 best[found], top[found] = s.argmax(1), np.clip((s.max(1) + 1) / 2, 0, 1)
-            langs += names[best].tolist()
-            scores += top.tolist()
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*own, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(names[best].tolist(), pa.string()), pa.array(top, pa.float64())], names=[*own, "lang_pred", "score"])
 
 
 def predict(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:

@@ -27,7 +27,7 @@ from plumbline.runtime import stage, unstage
 
 GRAM = 32
 #: Text of one index, and of one block of windows, about.
-SHARD_BYTES, BLOCK_BYTES = 1 << 21, 1 << 20
+SHARD_BYTES, BLOCK_BYTES = 1 << 20, 1 << 19
 #: Anchors with more different pieces than this are counted by windows.
 MOST_PIECES = 2000
 #: Never part of UTF-8: ends the pieces of an index.

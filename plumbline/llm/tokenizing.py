@@ -15,7 +15,7 @@ from plumbline.llm import bytewise
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks longer than this are encoded but not kept; the cache holds two generations of so many chunks each.
-LONGEST, MOST = 48, 250_000
+LONGEST, MOST = 48, 120_000
 #: Chunks that are encoded in one call.
 TOGETHER = 2_000
 #: Texts with runs of white space, white space at an end, other white space than " " and "\n", or the mark of first chunks.
@@ -123,7 +123,7 @@ class ChunkEncoder:
         return out
 
 
-def text_blocks(texts: pa.Array, limit: int = 8 << 20):
+def text_blocks(texts: pa.Array, limit: int = 2 << 20):
     """Row ranges of a batch with at most ``limit`` bytes of text each, or one longer row."""
     return bytewise.blocks(bytewise.text_bytes(texts)[1], limit)
 
