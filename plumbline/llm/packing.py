@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.tokenizing import encoder, text_blocks, tokenizer_path
+from plumbline.llm.tokenizing import MOST, encoder, text_blocks, tokenizer_path
 from plumbline.operators.ranking import bucketed_prefix
 from plumbline.runtime import stage
 
@@ -141,8 +141,8 @@ def complete_bins(counts: dict[int, int], capacity: int, budget: int = 4000) ->
     return best
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str | None, name: str | None, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    encode = encoder(tokenizer or tokenizer_path(name), "lead").encode
+def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str | None, name: str | None, capacity: int, end_id: int, cache: int) -> Iterator[pa.RecordBatch]:
+    encode = encoder(tokenizer or tokenizer_path(name), "lead", cache).encode
     end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
         texts, row, piece, start, length, crc = batch.column("text"), [], [], [], [], []
@@ -161,14 +161,15 @@ def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str | None, name: str
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(where), batch.column("_th").take(where), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "_th", "piece", "start", "length", "ids_crc32"])
 
 
-def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, name: str = "byte_bpe_50k.json", tokenizer: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, name: str = "byte_bpe_50k.json", tokenizer: str | None = None, cache: int = MOST) -> DataFrame:
     """(doc_id, _th, piece, start, length, ids_crc32): whole texts as ids and the end id, cut only where they exceed ``capacity``.
 
     The first piece takes what is left over, all others are full. NULL texts count as empty: one piece, the end id.
+    ``cache``: chunks in each of the two generations that a Python worker keeps; ids do not depend on it.
     """
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_th"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _th long, piece int, start long, length long, ids_crc32 long"
-    return rows.mapInArrow(partial(_pieces, tokenizer=tokenizer, name=name, capacity=capacity, end_id=end_id), schema)
+    return rows.mapInArrow(partial(_pieces, tokenizer=tokenizer, name=name, capacity=capacity, end_id=end_id, cache=cache), schema)
 
 
 def slots(spark: SparkSession, plan: list[Filling]) -> DataFrame:

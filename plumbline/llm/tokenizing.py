@@ -15,7 +15,7 @@ from plumbline.llm import bytewise
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks longer than this are encoded but not kept; the cache holds two generations of so many chunks each.
-LONGEST, MOST = 48, 120_000
+LONGEST, MOST = 48, 250_000
 #: Chunks that are encoded in one call.
 TOGETHER = 2_000
 #: Texts with runs of white space, white space at an end, other white space than " " and "\n", or the mark of first chunks.
@@ -38,12 +38,13 @@ class ChunkEncoder:
     generation of the cache; when that is full the older one is dropped, so rare chunks go and frequent ones stay.
     """
 
-    def __init__(self, path: str, space: str):
+    def __init__(self, path: str, space: str, most: int = MOST):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
         self.lead = space == "lead"
+        self.most = most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
@@ -59,7 +60,7 @@ class ChunkEncoder:
     def _tail(self, tail: str) -> bytes:
         ids = self.tails.get(tail)
         if ids is None:
-            if len(self.tails) > MOST:
+            if len(self.tails) > self.most:
                 self.tails.clear()
             ids = self.tails[tail] = self._ids([tail])[0]
         return ids
@@ -85,7 +86,7 @@ class ChunkEncoder:
 
     def _known(self, words: list[str]) -> list[bytes]:
         """Ids of different chunks, from the cache as far as it has them."""
-        if len(self.young) > MOST:
+        if len(self.young) > self.most:
             self.young, self.old = {}, self.young
         missing = set(words) - self.young.keys()
         again = missing & self.old.keys()
@@ -128,14 +129,14 @@ def text_blocks(texts: pa.Array, limit: int = 2 << 20):
     return bytewise.blocks(bytewise.text_bytes(texts)[1], limit)
 
 
-_encoders: dict[tuple[str, str], ChunkEncoder] = {}
+_encoders: dict[tuple[str, str, int], ChunkEncoder] = {}
 
 
-def encoder(path: str, space: str) -> ChunkEncoder:
+def encoder(path: str, space: str, most: int = MOST) -> ChunkEncoder:
     """The encoder of this Python worker; its cache outlives a task."""
-    if (path, space) not in _encoders:
-        _encoders[path, space] = ChunkEncoder(path, space)
-    return _encoders[path, space]
+    if (path, space, most) not in _encoders:
+        _encoders[path, space, most] = ChunkEncoder(path, space, most)
+    return _encoders[path, space, most]
 
 
 def tokenizer_path(name: str) -> str:
