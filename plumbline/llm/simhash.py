@@ -14,7 +14,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import bytewise
@@ -241,62 +241,148 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     return prints.join(named, "f0").select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id", "n_copies")
 
 
-def _banded(codes: DataFrame, lanes: int, tables: int, bits: int, seed: int = 7) -> DataFrame:
-    """Every code once per table, keyed by ``bits`` positions of its ``64 * lanes`` bits."""
-    rng = np.random.default_rng(seed)
-    keys = []
-    for t in range(tables):
-        at = sorted(rng.choice(64 * lanes, bits, replace=False).tolist())
-        picked = [f"(shiftrightunsigned(f{p // 64}, {p % 64}) & 1L)" for p in at]
-        keys.append("xxhash64(" + ", ".join([str(t), *picked]) + ")")
-    return codes.select(F.explode(F.expr(f"array({', '.join(keys)})")).alias("key"), "code", *(f"f{k}" for k in range(lanes)))
+def _sets(batches: Iterator[pa.RecordBatch], width: int, similarity: float, lanes: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Per text: the hash of its set of shingles, the set's size, fingerprint and prefix."""
+    import xxhash
+
+    for batch in batches:
+        data, offsets = bytewise.text_bytes(batch.column("text"))
+        codes, sizes, prints, prefixes = [], [], [np.zeros((0, lanes), np.uint64)], []
+        for i, j in bytewise.blocks(offsets, 1 << 20):
+            rows = [np.unique(np.fromiter(shingle_hashes(data[offsets[r] : offsets[r + 1]].tobytes(), width), np.uint64)) for r in range(i, j)]
+            prints.append(fold(np.concatenate(rows), np.concatenate(([0], np.cumsum([len(r) for r in rows]))), lanes))
+            codes += [xxhash.xxh64_intdigest(r.tobytes()) for r in rows]
+            sizes += [len(r) for r in rows]
+            for r in rows:
+                common = hot[np.minimum(np.searchsorted(hot, r), len(hot) - 1)] == r if len(hot) else np.zeros(len(r), bool)
+                n = len(r) - int(np.ceil(similarity * len(r) - 1e-9)) + 1 if len(r) else 0
+                prefixes.append(np.concatenate((r[~common], r[common]))[:n].astype(np.int64))
+        f = np.concatenate(prints)
+        ends = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
+        arrays = [pa.array(np.array(codes, np.uint64).astype(np.int64)), pa.array(np.array(sizes, np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes])))]
+        arrays += [pa.array(f[:, k].astype(np.int64)) for k in range(lanes)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_th"), *arrays], names=["doc_id", "_th", "code", "n", "prefix", *(f"f{k}" for k in range(lanes))])
+
+
+def _shingles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            found = np.unique(np.fromiter(shingle_hashes((text or "").encode("utf-8", "surrogatepass"), width), np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64))], names=["shingle"])
+
+
+def common_shingles(docs: DataFrame, width: int, sample: int = 8192, least: int = 4, most: int = 100_000) -> np.ndarray:
+    """Shingles that are frequent in a sample of the texts, sorted. They only decide the order in which prefixes are taken."""
+    every = max(1, docs.count() // sample)
+    some = docs.where(F.expr(f"pmod(xxhash64(text), {every}) = 0")).select("text").distinct()
+    counts = some.mapInArrow(partial(_shingles, width=width), "shingle long").groupBy("shingle").count().where(F.col("count") >= least)
+    return np.unique(np.array([r["shingle"] for r in counts.orderBy(F.desc("count"), "shingle").limit(most).collect()], np.int64).astype(np.uint64))
 
 
-def tables_for(n_codes: int, share: float, recall: float) -> tuple[int, int]:
-    """(tables, bits): a shard expects about 1024 of unrelated codes at most, and ``recall`` of pairs that differ in ``share`` meet."""
-    bits = max(16, int(n_codes >> 10).bit_length())
-    return int(np.ceil(np.log(1 - recall) / np.log1p(-((1 - share) ** bits)))), bits
+def _in_pairs(rows: DataFrame, blocks: Column, *columns: str) -> DataFrame:
+    """Rows of a key in one block as they are; of a larger key, each row once for every pair of its own with any block.
+
+    So every two rows of a key still meet under one of the new keys, and no key holds more than two blocks.
+    """
+    own = rows.withColumn("_g", blocks.cast("int")).withColumn("_b", F.expr("cast(pmod(xxhash64(code, 1), _g) as int)"))
+    met = own.withColumn("_o", F.explode(F.expr("sequence(0, _g - 1)")))
+    return met.select(F.when(F.col("_g") > 1, F.xxhash64("key", F.least("_b", "_o"), F.greatest("_b", "_o"))).otherwise(F.col("key")).alias("key"), *columns)
+
+
+def _set_bytes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    names = ["key", "code", "total"]
+    for batch in batches:
+        data, offsets = bytewise.text_bytes(batch.column("text"))
+        for i, j in bytewise.blocks(offsets, 1 << 20):
+            sets = [np.unique(np.fromiter(shingle_hashes(data[offsets[r] : offsets[r + 1]].tobytes(), width), np.uint64)).tobytes() for r in range(i, j)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in names), pa.array(sets, pa.binary())], names=[*names, "shingles"])
+
+
+def _exact_links(codes: list[int], sets: list[bytes], similarity: float) -> list[tuple[int, int]]:
+    """Links that span the components of sets under Jaccard similarity, found from the whole sets."""
+    first = {c: k for k, c in reversed(list(enumerate(codes)))}
+    ids, picked = np.array(list(first), np.int64), [np.frombuffer(sets[k], np.uint64) for k in first.values()]
+    picked, ids = [s for s in picked if len(s)], ids[[len(s) > 0 for s in picked]]
+    if len(ids) < 2:
+        return []
+    sizes = np.array([len(s) for s in picked], np.int64)
+    _, number = np.unique(np.concatenate(picked), return_inverse=True)
+    ends = np.cumsum(sizes)
+    mark, left, out = np.zeros(int(number.max()) + 1, bool), np.arange(len(ids)), []
+    flat, starts = number, ends - sizes
+    while len(left):
+        front, left = [int(left[0])], left[1:]
+        while front and len(left):
+            at = front.pop()
+            own = number[ends[at] - sizes[at] : ends[at]]
+            fits = left[(sizes[left] >= similarity * sizes[at] - 1e-9) & (sizes[at] >= similarity * sizes[left] - 1e-9)]
+            if not len(fits):
+                continue
+            mark[own] = True
+            # only the sets that are left and fit in size are looked up, one after the other in one flat array
+            n = sizes[fits]
+            where = np.repeat(starts[fits] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            both = np.add.reduceat(mark[flat[where]].astype(np.int64), np.cumsum(n) - n)
+            mark[own] = False
+            near = fits[both >= similarity * (n + sizes[at] - both) - 1e-9]
+            if len(near):
+                out += [(int(ids[at]), int(c)) for c in ids[near]]
+                front += near.tolist()
+                left = left[~np.isin(left, near)]
+    return out
+
 
+def _verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key; a key can go on in the next batch."""
+    key, codes, sets = None, [], []
 
-def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, lanes: int = 4, recall: float = 0.91) -> DataFrame:
-    """(doc_id, _th, group_id): near copies by the similarity of their word shingles; ``group_id`` is an opaque number.
+    def links() -> pa.RecordBatch:
+        pairs = np.array(_exact_links(codes, sets, similarity), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["src", "dst"])
 
-    Two texts whose sets of shingles have Jaccard similarity s differ in a share arccos(2 s / (1 + s)) / pi of their bits.
-    Two of them are linked, transitively, if all their ``64 * lanes`` bits differ by no more than that share for
-    ``similarity`` and they meet in one of the shards of sampled bits, whose number follows from ``recall`` at
-    ``similarity``; nearer pairs meet more often. Equal fingerprints are one group without a search.
+    for batch in batches:
+        for k, c, s in zip(*(batch.column(n).to_pylist() for n in ("key", "code", "shingles")), strict=True):
+            if k != key:
+                if len(codes) > 1:
+                    yield links()
+                key, codes, sets = k, [], []
+            codes.append(c)
+            sets.append(s)
+    if len(codes) > 1:
+        yield links()
+
+
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, lanes: int = 4, deviations: float = 6.5, most: int = MOST_IN_SHARD, most_shingles: int = 2_000_000) -> DataFrame:
+    """(doc_id, _th, group_id): texts whose sets of word shingles have Jaccard ``similarity`` or more, transitively; ``group_id`` is an opaque number.
+
+    Equal sets are one group without a search. Candidates: under one order of all shingles, two such sets share one of the
+    first (1 - similarity) of their shingles, so they meet in that shingle's shard; frequent shingles come last in the order.
+    There two texts are candidates if their ``64 * lanes`` bits differ by no more than is expected at ``similarity`` and
+    ``deviations`` standard deviations. Candidates join, transitively, and in each of these candidate groups all pairs are
+    compared by their whole sets; only links found so count. Shards and groups of any size are compared block by block.
     """
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    bits = 64 * lanes
+    radius = int(bits * share + deviations * np.sqrt(bits * share * (1 - share)))
     wide = [f"f{k}" for k in range(lanes)]
-    prints = stage(fingerprints(docs, width, lanes).withColumn("code", F.xxhash64(*wide)).select("doc_id", "_th", "code", *wide), "prints")
-    codes = stage(prints.select("code", *wide).distinct(), "codes")
-    tables, bits = tables_for(codes.count(), share, recall)
-    found = _divided(_banded(codes, lanes, tables, bits), int(64 * lanes * share), ("code", *wide))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_th"))
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _th long, code long, n long, prefix array<long>, " + ", ".join(f"{c} long" for c in wide)
+    prints = stage(rows.mapInArrow(partial(_sets, width=width, similarity=similarity, lanes=lanes, hot=common_shingles(docs, width)), schema), "prints")
+    codes = stage(prints.dropDuplicates(["code"]), "codes")
+    met = codes.select("code", F.explode("prefix").alias("key")).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("_n > 1")
+    shards = _in_pairs(met.join(codes.select("code", *wide), "code"), F.when(F.col("_n") > most, F.ceil(F.col("_n") * 2 / most)).otherwise(1), "code", *wide)
+    maybe = stage(_searched(shards, radius, ("code", *wide)).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "maybe")
+    members = codes.select("code", "doc_id", "_th", "n").join(connected_components(maybe).select(F.col("node").alias("code"), F.col("component").alias("key")), "code")
+    members = stage(members.join(members.groupBy("key").agg(F.sum("n").alias("total")), "key"), "members")
+    texts = rows.join(members.withColumnRenamed("doc_id", "_id").withColumnRenamed("_th", "_own"), (F.col("_th") == F.col("_own")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    sets = texts.select("key", "code", "total", "text").mapInArrow(partial(_set_bytes, width=width), "key long, code long, total long, shingles binary")
+    dealt = _in_pairs(sets, F.when(F.col("total") > most_shingles, F.ceil(F.col("total") * 2 / most_shingles)).otherwise(1), "code", "shingles")
+    found = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_verify, similarity=similarity), "src long, dst long")
     links = stage(found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "links")
     cc = connected_components(links).withColumnRenamed("node", "code")
     return prints.join(cc, "code", "left").select("doc_id", "_th", F.coalesce("component", "code").alias("group_id"))
 
 
-def _divided(rows: DataFrame, radius: int, names: tuple[str, ...], most: int = MOST_IN_SHARD) -> DataFrame:
-    """The search of sampled-bit shards. Crowded ones, which hold large groups, are divided by eight more bits, others for each key.
-
-    What is crowded after eight divisions has 64 more bits in common and is cut into blocks by hash.
-    """
-    found = None
-    for turn in range(9):
-        crowded = stage(rows.groupBy("key").count().where(F.col("count") > most).select("key"), "crowded")
-        any_left = crowded.limit(1).count() > 0
-        part = _searched(rows.join(crowded, "key", "left_anti") if any_left else rows, radius, names)
-        found = part if found is None else found.union(part)
-        if not any_left:
-            return found
-        lane = "element_at(array(" + ", ".join(names[1:]) + f"), cast(pmod(shiftright(key, 8), {len(names) - 1}) as int) + 1)"
-        more = F.expr(f"shiftrightunsigned({lane}, cast(pmod(key, 57) as int)) & 255L") if turn < 8 else F.lit(0)
-        rows = stage(rows.join(crowded, "key", "left_semi").select(F.xxhash64("key", more).alias("key"), *names), "shards")
-    counts = rows.groupBy("key").count().select("key", F.ceil(F.col("count") / most).alias("_n"))
-    return found.union(_searched(rows.join(counts, "key").withColumn("key", F.expr("xxhash64(key, pmod(code, _n))")), radius, names))
-
-
 def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of ``docs`` that lead their group: the smallest (doc_id, text hash), once."""
     lead = groups.groupBy("group_id").agg(F.min(F.struct("doc_id", "_th")).alias("lead")).select("lead.*")
