@@ -159,6 +159,20 @@ def predict(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame
     return docs.select(*(f"`{f.name}`" for f in others), "text").mapInArrow(partial(_predict, model=model, own=own), schema)
 
 
+def least_score(docs: DataFrame, model: Model, most: int = 2000) -> float:
+    """The score below which a text is in no language of ``model``, from labelled rows ``docs`` that it was not fitted to.
+
+    Targets are +1 and -1, so the outputs for a text add up to 2 - K and the best of K languages never scores below 1 / K.
+    The limit lies halfway between that and the score that 99 of 100 rightly told rows reach, of ``most`` rows chosen by
+    hash. One language alone always scores 1; without rows to learn from the limit is halfway to 1.
+    """
+    floor = 1 / max(1, len(model.languages))
+    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang", "text")
+    some = rows.orderBy(F.xxhash64("doc_id", "lang", F.lit(1)), "doc_id").limit(most)
+    scores = [r["score"] for r in predict(some, model).where("lang = lang_pred").select("score").collect()]
+    return floor + (float(np.quantile(scores, 0.01)) if scores else 1.0) / 2 - floor / 2
+
+
 def held_out():
     """True for documents that training must not see: crc32 of the id as text, modulo 3, is 1."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
