@@ -226,7 +226,17 @@ def refreshed_changes(spark, d):
 @query("""WITH q AS (SELECT user_id AS unit_id, event_type AS reason, CAST(event_id % 5 AS INTEGER) AS priority, ts AS created_at FROM events WHERE event_id % 10 < 3)
 SELECT unit_id, reason, priority, created_at FROM (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY priority, created_at, reason) AS rn FROM q) WHERE rn = 1 ORDER BY priority, created_at, unit_id LIMIT 40""")
 def recompute_queue(spark, d):
-    rows = table(spark, d, "events").where("event_id % 10 < 3").select(F.col("user_id").alias("unit_id"), F.col("event_type").alias("reason"), (F.col("event_id") % 5).cast("int").alias("priority"), F.lit("pending").alias("status"), F.col("ts").alias("created_at"))
+    return _recompute(table(spark, d, "events").where("event_id % 10 < 3"))
+
+
+@query()
+def recompute_queue_all(spark, d):
+    """recompute_queue over every event."""
+    return _recompute(table(spark, d, "events"))
+
+
+def _recompute(events: DataFrame) -> DataFrame:
+    rows = events.select(F.col("user_id").alias("unit_id"), F.col("event_type").alias("reason"), (F.col("event_id") % 5).cast("int").alias("priority"), F.lit("pending").alias("status"), F.col("ts").alias("created_at"))
     queue = timeline.enqueue(rows.where("priority > 2"), rows.where("priority <= 2").drop("status"), "unit_id")
     return timeline.dequeue(queue, "unit_id", 40).drop("status")
 
@@ -428,6 +438,14 @@ def null_safe_join(spark, d):
     return x.join(y, F.col("k").eqNullSafe(F.col("k2"))).where("c_custkey % 10 = 0 OR k IS NULL").select("c_custkey", "s_suppkey")
 
 
+@query()
+def null_safe_join_all(spark, d):
+    """null_safe_join for every customer."""
+    x = table(spark, d, "customer").select("c_custkey", F.nullif("c_nationkey", F.lit(0)).alias("k"))
+    y = table(spark, d, "supplier").select("s_suppkey", F.nullif("s_nationkey", F.lit(0)).alias("k2"))
+    return x.join(y, F.col("k").eqNullSafe(F.col("k2"))).select("c_custkey", "s_suppkey")
+
+
 @query("SELECT a.p_partkey AS p, b.p_partkey AS q FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND starts_with(b.p_name, substr(a.p_name, 1, 6)) AND a.p_partkey < b.p_partkey")
 def prefix_join(spark, d):
     p = table(spark, d, "part")
@@ -602,9 +620,19 @@ def duplicate_clusters(spark, d):
 m AS (SELECT advert_id, u.unit_id, row_number() OVER (PARTITION BY advert_id ORDER BY u.unit_id) AS rn, count(*) OVER (PARTITION BY advert_id) AS n FROM a JOIN {UNITS} u ON a.building = u.building AND a.floor = u.floor AND a.layout = u.layout AND abs(a.area - u.area) <= 0.5)
 SELECT advert_id, unit_id, CASE WHEN n = 1 THEN 0.7 ELSE 0.3 END AS confidence FROM m WHERE rn = 1""")
 def matched_units(spark, d):
+    return _matched(spark, d, adverts(spark, d).where("advert_id % 5 = 1"))
+
+
+@query()
+def matched_units_all(spark, d):
+    """matched_units for every advert."""
+    return _matched(spark, d, adverts(spark, d))
+
+
+def _matched(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     u = units(spark, d).select("unit_id", F.col("building").alias("building_id"), F.col("floor").alias("floor_number"), "layout", none.alias("direction"), "area", none.alias("room_number"))
-    a = adverts(spark, d).where("advert_id % 5 = 1").join(u, "unit_id").drop("unit_id")
+    a = found.join(u, "unit_id").drop("unit_id")
     return match.match_unit(a.select("advert_id", "building_id", "floor_number", "layout", "direction", "area", "room_number"), u, "advert_id", "unit_id")
 
 
@@ -623,7 +651,17 @@ def sold_status(spark, d):
 
 @query("SELECT user_id, n, last + to_hours(CASE WHEN n <= 1 THEN 2 WHEN n = 2 THEN 24 WHEN n = 3 THEN 72 ELSE 168 END) AS retry_at FROM (SELECT user_id, count(*) AS n, max(ts) AS last FROM events WHERE event_id % 40 = 0 GROUP BY user_id)")
 def retry_interval(spark, d):
-    e = table(spark, d, "events").where("event_id % 40 = 0").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"))
+    return _retries(table(spark, d, "events").where("event_id % 40 = 0"))
+
+
+@query()
+def retry_interval_all(spark, d):
+    """retry_interval over every event."""
+    return _retries(table(spark, d, "events"))
+
+
+def _retries(events: DataFrame) -> DataFrame:
+    e = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"))
     return e.select("user_id", "n", lineage.retry_at(F.col("n"), F.col("last")).alias("retry_at"))
 
 
