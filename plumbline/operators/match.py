@@ -126,13 +126,20 @@ def without_excluded(pairs: DataFrame, excluded: DataFrame, left: str, right: st
 
 
 def duplicate_groups(df: DataFrame, key: str, by: dict[str, Column], excluded: DataFrame | None = None, first: str = "property1_id", second: str = "property2_id") -> DataFrame:
-    """Groups of two rows or more that are equal in all of ``by`` (NULL equals NULL): ids in order; without groups that hold an excluded pair."""
-    groups = df.withColumns(by).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(key)).alias("ids")).where("n > 1")
+    """Groups of two rows or more that are equal in all of ``by`` (NULL equals NULL): ``n`` and ``first_id``; without groups that hold an excluded pair.
+
+    No group is gathered: rows are counted, and only the ends of excluded pairs are looked up.
+    """
+    rows = df.withColumns(by)
+    groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first_id")).where("n > 1")
     if excluded is None:
         return groups
-    member = groups.withColumn("_g", F.xxhash64("ids")).select("_g", F.explode("ids").alias("_id"))
-    hit = excluded.join(member.withColumnRenamed("_id", first), first).join(member.select(F.col("_g").alias("_h"), F.col("_id").alias(second)), second).where("_g = _h").select("_g").distinct()
-    return groups.withColumn("_g", F.xxhash64("ids")).join(hit, "_g", "left_anti").drop("_g")
+    end = lambda name, tag: rows.select(F.col(key).alias(name), F.struct(*by).alias(tag))
+    hit = excluded.join(end(first, "_g"), first).join(end(second, "_h"), second).where(F.col("_g").eqNullSafe(F.col("_h"))).select(*(F.col(f"_g.{c}").alias(f"_x_{c}") for c in by)).distinct()
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_x_{c}"))
+    return groups.join(hit, same, "left_anti")
 
 
 def nearby(points: DataFrame, key: str, lat: str, lon: str, metres: float) -> DataFrame:

@@ -576,9 +576,10 @@ def suggestions(spark, d):
 def duplicate_groups(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_size")
     by = {"p_brand": F.col("p_brand"), "p_type": F.col("p_type"), "size_step": F.floor(F.col("p_size") / 5.0)}
-    groups = match.duplicate_groups(p, "p_partkey", by)
-    first_pair = groups.where(F.array_contains("ids", F.lit(7).cast("long"))).select(F.lit(7).cast("long").alias("property1_id"), F.explode("ids").alias("property2_id"))
-    return match.duplicate_groups(p, "p_partkey", by, first_pair).select("p_brand", "p_type", "size_step", "n", F.col("ids")[0].alias("first_id"))
+    same = p.select(*(c.alias(k) for k, c in by.items()), F.col("p_partkey").alias("property2_id"))
+    seven = p.where("p_partkey = 7").select(*(c.alias(k) for k, c in by.items()), F.col("p_partkey").alias("property1_id"))
+    first_pair = seven.join(same, list(by)).select("property1_id", "property2_id")
+    return match.duplicate_groups(p, "p_partkey", by, first_pair).select("p_brand", "p_type", "size_step", "n", "first_id")
 
 
 _PAIR = "SELECT a.p_partkey AS a, b.p_partkey AS b, a.p_size AS x, b.p_size AS y, a.p_retailprice AS r, b.p_retailprice AS s FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey"
