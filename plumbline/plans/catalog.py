@@ -614,7 +614,9 @@ def duplicate_clusters(spark, d):
     pairs = scored_names(spark, d).where("similarity >= 0.6").select("a", "b", "similarity")
     apart = pairs.where("(a + b) % 11 = 0").select("a", "b")
     members = clusters(match.without_excluded(pairs, apart, "a", "b", "a", "b"), apart)
-    return members.join(primaries(members, pairs), "cluster").join(cluster_confidence(members, pairs), "cluster", "left")
+    lead, key, none = primaries(members, pairs), F.col("p_partkey"), F.lit(None)
+    attributes = table(spark, d, "part").select(key.alias("node"), none.cast("string").alias("address"), F.col("p_size").alias("floors"), none.cast("int").alias("units"), F.when(key % 7 != 0, 1960 + key % 40).alias("year"))
+    return members.join(lead, "cluster").join(cluster_confidence(members, pairs, lead, attributes), "cluster", "left")
 
 
 @query(f"""WITH a AS (SELECT advert_id, p_brand AS building, p_size AS floor, p_type AS layout, p_retailprice AS area FROM {ADVERTS} JOIN part ON unit_id = p_partkey WHERE advert_id % 5 = 1),
