@@ -6,6 +6,8 @@ tried in the order given; the first that matches decides.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,100 +40,157 @@ def within(c: Column, lo, hi) -> Column:
     return F.when(c.between(lo, hi), c)
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def measures(c: Column) -> Column:
+    """The numbers of a text in order: array of struct(n, unit, lead).
+
+    ``unit`` is what follows a number up to the next one, ``lead`` what stands before it. Wide forms are narrowed; commas
+    and white space are dropped.
+    """
+    t = F.regexp_replace(F.translate(narrow_digits(c), "（）", "()"), r"[\s　,]+", "")
+    cut = F.regexp_extract_all(t, F.lit(r"^[^0-9]+|[0-9]+(?:\.[0-9]+)*[^0-9]*"), F.lit(0))
+    unit = lambda x: F.regexp_replace(x, r"^[0-9.]+", "")
+    each = lambda parts: F.filter(F.transform(parts, lambda x, i: F.struct(F.regexp_extract(x, r"^[0-9.]+", 0).alias("n"), unit(x).alias("unit"), F.when(i > 0, unit(F.get(parts, i - 1))).otherwise("").alias("lead"))), lambda m: m["n"] != "")
+    return bound(cut, each)
+
+
+def first(tokens: Column, test) -> Column:
+    """The number of the first token that passes."""
+    return F.get(F.filter(tokens, test), 0)["n"].try_cast("long")
+
+
+def two_units(tokens: Column, large: str, small: str) -> Column:
+    """10,000 times the first number before ``large``, plus the number before ``small`` if it comes right after."""
+    pairs = F.transform(tokens, lambda m, i: F.struct(m["n"].alias("n"), m["unit"].alias("unit"), F.get(tokens, i + 1).alias("next")))
+    low = lambda p: F.when((p["unit"] == large) & F.coalesce(p["next"]["unit"].startswith(small), F.lit(False)), p["next"]["n"].try_cast("long"))
+    return bound(F.get(F.filter(pairs, lambda p: p["unit"].startswith(large)), 0), lambda p: p["n"].try_cast("long") * 10_000 + F.coalesce(low(p), F.lit(0)))
+
+
 def price(c: Column) -> Column:
-    """Price in units of 10,000 yen: 億 and 万円 together, 億円, a bare 億, 万円."""
-    t = F.regexp_replace(narrow_digits(c), r"\s+", " ")
-    both = r"(\d+)\s*億\s*(\d+(?:,\d{3})*)\s*万\s*円"
-    return F.coalesce(
-        whole(t, both) * 10_000 + whole(t, both, 2),
-        whole(t, r"(\d+)\s*億\s*円") * 10_000,
-        whole(t, r"(\d+)\s*億(?!円|万)") * 10_000,
-        whole(t, r"([\d,]+)\s*万\s*円?"),
-    )
+    """Price in units of 10,000 yen: 億 with 万 right after it, 億 alone, else 万. A number without such a unit is no price."""
+    return bound(measures(c), lambda ms: F.coalesce(two_units(ms, "億", "万"), first(ms, lambda m: m["unit"].startswith("万"))))
 
 
 def monthly_fee(c: Column) -> Column:
-    """Fee in yen: N万M円, N円, N(円/月)."""
-    t = narrow_digits(F.translate(c, "（）", "()"))
-    man = r"(\d+)\s*万\s*(\d*)\s*円"
-    return F.coalesce(whole(t, man) * 10_000 + F.coalesce(whole(t, man, 2), F.lit(0)), whole(t, r"([\d,]+)\s*\(?円"))
+    """Fee in yen: 万 with the rest right after it, else 円, also in brackets."""
+    return bound(measures(c), lambda ms: F.coalesce(two_units(ms, "万", "円"), first(ms, lambda m: m["unit"].startswith("円") | m["unit"].startswith("(円"))))
 
 
 def area(c: Column) -> Column:
-    """Square metres."""
-    return found(c, r"([\d.]+)\s*(?:㎡|m²|m2|平米|平方メートル)").try_cast("double")
+    """Square metres: the first number before ㎡, m², m2, 平米 or 平方メートル."""
+
+    def metres(ms: Column) -> Column:
+        square = lambda u, after: u.startswith("㎡") | u.startswith("m²") | u.startswith("平米") | u.startswith("平方メートル") | ((u == "m") & F.coalesce(after == "2", F.lit(False)))
+        marked = F.transform(ms, lambda m, i: F.struct(m["n"].alias("n"), square(m["unit"], F.get(ms, i + 1)["n"]).alias("ok")))
+        return F.get(F.filter(marked, lambda m: m["ok"]), 0)["n"].try_cast("double")
+
+    return bound(measures(c), metres)
 
 
 def floor_number(c: Column) -> Column:
-    """The floor of a unit; a number of floors alone is none."""
-    total_only = ~c.contains("/") & c.rlike(r"^\d+階建|地上\d+階建|地下.*階建")
-    return F.when(~total_only, F.coalesce(whole(c, r"^(\d+)階/"), whole(c, r"(\d+)階")))
+    """The floor of a unit: the first number before 階, but not one before 階建.
+
+    A text that only tells how high the building is has none: no slash, and 階建 with 地上 or 地下.
+    """
+    building = ~c.contains("/") & c.contains("階建") & (c.contains("地上") | c.contains("地下"))
+    return F.when(~building, bound(measures(c), lambda ms: first(ms, lambda m: m["unit"].startswith("階") & ~m["unit"].startswith("階建"))))
+
+
+#: What stands before the number of floors where the structure is named.
+STRUCTURE_ENDS = ["RC", "S造", "木造", "コンクリート造", "鉄骨造"]
 
 
 def total_floors(c: Column) -> Column:
-    """struct(total_floors, basement_floors); basement 0 if none is named, both NULL for empty text."""
-    alone = found(c, r"(\d+)階(?!部|分)")
-    total = F.coalesce(
-        whole(c, r"地上(\d+)階"),
-        whole(c, r"(?:RC|SRC|S造|木造|鉄骨鉄筋コンクリート造|鉄筋コンクリート造|鉄骨造)\s*(\d+)階"),
-        whole(c, r"(\d+)階(?:地下\d+階)?建"),
-        F.when(~F.regexp_like(c, F.concat(F.lit(r"地下\s*"), alone, F.lit("階"))), alone.try_cast("long")),
-    )
-    named = c.isNotNull() & (c != "")
-    return F.when(named, F.struct(total.alias("total_floors"), F.coalesce(whole(c, r"地下(\d+)階"), F.lit(0)).alias("basement_floors")))
+    """struct(total_floors, basement_floors); basement 0 if none is named, both NULL for empty text.
+
+    The total is the number after 地上, else the one after a structure, else the one before 階建 (also with basement floors
+    in between), else a floor that is not called 階部 or 階分; floors after 地下 are the basement's.
+    """
+    below = lambda m: m["lead"].endswith("地下")
+    after = lambda m, words: functools.reduce(lambda x, y: x | y, [m["lead"].endswith(w) for w in words])
+    floors = lambda m: m["unit"].startswith("階")
+
+    def read(ms: Column) -> Column:
+        total = F.coalesce(
+            first(ms, lambda m: after(m, ["地上"]) & floors(m)),
+            first(ms, lambda m: after(m, STRUCTURE_ENDS) & floors(m)),
+            first(ms, lambda m: ~below(m) & (m["unit"].startswith("階建") | m["unit"].startswith("階地下"))),
+            first(ms, lambda m: ~below(m) & floors(m) & ~m["unit"].startswith("階部") & ~m["unit"].startswith("階分")),
+        )
+        return F.struct(total.alias("total_floors"), F.coalesce(first(ms, lambda m: below(m) & floors(m)), F.lit(0)).alias("basement_floors"))
+
+    return F.when(c.isNotNull() & (c != ""), bound(measures(c), read))
 
 
 def total_units(c: Column) -> Column:
-    t = F.regexp_replace(c, "[,， \n\t]", "")
-    return F.coalesce(within(whole(t, r"(\d+)戸"), *UNITS_RANGE), within(whole(t, r"(\d+)"), *UNITS_RANGE))
+    """Units of a building, 1 to 10,000: the first number before 戸, else the first number."""
+    valid = lambda x: within(x, *UNITS_RANGE)
+    return bound(measures(c), lambda ms: F.coalesce(valid(first(ms, lambda m: m["unit"].startswith("戸"))), valid(first(ms, lambda m: F.lit(True)))))
 
 
-def era_year(c: Column) -> Column:
-    """The year of the first era named, 令和 before 平成 before 昭和."""
-    out = F.lit(None).cast("long")
-    for name, before in reversed(ERAS):
-        out = F.when(c.contains(name), whole(c, name + r"(\d+)年") + before).otherwise(out)
-    return out
+def _era_year(ms: Column) -> Column:
+    """The year of an era: 令和 before 平成 before 昭和."""
+    of = lambda name: first(ms, lambda m: m["lead"].endswith(name) & m["unit"].startswith("年"))
+    return F.coalesce(*[of(name) + before for name, before in ERAS])
+
+
+def _western(m: Column) -> Column:
+    return (F.length(m["n"]) == 4) & m["n"].try_cast("long").between(1900, 2099)
+
+
+def _built_year(c: Column, ms: Column) -> Column:
+    before_month = lambda m, i: _western(m) & (m["unit"] == "/") & F.get(ms, i + 1).isNotNull()
+    bare = F.when(F.trim(narrow_digits(c)).rlike("^[0-9]{4}$"), first(ms, _western))
+    return F.coalesce(first(ms, lambda m: _western(m) & m["unit"].startswith("年")), F.get(F.filter(ms, before_month), 0)["n"].try_cast("long"), bare, _era_year(ms))
 
 
 def built_year(c: Column) -> Column:
     """Western year with 年, YYYY/MM, a bare year, or an era year."""
-    t = narrow_digits(c)
-    return F.coalesce(whole(t, r"((?:19|20)\d{2})年"), whole(t, r"((?:19|20)\d{2})/\d{1,2}"), whole(F.trim(t), r"^((?:19|20)\d{2})$"), era_year(t))
+    return bound(measures(c), lambda ms: _built_year(c, ms))
 
 
 def built_year_month(c: Column) -> Column:
-    """struct(built_year, built_month)."""
-    t = narrow_digits(c)
-    month = F.coalesce(within(whole(t, r"(\d{1,2})月"), 1, 12), within(whole(t, r"\d{4}/(\d{1,2})"), 1, 12))
-    return F.struct(built_year(t).alias("built_year"), month.alias("built_month"))
+    """struct(built_year, built_month): the month is the number before 月, else the one after a year and a slash."""
+
+    def read(ms: Column) -> Column:
+        slash = F.transform(ms, lambda m, i: F.struct(F.get(ms, i + 1)["n"].alias("n"), ((F.length(m["n"]) == 4) & m["unit"].startswith("/")).alias("ok")))
+        month = F.coalesce(within(first(ms, lambda m: m["unit"].startswith("月")), 1, 12), within(F.get(F.filter(slash, lambda m: m["ok"]), 0)["n"].try_cast("long"), 1, 12))
+        return F.struct(_built_year(c, ms).alias("built_year"), month.alias("built_month"))
+
+    return bound(measures(c), read)
 
 
 def age(year: Column, today: Column) -> Column:
     return F.year(today) - year
 
 
+#: Names of service rooms after a plus sign.
+SERVICE_ROOMS = ["サービスルーム", "SERVICEROOM", "S.R.", "SR", "納戸", "N", "WIC", "ウォークインクローゼット"]
+
+
 def layout(c: Column) -> Column:
-    """Room layout: wide forms narrowed, upper case, one room → 1R, service rooms → +S, letters in SLDK order."""
+    """Room layout: wide forms narrowed, upper case, one room → 1R, service rooms → +S, letters in SLDK order, no number → 1.
+
+    The first group of rooms counts, with what follows a plus sign: a service room, or more rooms, which stay as they are.
+    """
     t = F.upper(F.translate(narrow_digits(c), WIDE_LETTERS + "＋　", LETTERS + "+ "))
-    service = r"(\d*)([SLDK]+)\+(?:サービスルーム|SERVICE\s*ROOM|S\.R\.|SR|納戸|N|WIC|ウォークインクローゼット)"
-    rooms = F.regexp_extract(t, service, 2)
-    count = F.coalesce(found(t, service), F.nullif(F.regexp_extract(t, r"(\d+)\s*[SLDK]+", 1), F.lit("")), F.lit("1"))
-    plus = r"(\d+)([SLDK]+)\+([SLDK]+)"
-    bare_plus = r"^([SLDK]+)\+([SLDK]+)"
-    usual, bare, studio = r"([1-9]\d*)\s*([SLDK]+)", r"^([SLDK]+)(?:\s|$|※)", r"([1-9]\d*)\s*R"
-    part = lambda p, g: F.regexp_extract(t, p, g)
+    t = F.regexp_replace(F.regexp_replace(t, r"\s*\+\s*", "+"), r"SERVICE\s+ROOM", "SERVICEROOM")
     ordered = lambda x: F.concat(*[F.when(x.contains(k), k).otherwise("") for k in "SLDK"])
-    return (
-        F.when(t.contains("ワンルーム") | t.contains("1ルーム"), "1R")
-        .when(t.contains("スタジオ") | t.contains("STUDIO"), "STUDIO")
-        .when(t.rlike(service), F.concat(count, rooms, F.lit("+S")))
-        .when(t.rlike(plus), F.concat(part(plus, 1), part(plus, 2), F.lit("+"), part(plus, 3)))
-        .when(t.rlike(bare_plus), F.concat(F.lit("1"), part(bare_plus, 1), F.lit("+"), part(bare_plus, 2)))
-        .when(t.rlike(usual), F.concat(part(usual, 1), ordered(part(usual, 2))))
-        .when(t.rlike(bare), F.concat(F.lit("1"), ordered(part(bare, 1))))
-        .when(t.rlike(studio), F.concat(part(studio, 1), F.lit("R")))
-    )
+
+    def read(rooms: Column) -> Column:
+        sides = F.split(rooms, r"\+", 2)
+        base, extra = F.get(sides, 0), F.coalesce(F.get(sides, 1), F.lit(""))
+        count, letters = F.coalesce(found(base, r"^([0-9]+)"), F.lit("1")), F.regexp_replace(base, r"[0-9\s]", "")
+        service = functools.reduce(lambda x, y: x | y, [extra.startswith(w) for w in SERVICE_ROOMS])
+        more = F.regexp_extract(extra, "^[SLDK]+", 0)
+        return F.when(rooms.isNull() | (rooms == ""), None).when(letters == "R", F.concat(count, F.lit("R"))).when(service, F.concat(count, letters, F.lit("+S"))).when(more != "", F.concat(count, letters, F.lit("+"), more)).otherwise(F.concat(count, ordered(letters)))
+
+    said = F.when(t.contains("ワンルーム") | t.contains("1ルーム"), "1R").when(t.contains("スタジオ") | t.contains("STUDIO"), "STUDIO")
+    return F.coalesce(said, bound(F.regexp_extract(t, r"(?:[1-9][0-9]*\s*(?:[SLDK]+|R)|^[SLDK]+(?=\s|$|※|\+))(?:\+\S+)?", 0), read))
 
 
 def contained(c: Column, table: list[tuple[str, str]]) -> Column:

@@ -15,19 +15,19 @@ def run(spark, f, texts):
 
 
 CASES = [
-    (numbers.price, {"5,480万円": 5480, "1億2000万円": 12000, "2億円": 20000, "2億": 20000, "販売価格：5,480万円（税込）": 5480, "物件価格2億3000万円": 23000, "５，４８０万円": 5480, "": None, "価格未定": None, None: None}),
-    (numbers.area, {"81.3㎡": 81.3, "85.5m2": 85.5, "70.2m²": 70.2, "80平米": 80.0, "75.3平方メートル": 75.3, "専有面積：70.2㎡": 70.2, "面積不明": None, "1.2.3㎡": None}),
-    (numbers.floor_number, {"4階": 4, "4階/SRC9階建": 4, "12階/20階建": 12, "所在階：12階": 12, "地上42階建": None, "9階建": None}),
-    (numbers.total_floors, {"地上12階建": (12, 0), "RC21階地下1階建": (21, 1), "SRC42階建": (42, 0), "地上30階地下2階建": (30, 2), "15階建": (15, 0), "42階": (42, 0), "": None, "地下2階": (None, 2)}),
-    (numbers.total_units, {"1,095戸": 1095, "200戸以上": 200, "総戸数: 350": 350, "250": 250, "99999戸": None}),
-    (numbers.layout, {"２ＬＤＫ": "2LDK", "ワンルーム": "1R", "1ルーム": "1R", "スタジオ": "STUDIO", "2SLDK": "2SLDK", "1SK": "1SK", "2R": "2R", "1LDK+S": "1LDK+S", "2LDK＋納戸": "2LDK+S", "LDK": "1LDK", "3KDL": "3LDK", "?": None}),
-    (numbers.direction, {"S": "南", "SE": "南東", "南向き": "南", "バルコニー：南東向き": "南東", "": None}),
+    (numbers.price, {"3,210万円": 3210, "1億4500万円": 14500, "3億円": 30000, "4億": 40000, "売値 6,789 万円 (税別)": 6789, "土地建物１億０，０５０万": 10050, "７，６５４万円": 7654, "": None, "応相談": None, None: None, "2億と300万円": 20000, "8000円": None}),
+    (numbers.area, {"61.7㎡": 61.7, "95.2m2": 95.2, "44.1m²": 44.1, "66平米": 66.0, "58.6平方メートル": 58.6, "室内 38.25 ㎡": 38.25, "広さ不明": None, "4.5.6㎡": None, "300m": None}),
+    (numbers.floor_number, {"7階": 7, "6階/RC11階建": 6, "14階/25階建": 14, "部屋は 3階": 3, "地上31階建": None, "8階建": None, "地下1階地上9階建": None}),
+    (numbers.total_floors, {"地上17階建": (17, 0), "RC14階地下2階建": (14, 2), "SRC33階建": (33, 0), "地上26階地下3階建": (26, 3), "11階建": (11, 0), "28階": (28, 0), "": None, "地下3階": (None, 3), "5階/鉄骨造8階建": (8, 0)}),
+    (numbers.total_units, {"2,047戸": 2047, "130戸超": 130, "全戸数: 77": 77, "412": 412, "88888戸": None}),
+    (numbers.layout, {"３ＬＤＫ": "3LDK", "ワンルーム": "1R", "1ルーム": "1R", "スタジオ": "STUDIO", "3SLDK": "3SLDK", "2SK": "2SK", "3R": "3R", "2LDK+S": "2LDK+S", "1LDK＋納戸": "1LDK+S", "3 LDK + Service Room": "3LDK+S", "DK": "1DK", "4KDL": "4LDK", "?": None, "1DK+2K": "1DK", "2DK+LK": "2DK+LK", None: None}),
+    (numbers.direction, {"N": "北", "SW": "南西", "東向き": "東", "窓：北西向き": "北西", "": None}),
     (numbers.structure, {"RC造": "RC", "鉄骨鉄筋コンクリート造": "SRC", "鉄骨造": "S造", "木造": "木造", "軽量鉄骨造": "軽量鉄骨"}),
-    (numbers.date, {"2024年1月15日": datetime.date(2024, 1, 15), "2024/01/15": datetime.date(2024, 1, 15), "2024-1-5": datetime.date(2024, 1, 5), "2024年2月31日": None, "日付なし": None}),
-    (numbers.monthly_fee, {"12,000円": 12000, "管理費：8,500円/月": 8500, "9,580（円/月）": 9580, "2万4100円": 24100, "3万円": 30000}),
-    (numbers.built_year, {"2020年築": 2020, "築年月：2015年3月": 2015, "1971/04": 1971, " 1999 ": 1999, "平成27年築": 2015, "令和2年築": 2020, "昭和50年": 1975, "不明": None}),
-    (numbers.built_year_month, {"平成25年3月": (2013, 3), "1971/04": (1971, 4), "2020年13月": (2020, None)}),
-    (numbers.first_integer, {"789円": 789, "": None, None: None}),
+    (numbers.date, {"2023年4月9日": datetime.date(2023, 4, 9), "2023/04/09": datetime.date(2023, 4, 9), "2023-4-9": datetime.date(2023, 4, 9), "2023年2月30日": None, "期日未定": None}),
+    (numbers.monthly_fee, {"7,300円": 7300, "修繕費：6,150円/月": 6150, "4,420（円/月）": 4420, "1万2600円": 12600, "5万円": 50000, "なし": None}),
+    (numbers.built_year, {"2018年築": 2018, "完成：2009年11月": 2009, "1983/10": 1983, " 1996 ": 1996, "平成19年築": 2007, "令和4年築": 2022, "昭和61年": 1986, "不詳": None, "12018年": None}),
+    (numbers.built_year_month, {"平成18年7月": (2006, 7), "1983/10": (1983, 10), "2018年14月": (2018, None), "": (None, None)}),
+    (numbers.first_integer, {"約64円": 64, "": None, None: None}),
     (numbers.sale_period, {"2023年第3四半期": (2023, 3), "令和5年第1四半期": (2023, 1)}),
     (numbers.sale_price, {"35,000,000": 3500, "4,500": 4500, "1億2000万円": 12000}),
     (numbers.sale_price_of_feed, {"35000000": 3500, "4500": 4500, "12345": 1}),
@@ -58,8 +58,8 @@ def test_validation(spark):
 
 
 def test_rooms_and_hash(spark):
-    df = spark.createDataFrame([("グラン岩本町1002", "1002"), ("チサン祐天寺 104", "104"), ("ハイネス209号室", "209"), ("ザ タワー", "2401"), ("x", None)], "n string, r string")
-    assert [r[0] for r in df.select(names.without_room(F.col("n"), F.col("r"))).collect()] == ["グラン岩本町", "チサン祐天寺", "ハイネス", "ザ タワー", "x"]
+    df = spark.createDataFrame([("みどりの館706", "706"), ("川辺コート 1203", "1203"), ("石垣ハイツ415号室", "415"), ("ザ 見本", "3301"), ("x", None)], "n string, r string")
+    assert [r[0] for r in df.select(names.without_room(F.col("n"), F.col("r"))).collect()] == ["みどりの館", "川辺コート", "石垣ハイツ", "ザ 見本", "x"]
     h = df.select(names.item_hash({"a": F.lit(1), "b": F.lit(None)}), names.item_hash({"b": F.lit(""), "a": F.lit("1")})).first()
     assert h[0] == h[1] and len(h[0]) == 64
 
@@ -87,10 +87,10 @@ def test_reading_and_remarks(spark):
 def test_search_terms(spark):
     assert filters.split_terms("白金ザ　タワー") == ["白金ザ", "白金", "ザ", "タワー"]
     assert "ＰＡＲＫ" in filters.variants("park".upper()) and "パーク" in filters.variants("ぱーく")
-    b = spark.createDataFrame([(1, "パークハウス渋谷"), (2, "タワーマンション新宿"), (3, None)], "id long, name string")
-    alias = spark.createDataFrame([(1, "PARK HOUSE 渋谷"), (2, "100%_")], "building_id long, normalized_name string")
+    b = spark.createDataFrame([(1, "つばきハウス渋谷"), (2, "ささの木新宿"), (3, None)], "id long, name string")
+    alias = spark.createDataFrame([(1, "TSUBAKI HOUSE 渋谷"), (2, "100%_")], "building_id long, normalized_name string")
     found = lambda q: [r["id"] for r in filters.search(b, q, ["name"], alias).orderBy("id").collect()]
-    assert (found("ぱーく"), found("新宿"), found("park"), found("パーク 新宿"), found("%")) == ([1], [2], [1], [], [2])
+    assert (found("ツバキ"), found("新宿"), found("tsubaki"), found("ツバキ 新宿"), found("%")) == ([1], [2], [1], [], [2])
 
 
 def test_state_price_and_hours(spark):
