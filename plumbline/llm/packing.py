@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import partial
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm import bytewise
 from plumbline.llm.tokenizing import MOST, encoder, text_blocks, tokenizer_path
 from plumbline.operators.ranking import bucketed_prefix
 from plumbline.runtime import stage
@@ -24,59 +25,77 @@ from plumbline.runtime import stage
 Filling = tuple[int, list[tuple[int, int]]]
 
 
-def fillings(counts: dict[int, int], largest: int, capacity: int, most: int = 16, steps: int = 20_000) -> list[list[tuple[int, int]]]:
-    """Undominated fillings around ``largest``, those with the least waste first.
+def _sums(lengths: list[int], left: dict[int, int], room: int) -> list[int]:
+    """For each place in ``lengths``, a word whose bit s is set if some of the lengths from there on add up to s."""
+    mask, out = (1 << (room + 1)) - 1, [1] * (len(lengths) + 1)
+    for i in range(len(lengths) - 1, -1, -1):
+        n, k, reach, some = lengths[i], min(left[lengths[i]], room // lengths[i]), out[i + 1], 1
+        while k > 0:
+            reach |= (reach << (n * min(some, k))) & mask
+            k, some = k - some, 2 * some
+        out[i] = reach
+    return out
+
 
-    Lengths are tried from the largest down, each as often as fits; a branch ends when its waste cannot get below the
-    best known. A filling is kept only if no length left over fits into its waste (it would dominate). ``steps`` bounds the search of one call; its first
-    descent, the best fit, is always found.
+def _dominated(items: dict[int, int], space: int, left: dict[int, int]) -> bool:
+    """Whether lengths left over could stand in for some of a filling's: each alone, or two or three of them together.
+
+    Then the larger ones would be packed and smaller ones kept, which never needs more bins.
+    """
+    spare = [n for n, c in left.items() if c > items.get(n, 0)]
+    each = [n for n, k in items.items() for _ in range(min(k, 3))]
+    sums = {sum(c) for r in (1, 2, 3) for c in combinations(each[-12:], r)} | {0}
+    singles = set(each)
+    return any(b <= n <= b + space and (n > b or b not in singles) for n in spare for b in sums if n - b >= 0)
+
+
+def fillings(counts: dict[int, int], largest: int, capacity: int, waste: int = 0) -> Iterator[list[tuple[int, int]]]:
+    """Undominated fillings around ``largest``, those with the largest other lengths first.
+
+    Their waste is at most ``waste`` more than the least one possible, so no branch is entered that does not end in a
+    filling: the sums that the smaller lengths can reach are known. Lengths are tried from the largest down, each as
+    often as fits first.
     """
     room = capacity - largest
     left = {n: c - (n == largest) for n, c in counts.items() if n <= room and c - (n == largest) > 0}
     lengths = sorted(left, reverse=True)
-    reach = np.zeros(len(lengths) + 1, np.int64)
-    for i in range(len(lengths) - 1, -1, -1):
-        reach[i] = min(room, reach[i + 1] + lengths[i] * left[lengths[i]])
-    found: list[tuple[int, list[tuple[int, int]]]] = []
-    best, tried = room + 1, 0
+    sums = _sums(lengths, left, room)
+    least = max(0, min(sums[0].bit_length() - 1, room - waste))
     todo: list[tuple[int, int, tuple[tuple[int, int], ...]]] = [(0, room, ())]
+    first = True
     while todo:
         i, space, used = todo.pop()
-        tried += 1
-        if i == len(lengths) or space == 0:
-            if space < best or (space == best and len(found) < most):
-                best = min(best, space)
-                found.append((space, list(used)))
-            if best == 0 and (len(found) >= most or tried > 200):
-                break
-            continue
-        if tried > steps:
-            break
-        if space - reach[i] > best:
-            continue
         while i < len(lengths) and lengths[i] > space:
             i += 1
         if i == len(lengths):
-            todo.append((i, space, used))
+            items = dict(used)
+            if first or not _dominated(items, space, left):
+                first = False
+                items[largest] = items.get(largest, 0) + 1
+                yield sorted(items.items(), reverse=True)
             continue
         n = lengths[i]
-        top = min(left[n], space // n)
-        if space - top * n - reach[i + 1] <= best or not found:
-            for k in range(top + 1):  # the largest number is tried first: it is on top
-                todo.append((i + 1, space - k * n, (*used, (n, k)) if k else used))
-    found.sort(key=lambda f: (f[0], len(f[1])))
-    out = []
-    for waste, items in found:
-        merged = dict(items)
-        if waste and any(n <= waste and c > merged.get(n, 0) for n, c in left.items()):
-            continue
-        merged[largest] = merged.get(largest, 0) + 1
-        out.append(sorted(merged.items(), reverse=True))
-    return out[:most] or [[(largest, 1)]]
+        for k in range(min(left[n], space // n) + 1):  # the largest number is tried first: it is on top
+            rest, need = space - k * n, max(0, least - room + space - k * n)
+            if (sums[i + 1] >> need) & ((1 << (rest - need + 1)) - 1):
+                todo.append((i + 1, rest, (*used, (n, k)) if k else used))
+
+
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Bins that every packing needs: for each limit, lengths above half the capacity need one each, and what lengths from
+    the limit to half the capacity cannot find beside them needs more."""
+    best = 0
+    for limit in [0, *(n for n in counts if 2 * n <= capacity)]:
+        large = sum(c for n, c in counts.items() if 2 * n > capacity)
+        beside = sum(c * (capacity - n) for n, c in counts.items() if capacity < 2 * n <= 2 * (capacity - limit))
+        small = sum(c * n for n, c in counts.items() if limit <= n and 2 * n <= capacity)
+        best = max(best, large + max(0, -((beside - small) // capacity)))
+    return best
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[Filling]:
-    """The incumbent: the largest length left, then always the largest that still fits, as many such bins as the counts allow."""
+    """The first incumbent: the largest length left, then always the one that fits best into what is left, as many such bins as
+    the counts allow. (Taking the largest that fits, bin by bin, gives each bin the best fit among the lengths left.)"""
     left, out = {n: c for n, c in counts.items() if c}, []
     while left:
         space, used = capacity, {}
@@ -95,54 +114,62 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Filling]:
     return out
 
 
-def complete_bins(counts: dict[int, int], capacity: int, budget: int = 4000) -> list[Filling]:
+#: Waste that fillings may have over the least possible, tried in this order.
+TOLERATED = (0, 8, 4, 16, 2, 32, 1, 64, 6, 12, 24)
+
+
+def complete_bins(counts: dict[int, int], capacity: int, budget: int = 5000, options: int = 3) -> list[Filling]:
     """Few bins of ``capacity`` for ``counts`` items of each length, by branch and bound over fillings.
 
-    Each step fills bins around the largest length left with its best undominated filling, as many times as the counts
-    allow; if the waste so far rules out fewer bins than the incumbent has, the step before takes its next
-    filling. Ends at the lower bound (all lengths over capacity), or after ``budget`` steps with the incumbent.
+    A descent fills bins around the largest length left with its first undominated filling, as many times as the counts
+    allow; it ends where its waste rules out fewer bins than the incumbent has. Descents start from the root for
+    each of the tolerated wastes: little waste uses up small lengths early, more keeps them for the end. Then steps are
+    revised one at a time, from the first one on, by their next ``options`` fillings, each followed by a descent; a better
+    packing is the new incumbent, and its own steps are revised. Ends at the lower bound, or after ``budget`` fillings:
+    the search is bounded, the incumbent is always whole.
     """
     counts = {n: c for n, c in counts.items() if c}
-    total = sum(n * c for n, c in counts.items())
-    bound = -(-total // capacity)
+    total, bound, spent = sum(n * c for n, c in counts.items()), lower_bound(counts, capacity), 0
     best = best_fit(counts, capacity)
     n_best = sum(t for t, _ in best)
-    spent = 0
-    path: list[tuple[dict[int, int], Iterator[list[tuple[int, int]]], int]] = []
-    state, done, wasted = dict(counts), [], 0
-    while n_best > bound and spent < budget:
-        if state and wasted <= (n_best - 1) * capacity - total:
-            path.append((dict(state), iter(fillings(state, max(state), capacity)), wasted))
-        elif not state:
-            n = sum(t for t, _ in done)
-            if n < n_best:
-                best, n_best = list(done), n
-            if n_best <= bound:
-                break
-        # the next filling of the deepest step that has one
-        while path:
-            at, options, wasted = path[-1]
-            filling = next(options, None)
-            if filling is not None:
+    steps: list[tuple[dict[int, int], list[Filling], int, int]] = []
+
+    def descend(state: dict[int, int], done: list[Filling], wasted: int, waste: int, option: int = 0) -> bool:
+        """Go down to the end from ``state``; whether a better packing was found, whose steps are then in ``steps``."""
+        nonlocal best, n_best, spent, steps
+        trail, done = [], list(done)
+        while state and wasted <= (n_best - 1) * capacity - total and spent < budget:
+            filling = next(islice(fillings(state, max(state), capacity, waste), option, None), None)
+            spent += 1
+            if filling is None:
+                return False
+            trail.append((state, list(done), wasted, waste))
+            option, times = 0, min(state[n] // k for n, k in filling)
+            state = {n: c for n, c in ((n, c - times * dict(filling).get(n, 0)) for n, c in state.items()) if c}
+            done.append((times, filling))
+            wasted += times * (capacity - sum(n * k for n, k in filling))
+        found = sum(t for t, _ in done)
+        if state or found >= n_best:
+            steps = steps or trail
+            return False
+        best, n_best, steps = done, found, trail
+        return True
+
+    for waste in TOLERATED:
+        if n_best > bound:
+            descend(counts, [], 0, waste)
+    improved = True
+    while improved and n_best > bound and spent < budget:
+        revised, improved = steps, False
+        for state, done, wasted, waste in revised:
+            improved = any(n_best > bound and descend(state, done, wasted, waste, k) for k in range(1, options + 1))
+            if improved or spent >= budget:
                 break
-            path.pop()
-        if not path:
-            break
-        spent += 1
-        del done[len(path) - 1 :]
-        times = min(at[n] // k for n, k in filling)
-        state = dict(at)
-        for n, k in filling:
-            state[n] -= k * times
-            if not state[n]:
-                del state[n]
-        done.append((times, filling))
-        wasted += times * (capacity - sum(n * k for n, k in filling))
     return best
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str | None, name: str | None, capacity: int, end_id: int, cache: int) -> Iterator[pa.RecordBatch]:
-    encode = encoder(tokenizer or tokenizer_path(name), "lead", cache).encode
+    encode = encoder(tokenizer or tokenizer_path(name), cache).encode
     end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
         texts, row, piece, start, length, crc = batch.column("text"), [], [], [], [], []
@@ -169,7 +196,7 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, name: str = "
     """
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_th"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _th long, piece int, start long, length long, ids_crc32 long"
-    return rows.mapInArrow(partial(_pieces, tokenizer=tokenizer, name=name, capacity=capacity, end_id=end_id, cache=cache), schema)
+    return bytewise.map_batches(rows, _pieces, schema, rows=10_000, tokenizer=tokenizer, name=name, capacity=capacity, end_id=end_id, cache=cache)
 
 
 def slots(spark: SparkSession, plan: list[Filling]) -> DataFrame:

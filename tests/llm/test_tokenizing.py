@@ -1,5 +1,8 @@
 """The chunk encoder against the library's own ids of whole texts."""
 
+import json
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -20,9 +23,9 @@ def whole(encoder, texts):
 
 
 @pytest.mark.parametrize(("name", "space"), KINDS)
-def test_chunks_give_the_ids_of_whole_texts(name, space, monkeypatch):
-    monkeypatch.setattr(tokenizing, "MOST", 3)  # generations change with each call
-    encoder = tokenizing.ChunkEncoder(tokenizing.tokenizer_path(name), space)
+def test_chunks_give_the_ids_of_whole_texts(name, space):  # with so small a cache generations change with each call
+    encoder = tokenizing.ChunkEncoder(tokenizing.tokenizer_path(name), 3)
+    assert encoder.rule == space
     for texts in (ODD, ODD[::-1], ODD * 2):
         assert encoder.encode(pa.array(texts, pa.string())) == whole(encoder, texts)
     assert encoder.encode(pa.array([], pa.string())) == []
@@ -32,7 +35,25 @@ def test_chunks_give_the_ids_of_whole_texts(name, space, monkeypatch):
 @settings(max_examples=60, deadline=None)
 @given(texts=st.lists(st.text(st.one_of(st.sampled_from("ab CD.,'!\n 1é&ŉ́<|>"), st.characters(exclude_categories=["Cs"])), max_size=60), max_size=6))
 def test_any_text(name, space, texts):
-    encoder = tokenizing.encoder(tokenizing.tokenizer_path(name), space)
+    encoder = tokenizing.encoder(tokenizing.tokenizer_path(name))
+    assert encoder.encode(pa.array(texts, pa.string())) == whole(encoder, texts)
+
+
+@pytest.mark.parametrize("change", ["normalizer", "pattern", "added", "dropout"])
+def test_other_tokenizers_encode_texts_whole(change, tmp_path):
+    told = json.loads(Path(tokenizing.tokenizer_path("byte_bpe_50k.json")).read_text())
+    if change == "normalizer":
+        told["normalizer"] = {"type": "Lowercase"}
+    elif change == "pattern":
+        told["pre_tokenizer"]["add_prefix_space"] = True
+    elif change == "added":
+        told["added_tokens"].append({"id": 50257, "content": "two, words", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": False})
+    else:
+        told["pre_tokenizer"]["use_regex"] = False
+    (tmp_path / "other.json").write_text(json.dumps(told))
+    encoder = tokenizing.ChunkEncoder(str(tmp_path / "other.json"))
+    texts = [*ODD, "say two, words and Two Words"]
+    assert encoder.rule is None
     assert encoder.encode(pa.array(texts, pa.string())) == whole(encoder, texts)
 
 
