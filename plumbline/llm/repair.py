@@ -1,7 +1,7 @@
 """Token ids in files of Re-Pair grammars (operator 10).
 
 Ids of whole documents in ascending doc_id order are cut into shards; in each, frequent pairs of neighbours are replaced by
-nonterminals again and again. A shard keeps its rules, the length that each symbol expands to, the sequence left over and
+nonterminals until none is left that would pay for its rule. A shard keeps its rules, the length that each symbol expands to, the sequence left over and
 its documents' lengths, so any range of ids is decoded from the symbols that cover it alone.
 """
 
@@ -11,7 +11,6 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +18,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm import bytewise
 from plumbline.llm.tokenizing import encoder, text_blocks, tokenizer_path
 from plumbline.runtime import broadcast_checked, stage
 
 MAGIC = b"RPG1"
 #: Ids in a shard, about: a shard ends with the document that fills it.
-SHARD_IDS = 1 << 20
-_HASH_BITS = 18
+SHARD_IDS = 1 << 19
+#: A rule takes three words of a shard and each replacement saves one: from four occurrences on it makes the file smaller.
+LEAST = 4
+#: Text that is encoded at a time, about, in bytes.
+BLOCK = 8 << 20
+#: Ids that a reader decodes at a time, about: whole documents, one at least.
+READ_IDS = 1 << 17
 
 
 @dataclass
@@ -50,62 +55,104 @@ class Grammar:
         return out
 
 
-def compress(ids: np.ndarray, rounds: int = 4, per_round: int = 4096, least: int = 8) -> Grammar:
-    """Re-Pair in rounds: each finds frequent pairs by hashed counts and replaces their occurrences that do not overlap.
+def _grouped(left: np.ndarray, right: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of pairs, equal pairs side by side, and where each group of equal pairs begins.
 
-    In a run of overlapping occurrences every other one is taken, from the left. Ends when no pair occurs ``least`` times.
+    If a pair and its place fit in 64 bits, as they do for shards of usual size, one sort of such words is all it takes.
+    """
+    half, low = symbols.bit_length(), len(left).bit_length()
+    if 2 * half + low <= 64:
+        key = (left.astype(np.uint64) << np.uint64(half + low)) | (right.astype(np.uint64) << np.uint64(low))
+        key |= np.arange(len(key), dtype=np.uint64)
+        key.sort()
+        order, pair = (key & np.uint64((1 << low) - 1)).astype(np.int64), key >> np.uint64(low)
+    else:
+        pair = (left.astype(np.uint64) << np.uint64(32)) | right
+        order = np.argsort(pair)
+        pair = pair[order]
+    return order, np.concatenate(([0], np.flatnonzero(pair[1:] != pair[:-1]) + 1))
+
+
+#: An odd factor and its inverse modulo 2**32: the order of pairs that are equally frequent.
+_MIX, _UNMIX = np.uint64(0x9E3779B1), np.uint64(pow(0x9E3779B1, -1, 1 << 32))
+_LOW32 = np.uint64(0xFFFFFFFF)
+
+
+def compress(ids: np.ndarray, least: int = 2) -> Grammar:
+    """Re-Pair: replaces frequent pairs of neighbours by nonterminals until no pair occurs ``least`` times without overlap.
+
+    Pairs are counted exactly. A round takes every pair that is more frequent than both pairs it overlaps, the most frequent
+    one of all among them; ties are broken at random, so long copies shrink by a share in each round. In a run of
+    overlapping occurrences every other one counts, from the left. An occurrence that is the only one of its pair
+    stays so until a neighbour changes, for replacements make new symbols only: later rounds leave it out.
     """
     seq = ids.astype(np.uint32)
     first = int(ids.max()) + 1 if len(ids) else 0
     left, right, nxt = [], [], first
-    for _ in range(rounds):
-        if len(seq) < 2 * least:
-            break
-        pair = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        slot = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)).astype(np.int64)
-        count = np.bincount(slot, minlength=1 << _HASH_BITS)
-        floor = max(least, int(np.partition(count, -per_round)[-per_round]))
-        if count.max() < floor:
+    live = np.ones(len(seq), bool)
+    while len(at := np.flatnonzero(live[:-1])) >= least:
+        twin = np.flatnonzero(seq[at] == seq[at + 1])
+        if len(twin):  # in a run of one symbol the second, fourth, ... pair overlaps the one before
+            begins = np.diff(at[twin], prepend=-2) != 1
+            nth = np.arange(len(twin)) - np.maximum.accumulate(np.where(begins, np.arange(len(twin)), 0))
+            counted = np.ones(len(at), bool)
+            counted[twin[nth % 2 == 1]] = False
+            at = at[counted]
+        order, begin = _grouped(seq[at], seq[at + 1], nxt)
+        count = np.diff(np.append(begin, len(order)))
+        many = count >= least
+        often = np.repeat(many, count)
+        live[at[order[~often]]] = False
+        if not many.any():
             break
-        leader = np.zeros(1 << _HASH_BITS, np.uint64)
-        leader[slot] = pair  # some pair of the slot: mostly its frequent one
-        hit = np.flatnonzero((count >= floor)[slot] & (leader[slot] == pair))
-        real = np.bincount(slot[hit], minlength=1 << _HASH_BITS)
-        hit = hit[real[slot[hit]] >= least]
-        if not len(hit):
-            break
-        start = np.concatenate(([True], np.diff(hit) != 1))
-        run = np.maximum.accumulate(np.where(start, np.arange(len(hit)), 0))
-        hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
-        used = np.flatnonzero(np.bincount(slot[hit], minlength=1 << _HASH_BITS))
-        symbol = np.zeros(1 << _HASH_BITS, np.uint32)
-        symbol[used] = nxt + np.arange(len(used))
-        left.append((leader[used] >> np.uint64(32)).astype(np.uint32))
-        right.append((leader[used] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-        nxt += len(used)
-        seq = seq.copy()
-        seq[hit] = symbol[slot[hit]]
+        # a place's rank: how often its pair occurs, then a number of its own
+        number = (np.arange(len(begin), dtype=np.uint64) * _MIX) & _LOW32
+        rank = np.zeros(len(at), np.uint64)
+        rank[order[often]] = np.repeat((count.astype(np.uint64) << np.uint64(32)) | number, count)[often]
+        at, rank = at[rank > 0], rank[rank > 0]
+        apart = np.diff(at) > 1
+        best = np.ones(len(at), bool)
+        best[1:] &= apart | (rank[1:] > rank[:-1])
+        best[:-1] &= apart | (rank[:-1] >= rank[1:])
+        at, code = at[best], (((rank[best] & _LOW32) * _UNMIX) & _LOW32).astype(np.int64)
+        used = np.bincount(code, minlength=len(begin))
+        rules = np.flatnonzero(used >= least)
+        symbol = np.zeros(len(begin), np.uint32)
+        symbol[rules] = nxt + np.arange(len(rules))
+        taken = used[code] >= least
+        at, code = at[taken], code[taken]
+        example = np.zeros(len(begin), np.int64)
+        example[code] = at
+        left.append(seq[example[rules]])
+        right.append(seq[example[rules] + 1])
+        nxt += len(rules)
+        seq[at] = symbol[code]
         keep = np.ones(len(seq), bool)
-        keep[hit + 1] = False
-        seq = seq[keep]
+        keep[at + 1] = False
+        seq, live = seq[keep], live[keep]
+        now = at - np.arange(len(at))  # every replacement before has shortened the sequence by one
+        live[now] = True
+        live[np.maximum(now - 1, 0)] = True
     join = lambda x: np.concatenate(x) if x else np.zeros(0, np.uint32)
     return Grammar(first, join(left), join(right), seq)
 
 
-def expand(grammar: Grammar, symbols: np.ndarray) -> np.ndarray:
-    """All ids that ``symbols`` stand for: nonterminals are replaced by their two sides until none is left."""
-    seq = symbols
-    while True:
-        non = seq >= grammar.first
-        if not len(seq) or not non.any():
-            return seq
-        at = np.arange(len(seq)) + np.concatenate(([0], np.cumsum(non)[:-1]))
-        out = np.empty(len(seq) + int(non.sum()), np.uint32)
-        rule = seq[non].astype(np.int64) - grammar.first
-        out[at[~non]] = seq[~non]
-        out[at[non]] = grammar.left[rule]
-        out[at[non] + 1] = grammar.right[rule]
-        seq = out
+def expand(grammar: Grammar, lengths: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """All ids that ``symbols`` stand for. Each nonterminal's two sides go to their places in the result; ids are done."""
+    size = np.ones(len(symbols), np.int64)
+    size[symbols >= grammar.first] = lengths[symbols[symbols >= grammar.first].astype(np.int64) - grammar.first]
+    ends = np.cumsum(size)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+    todo, at = symbols, ends - size
+    while len(todo):
+        done = todo < grammar.first
+        out[at[done]] = todo[done]
+        rule, at = todo[~done].astype(np.int64) - grammar.first, at[~done]
+        left = grammar.left[rule]
+        step = np.ones(len(rule), np.int64)
+        step[left >= grammar.first] = lengths[left[left >= grammar.first].astype(np.int64) - grammar.first]
+        todo, at = np.concatenate((left, grammar.right[rule])), np.concatenate((at, at + step))
+    return out
 
 
 def to_bytes(grammar: Grammar, doc_sizes: np.ndarray) -> bytes:
@@ -117,7 +164,10 @@ def to_bytes(grammar: Grammar, doc_sizes: np.ndarray) -> bytes:
 
 @dataclass
 class Shard:
+    """A stored shard; ``ends``: the ids up to and with each symbol of the sequence; ``lengths``: those of nonterminals."""
+
     grammar: Grammar
+    lengths: np.ndarray
     ends: np.ndarray
     doc_sizes: np.ndarray
 
@@ -128,7 +178,7 @@ class Shard:
         a = int(np.searchsorted(self.ends, start, side="right"))
         b = int(np.searchsorted(self.ends, start + n - 1, side="right"))
         before = int(self.ends[a - 1]) if a else 0
-        return expand(self.grammar, self.grammar.sequence[a : b + 1])[start - before : start - before + n]
+        return expand(self.grammar, self.lengths, self.grammar.sequence[a : b + 1])[start - before : start - before + n]
 
 
 def from_bytes(raw: bytes) -> Shard:
@@ -141,27 +191,26 @@ def from_bytes(raw: bytes) -> Shard:
         at += 4 * n
     left, right, lengths, seq, sizes = parts
     size = np.ones(len(seq), np.int64)
-    non = seq >= first
-    size[non] = lengths[seq[non].astype(np.int64) - first]
-    return Shard(Grammar(first, left, right, seq), np.cumsum(size), sizes.astype(np.int64))
+    size[seq >= first] = lengths[seq[seq >= first].astype(np.int64) - first]
+    return Shard(Grammar(first, left, right, seq), lengths, np.cumsum(size), sizes.astype(np.int64))
 
 
 def _write(batches: Iterator[pa.RecordBatch], tokenizer: str | None, name: str | None, end_id: int, shard_ids: int) -> Iterator[pa.RecordBatch]:
-    encode = encoder(tokenizer or tokenizer_path(name), "drop").encode
+    encode = encoder(tokenizer or tokenizer_path(name)).encode
     end = np.array([end_id], "<u4").tobytes()
-    part, seq, keys, ids, n = TaskContext.get().partitionId(), 0, [], [], 0
+    part, seq, keys, ids, n, kind = TaskContext.get().partitionId(), 0, [], [], 0, None
 
     def shard() -> pa.RecordBatch:
         nonlocal seq, keys, ids, n
         sizes = np.array([len(x) // 4 for x in ids], np.int64)
-        payload = to_bytes(compress(np.frombuffer(b"".join(ids), "<u4")), sizes)
-        out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([keys], pa.list_(pa.int64())), pa.array([n], pa.int64()), pa.array([payload], pa.binary())], names=["part", "seq", "doc_ids", "n_ids", "payload"])
+        payload = to_bytes(compress(np.frombuffer(b"".join(ids), "<u4"), LEAST), sizes)
+        out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([keys], pa.list_(kind)), pa.array([n], pa.int64()), pa.array([payload], pa.binary())], names=["part", "seq", "doc_ids", "n_ids", "payload"])
         seq, keys, ids, n = seq + 1, [], [], 0
         return out
 
     for batch in batches:
-        texts, doc_ids = batch.column("text"), batch.column("doc_id").to_pylist()
-        for at, upto in text_blocks(texts):
+        texts, doc_ids, kind = batch.column("text"), batch.column("doc_id").to_pylist(), batch.column("doc_id").type
+        for at, upto in text_blocks(texts, BLOCK):
             for r, x in enumerate(encode(texts.slice(at, upto - at)), at):
                 keys.append(doc_ids[r])
                 ids.append(x + end)
@@ -176,13 +225,14 @@ def write_shards(docs: DataFrame, end_id: int = 2, name: str = "word_bpe_49k.jso
     """A staged table of shards (part, seq, doc_ids, n_ids, payload), in ascending doc_id order over (part, seq).
 
     Texts, NULL as empty, each with the end id after it. Rows are range-partitioned by doc_id (NULL first) with the text's
-    hash to break ties, so one id that many rows share is spread as well; equal rows stay, side by side.
+    hash to break ties, so one id that many rows share is spread as well; equal rows stay, side by side. Ids keep their
+    type, whatever it is, and are ordered by it; without rows there are no shards. Other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_th"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_th"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("_th")]
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    made = sorted_rows.mapInArrow(partial(_write, tokenizer=tokenizer, name=name, end_id=end_id, shard_ids=shard_ids), "part int, seq int, doc_ids array<long>, n_ids long, payload binary")
+    made = bytewise.map_batches(sorted_rows, _write, f"part int, seq int, doc_ids array<{docs.schema['doc_id'].dataType.simpleString()}>, n_ids long, payload binary", rows=10_000, tokenizer=tokenizer, name=name, end_id=end_id, shard_ids=shard_ids)
     return stage(made, "token-shards")
 
 
@@ -190,11 +240,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in range(batch.num_rows):
             shard = from_bytes(batch.column("payload")[r].as_py())
-            ids = expand(shard.grammar, shard.grammar.sequence).astype("<u4").tobytes()
-            ends = np.cumsum(shard.doc_sizes)
-            crc = [zlib.crc32(ids[4 * (e - s) : 4 * e]) for s, e in zip(shard.doc_sizes.tolist(), ends.tolist(), strict=True)]
-            base = batch.column("start")[r].as_py()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[r].values, pa.array(base + ends - shard.doc_sizes), pa.array(shard.doc_sizes), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            ends = np.concatenate(([0], np.cumsum(shard.doc_sizes)))
+            crc = []
+            for i, j in bytewise.blocks(ends, READ_IDS):
+                ids = shard.ids(int(ends[i]), int(ends[j] - ends[i])).astype("<u4", copy=False).tobytes()
+                cuts = (4 * (ends[i : j + 1] - ends[i])).tolist()
+                crc += [zlib.crc32(ids[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            start = batch.column("start")[r].as_py() + ends[:-1]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[r].values, pa.array(start), pa.array(shard.doc_sizes), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
@@ -206,7 +259,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
     parts = parts.select("part", F.coalesce(F.sum("_n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     own = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     starts = shards.select("part", "seq", "n_ids").withColumn("_own", F.coalesce(F.sum("n_ids").over(own), F.lit(0))).join(parts, "part").select("part", "seq", (F.col("_own") + F.col("_before")).alias("start"))
-    return shards.join(broadcast_checked(starts), ["part", "seq"]).select("doc_ids", "payload", "start").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return bytewise.map_batches(shards.join(broadcast_checked(starts), ["part", "seq"]).select("doc_ids", "payload", "start"), _read, f"doc_id {shards.schema['doc_ids'].dataType.elementType.simpleString()}, start long, n_tokens long, ids_crc32 long")
 
 
 def op10_token_files(spark, sf_dir: str) -> DataFrame:
