@@ -9,7 +9,6 @@ queries by the shuffle: the trees of all shards grow with the data, so they are
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 from itertools import repeat
 
 import numpy as np
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import bytewise
 from plumbline.operators.components import connected_components
-from plumbline.runtime import stage
+from plumbline.runtime import stage, unstage
 
 #: Shards with more fingerprints than this are divided by further bits.
 MOST_IN_SHARD = 4096
@@ -76,7 +75,7 @@ def fingerprints(docs: DataFrame, width: int = 3, lanes: int = 1) -> DataFrame:
     """(doc_id, _th, f0, f1, ...): the SimHash of every whole text; ``_th`` is the text's hash, for rows that share an id."""
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_th"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _th long, " + ", ".join(f"f{k} long" for k in range(lanes))
-    return rows.mapInArrow(partial(_fingerprint, width=width, lanes=lanes), schema)
+    return bytewise.map_batches(rows, _fingerprint, schema, width=width, lanes=lanes)
 
 
 class BKTree:
@@ -215,7 +214,8 @@ def hamming_links(codes: DataFrame, radius: int, most: int = MOST_IN_SHARD) -> D
 
 
 def _searched(rows: DataFrame, radius: int, names: tuple[str, ...] = ("f0",)) -> DataFrame:
-    return rows.select("key", *names).repartition("key").sortWithinPartitions("key", names[0]).mapInArrow(partial(_search, radius=radius, names=list(names)), "src long, dst long")
+    shards = rows.select("key", *names).repartition("key").sortWithinPartitions("key", names[0])
+    return bytewise.map_batches(shards, _search, "src long, dst long", rows=10_000, radius=radius, names=list(names))
 
 
 def components_of(prints: DataFrame, links: DataFrame) -> DataFrame:
@@ -275,7 +275,7 @@ def common_shingles(docs: DataFrame, width: int, sample: int = 8192, least: int
     """Shingles that are frequent in a sample of the texts, sorted. They only decide the order in which prefixes are taken."""
     every = max(1, docs.count() // sample)
     some = docs.where(F.expr(f"pmod(xxhash64(text), {every}) = 0")).select("text").distinct()
-    counts = some.mapInArrow(partial(_shingles, width=width), "shingle long").groupBy("shingle").count().where(F.col("count") >= least)
+    counts = bytewise.map_batches(some, _shingles, "shingle long", width=width).groupBy("shingle").count().where(F.col("count") >= least)
     return np.unique(np.array([r["shingle"] for r in counts.orderBy(F.desc("count"), "shingle").limit(most).collect()], np.int64).astype(np.uint64))
 
 
@@ -367,7 +367,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, lan
     wide = [f"f{k}" for k in range(lanes)]
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_th"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _th long, code long, n long, prefix array<long>, " + ", ".join(f"{c} long" for c in wide)
-    prints = stage(rows.mapInArrow(partial(_sets, width=width, similarity=similarity, lanes=lanes, hot=common_shingles(docs, width)), schema), "prints")
+    prints = stage(bytewise.map_batches(rows, _sets, schema, width=width, similarity=similarity, lanes=lanes, hot=common_shingles(docs, width)), "prints")
     codes = stage(prints.dropDuplicates(["code"]), "codes")
     met = codes.select("code", F.explode("prefix").alias("key")).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("_n > 1")
     shards = _in_pairs(met.join(codes.select("code", *wide), "code"), F.when(F.col("_n") > most, F.ceil(F.col("_n") * 2 / most)).otherwise(1), "code", *wide)
@@ -375,12 +375,15 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, lan
     members = codes.select("code", "doc_id", "_th", "n").join(connected_components(maybe).select(F.col("node").alias("code"), F.col("component").alias("key")), "code")
     members = stage(members.join(members.groupBy("key").agg(F.sum("n").alias("total")), "key"), "members")
     texts = rows.join(members.withColumnRenamed("doc_id", "_id").withColumnRenamed("_th", "_own"), (F.col("_th") == F.col("_own")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    sets = texts.select("key", "code", "total", "text").mapInArrow(partial(_set_bytes, width=width), "key long, code long, total long, shingles binary")
+    sets = bytewise.map_batches(texts.select("key", "code", "total", "text"), _set_bytes, "key long, code long, total long, shingles binary", width=width)
     dealt = _in_pairs(sets, F.when(F.col("total") > most_shingles, F.ceil(F.col("total") * 2 / most_shingles)).otherwise(1), "code", "shingles")
-    found = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_verify, similarity=similarity), "src long, dst long")
+    found = bytewise.map_batches(dealt.repartition("key").sortWithinPartitions("key"), _verify, "src long, dst long", rows=500, similarity=similarity)
     links = stage(found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "links")
+    unstage(codes, maybe, members)
     cc = connected_components(links).withColumnRenamed("node", "code")
-    return prints.join(cc, "code", "left").select("doc_id", "_th", F.coalesce("component", "code").alias("group_id"))
+    groups = stage(prints.join(cc, "code", "left").select("doc_id", "_th", F.coalesce("component", "code").alias("group_id")), "groups")
+    unstage(prints, links)
+    return groups
 
 
 def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:

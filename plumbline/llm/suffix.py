@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -227,13 +226,14 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[list] = [[], [], [], []]
-        for text, pieces in zip(batch.column("text"), batch.column("pieces").to_pylist(), strict=True):
-            raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-            for p in pieces:
-                for k, v in enumerate((p["anchor"], p["content"], p["crowded"], raw[p["start"] : p["start"] + p["size"]])):
-                    out[k].append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["anchor", "content", "crowded", "piece"])
+        lists = batch.column("pieces")
+        each = lists.flatten()
+        start, size = each.field("start").to_numpy(), each.field("size").to_numpy()
+        data, offsets = bytewise.text_bytes(batch.column("text"))
+        begin = offsets[:-1].repeat(lists.value_lengths().to_numpy()) + start
+        raw = data.tobytes()
+        found = [raw[a:b] for a, b in zip(begin.tolist(), (begin + size).tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*(each.field(n) for n in ("anchor", "content", "crowded")), pa.array(found, pa.binary())], names=["anchor", "content", "crowded", "piece"])
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, gram: int = GRAM, most: int = MOST_PIECES) -> DataFrame:
@@ -243,7 +243,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = GRAM, most: i
     """
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_th"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    pieces = stage(keyed.mapInArrow(partial(_cut_up, length=length, gram=gram), f"doc_id {kind}, _th long, start int, size int, anchor long, content long"), "pieces")
+    pieces = stage(bytewise.map_batches(keyed, _cut_up, f"doc_id {kind}, _th long, start int, size int, anchor long, content long", length=length, gram=gram), "pieces")
     # tables of keys are staged: a join with a staged side is split where a key is hot
     again = stage(pieces.groupBy("anchor").count().where("count > 1").select("anchor"), "again")
     likely = stage(pieces.join(again, "anchor", "left_semi"), "likely")
@@ -254,16 +254,18 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = GRAM, most: i
     sought = different.join(several, "anchor").select("anchor", "content", "one.*", (F.col("kinds") > most).alias("crowded"))
     lists = sought.groupBy(F.col("doc_id").alias("_id"), F.col("_th").alias("_t")).agg(F.collect_list(F.struct("anchor", "content", "crowded", "start", "size")).alias("pieces"))
     texts = keyed.join(lists, keyed["doc_id"].eqNullSafe(lists["_id"]) & (keyed["_th"] == lists["_t"]))
-    fetched = stage(texts.select("text", "pieces").mapInArrow(_fetch, "anchor long, content long, crowded boolean, piece binary"), "fetched")
+    fetched = stage(bytewise.map_batches(texts.select("text", "pieces"), _fetch, "anchor long, content long, crowded boolean, piece binary", rows=500), "fetched")
     calm = fetched.where("NOT crowded").select("anchor", "content", "piece").repartition("anchor").sortWithinPartitions("anchor", "content")
-    marked = calm.mapInArrow(partial(_mark, length=length), "anchor long, content long, lo int, hi int")
-    windows = fetched.where("crowded").select("anchor", "content", "piece").mapInArrow(partial(_window_hashes, length=length), "anchor long, content long, lo int, w1 long, w2 long").distinct()
+    marked = bytewise.map_batches(calm, _mark, "anchor long, content long, lo int, hi int", length=length)
+    windows = bytewise.map_batches(fetched.where("crowded").select("anchor", "content", "piece"), _window_hashes, "anchor long, content long, lo int, w1 long, w2 long", length=length).distinct()
     twice = windows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
     counted = windows.join(twice, ["w1", "w2"], "left_semi").select("anchor", "content", "lo", (F.col("lo") + length).alias("hi"))
     whole = different.where("n > 1").select("anchor", "content", F.lit(0).alias("lo"), F.col("one.size").alias("hi"))
     ranges = stage(whole.union(marked).union(counted).groupBy("anchor", "content").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges")
     found = likely.join(ranges, ["anchor", "content"]).select("doc_id", "_th", F.expr("transform(ranges, r -> struct(r.lo + start AS lo, r.hi + start AS hi))").alias("ranges"))
-    return found.groupBy("doc_id", "_th").agg(F.flatten(F.collect_list("ranges")).alias("spans"))
+    spans = stage(found.groupBy("doc_id", "_th").agg(F.flatten(F.collect_list("ranges")).alias("spans")), "spans")
+    unstage(likely, different, several, fetched, ranges)
+    return spans
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -317,7 +319,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, whole_characters: bool =
     rows = docs.select(*(f"`{f.name}`" for f in others), "text", F.xxhash64("text").alias("__th"))
     joined = rows.join(spans, rows["doc_id"].eqNullSafe(spans["_id"]) & (rows["__th"] == spans["_t"]), "left")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "removed array<struct<lo: int, hi: int>>, kept binary"])
-    return joined.select(*(f"`{f.name}`" for f in others), "text", "spans").mapInArrow(partial(_remove, whole_characters=whole_characters), schema)
+    return bytewise.map_batches(joined.select(*(f"`{f.name}`" for f in others), "text", "spans"), _remove, schema, rows=500, whole_characters=whole_characters)
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
