@@ -10,7 +10,6 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import bytewise
 
 # Fixed values of the format: tag numbers, compression numbers, field sizes by type.
-WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_SIZES, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_SIZES = 256, 257, 258, 259, 262, 273, 277, 278, 279, 317, 322, 323, 324, 325
+WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_SIZES, PLANES, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_SIZES = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 FIELD_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 LZW_CLEAR, LZW_END, LZW_FIRST, LZW_MOST = 256, 257, 258, 4096
@@ -166,9 +165,9 @@ def _unpack(stored: bytes, how: int, size: int) -> bytes:
     return out
 
 
-def encode_pages(pages: list[np.ndarray], compression: int = DEFLATE, predictor: bool = False, rows_per_strip: int = 128, tile: tuple[int, int] | None = None) -> bytes:
-    """A little-endian TIFF of 8-bit grey pages, in strips, or in tiles of (height, width)."""
-    out = bytearray(b"II*\0\0\0\0\0")
+def encode_pages(pages: list[np.ndarray], compression: int = DEFLATE, predictor: bool = False, rows_per_strip: int = 128, tile: tuple[int, int] | None = None, order: str = "<") -> bytes:
+    """A TIFF of 8-bit grey pages, in strips, or in tiles of (height, width); ``order``: < for little-endian, > for big."""
+    out = bytearray({"<": b"II", ">": b"MM"}[order] + struct.pack(order + "HI", 42, 0))
     link = 4
     for page in pages:
         h, w = page.shape
@@ -193,15 +192,15 @@ def encode_pages(pages: list[np.ndarray], compression: int = DEFLATE, predictor:
         fields += [(PREDICTOR, 3, [2])] * predictor
         entries = bytearray()
         for tag, kind, values in sorted(fields):
-            body = struct.pack(f"<{len(values)}{'H' if kind == 3 else 'I'}", *values)
+            body = struct.pack(f"{order}{len(values)}{'H' if kind == 3 else 'I'}", *values)
             if len(body) > 4:
-                spot = struct.pack("<I", len(out))
+                spot = struct.pack(order + "I", len(out))
                 out += body + b"\0" * (len(body) % 2)
             else:
                 spot = body.ljust(4, b"\0")
-            entries += struct.pack("<HHI", tag, kind, len(values)) + spot
-        struct.pack_into("<I", out, link, len(out))
-        out += struct.pack("<H", len(fields)) + entries
+            entries += struct.pack(order + "HHI", tag, kind, len(values)) + spot
+        struct.pack_into(order + "I", out, link, len(out))
+        out += struct.pack(order + "H", len(fields)) + entries
         link = len(out)
         out += b"\0\0\0\0"
     return bytes(out)
@@ -242,6 +241,8 @@ def read_pages(raw: bytes) -> Iterator[np.ndarray]:
         w, h, how, samples = one(WIDTH, 0), one(HEIGHT, 0), one(COMPRESSION, NONE), one(SAMPLES, 1)
         if set(f.get(BITS, (1,))) != {8} or not w or not h:
             raise TiffError("not an image of 8-bit samples")
+        if samples > 1 and one(PLANES, 1) != 1:
+            raise TiffError("samples in separate planes")
         tiled = TILE_OFFSETS in f
         pw, ph = (one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0)) if tiled else (w, min(h, one(ROWS_PER_STRIP, h)))
         at, sizes = f.get(TILE_OFFSETS if tiled else STRIP_OFFSETS, ()), f.get(TILE_SIZES if tiled else STRIP_SIZES, ())
@@ -268,34 +269,34 @@ def _others(df: DataFrame, *taken: str):
     return [f for f in df.schema.fields if f.name not in taken]
 
 
-def _store(batches: Iterator[pa.RecordBatch], width: int, small: int, tiny: int) -> Iterator[pa.RecordBatch]:
+def form_of(text: bytes) -> dict:
+    """How a text is stored, by its own hash: each compression, predictor, layout and byte order gets its share of texts."""
+    h = zlib.crc32(text)
+    return {"compression": (PACKBITS, LZW, DEFLATE)[h % 3], "predictor": bool(h >> 8 & 1), "tile": (16, 32) if h >> 9 & 1 else None, "order": "<>"[h >> 10 & 1]}
+
+
+def _store(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = bytewise.text_bytes(batch.column("text"))
         out = []
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            size = max(width, -(-(b - a) // width) * width)
-            payload = np.zeros(size, np.uint8)
+            payload = np.zeros(max(width, -(-(b - a) // width) * width), np.uint8)
             payload[: b - a] = data[a:b]
-            page = payload.reshape(-1, width)
-            if size <= tiny:
-                out.append(encode_pages([page], PACKBITS))
-            elif size <= small:
-                out.append(encode_pages([page], LZW, predictor=True))
-            else:
-                out.append(encode_pages([page], DEFLATE))
+            out.append(encode_pages([payload.reshape(-1, width)], **form_of(data[a:b].tobytes())))
         names = [n for n in batch.schema.names if n != "text"]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(np.diff(offsets)), pa.array(out, pa.binary())], names=[*names, "n_bytes", "media"])
 
 
-def store_text(docs: DataFrame, width: int = 64, small: int = 1024, tiny: int = 256) -> DataFrame:
+def store_text(docs: DataFrame, width: int = 64) -> DataFrame:
     """The columns of ``docs`` but text, with n_bytes and media: each whole UTF-8 text as the samples of a one-page TIFF.
 
-    The text is filled up with bytes 0 to a positive multiple of ``width``, the image's width. Up to ``tiny`` bytes are
-    packed by PackBits, up to ``small`` by LZW over differences, more by deflate. NULL is stored as empty.
+    The text is filled up with bytes 0 to a positive multiple of ``width``, the image's width. A hash of the text, whatever
+    its size, decides between PackBits, LZW and deflate, plain samples and differences, strips and tiles, and both byte
+    orders, so equal texts have equal files. NULL is stored as empty; repeated rows are stored each.
     """
     others = _others(docs, "text", "n_bytes", "media")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "n_bytes long, media binary"])
-    return docs.select(*(f"`{f.name}`" for f in others), "text").mapInArrow(partial(_store, width=width, small=small, tiny=tiny), schema)
+    return bytewise.map_batches(docs.select(*(f"`{f.name}`" for f in others), "text"), _store, schema, rows=500, width=width)
 
 
 def grid_feature(page: np.ndarray) -> str:
@@ -339,12 +340,14 @@ def tiff_pages(files: DataFrame, pixels: bool = True) -> DataFrame:
     """One row per page of the TIFF files in column ``media``, with the other columns.
 
     page (from 0), width, height, pixels (samples by rows; NULL if ``pixels`` is False), pixels_sha256, tail (last 64
-    samples), feature, error. A file that cannot be read on gives a last row with the reason in ``error``; NULL media give no row.
+    samples), feature, error. A file that cannot be read on gives a last row with the reason in ``error``: a broken chain or
+    strip, no TIFF at all, and what is not read here, which is samples of other than 8 bits, samples in separate planes,
+    other compressions, and BigTIFF. NULL media give no row.
     """
     made = ("page", "width", "height", "pixels", "pixels_sha256", "tail", "feature", "error")
     others = _others(files, "media", *made)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "page int, width int, height int, pixels binary, pixels_sha256 string, tail binary, feature string, error string"])
-    return files.select(*(f"`{f.name}`" for f in others), "media").mapInArrow(partial(_pages, with_pixels=pixels), schema)
+    return bytewise.map_batches(files.select(*(f"`{f.name}`" for f in others), "media"), _pages, schema, rows=500, with_pixels=pixels)
 
 
 def op3_tiff_media(spark, sf_dir: str) -> DataFrame:
