@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm import bytewise
 from plumbline.llm.tokenizing import tokenizer_path
 
 _models: dict[str, object] = {}
@@ -97,14 +97,15 @@ def _count(batches: Iterator[pa.RecordBatch], tokenizer: str | None, name: str |
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
 
-def token_counts(docs: DataFrame, limit: int = 4096, chunk: int = 16_384, overlap: int = 512, name: str = "piece_bpe_32k.model", tokenizer: str | None = None) -> DataFrame:
+def token_counts(docs: DataFrame, limit: int = 4096, chunk: int = 2048, overlap: int = 128, name: str = "piece_bpe_32k.model", tokenizer: str | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row.
 
-    Texts over two ``chunk`` characters are encoded in chunks that overlap by ``overlap`` and more. NULL and empty texts
+    Texts over two ``chunk`` characters are encoded in chunks that overlap by ``overlap`` and more, wherever they can be
+    spliced; others as a whole, as all texts of a model with pieces that go on after white space. NULL and empty texts
     have no tokens; repeated rows are counted each; other columns are ignored.
     """
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean"
-    return docs.select("doc_id", "text").mapInArrow(partial(_count, tokenizer=tokenizer, name=name, limit=limit, chunk=chunk, overlap=overlap), schema)
+    return bytewise.map_batches(docs.select("doc_id", "text"), _count, schema, tokenizer=tokenizer, name=name, limit=limit, chunk=chunk, overlap=overlap)
 
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
