@@ -11,11 +11,10 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import bytewise
@@ -96,7 +95,7 @@ def fit_matrix(x: np.ndarray, languages: list[str], ridge: float = 1e-2, landmar
     turn = np.zeros(len(lang), np.int64)
     for k in range(len(names)):
         turn[lang == k] = np.arange((lang == k).sum())
-    chosen = np.lexsort((lang, turn))[:landmarks]
+    chosen = np.lexsort((lang, turn))[: max(landmarks, len(names))]  # by turns: every language has one
     marks = x[chosen].astype(np.float32)
     sizes = np.sqrt(np.maximum(1.0, marks.sum(1))).astype(np.float32)
     if not len(names):
@@ -120,15 +119,19 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = TRAIN_ROWS) -> Model:
-    """Learn from rows with text and lang: per language about ``per_language``, in all at most ``most``, chosen by hash.
+    """Learn from rows with text and lang: of each language ``per_language`` at most, chosen by hash.
 
-    What reaches the driver are the presence bits of those rows, 1 KB each.
+    Where all languages together would exceed ``most`` rows each gets the same share of them, one row at least, so none is
+    lost however many there are. What reaches the driver are the presence bits of those rows, 1 KB each.
     """
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = broadcast_checked(stage(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")), "languages"), 10_000)
+    counted = stage(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")), "languages")
+    share = max(1, min(per_language, most // max(1, counted.count())))
     point = F.expr("pmod(xxhash64(doc_id, lang), 1000000007) / 1000000007D")
-    some = rows.select("doc_id", "text", "lang").join(counts, "lang").withColumn("_at", point * F.col("_n")).where(F.col("_at") < per_language)
-    bits = some.select("lang", "text").mapInArrow(_bits, "lang string, bits binary").orderBy(F.xxhash64("bits"), "lang").limit(most).collect()
+    # a bounded number of rows for each language is left before they are ranked
+    some = rows.select("doc_id", "text", "lang").join(broadcast_checked(counted, 10_000), "lang").withColumn("_at", point * F.col("_n")).where(F.col("_at") < 3 * share + 30)
+    ranked = some.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_at", F.xxhash64("text"), "text"))).where(F.col("_rank") <= share)
+    bits = bytewise.map_batches(ranked.select("lang", "text"), _bits, "lang string, bits binary").orderBy(F.xxhash64("bits"), "lang").collect()
     x = np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in bits]) if bits else np.zeros((0, FEATURES), np.uint8)
     return fit_matrix(x, [r["lang"] for r in bits])
 
@@ -156,7 +159,7 @@ def predict(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame
     others = [f for f in docs.schema.fields if f.name not in ("text", "lang_pred", "score")]
     own = [f.name for f in others] + ["text"] * keep_text
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), *["text string"] * keep_text, "lang_pred string, score double"])
-    return docs.select(*(f"`{f.name}`" for f in others), "text").mapInArrow(partial(_predict, model=model, own=own), schema)
+    return bytewise.map_batches(docs.select(*(f"`{f.name}`" for f in others), "text"), _predict, schema, model=model, own=own)
 
 
 def least_score(docs: DataFrame, model: Model, most: int = 2000) -> float:
