@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import bytewise
 from plumbline.runtime import broadcast_checked
 
-#: Hash buckets of words and of byte 3-grams.
+#: Hash buckets of words and of 3-grams of characters.
 WORDS, GRAMS = 2048, 4096
 #: Labelled rows used for training, at most: a sample by hash of doc_id.
 TRAIN_ROWS = 2000
@@ -24,18 +23,20 @@ THRESHOLD = 0.3
 SYMBOLS = b"#*$%&|<>"
 
 
-def _features(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray):
-    """Bucket numbers of the words, and of the 3-grams at each byte (a 3-gram that would leave its text has bucket -1)."""
+def _features(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray):
+    """Bucket numbers of the words, those of the 3-grams of characters (bucket -1 where one would leave its text), and the
+    characters before each row."""
     words = (bytewise.mix(hashes) >> np.uint64(64 - 11)).astype(np.int64)
-    grams = np.full(len(data), -1, np.int64)
-    if len(data) >= 3:
-        d = data.astype(np.uint32)
-        g = d[:-2] | (d[1:-1] << 8) | (d[2:] << 16)
-        grams[:-2] = (g * np.uint32(2654435761)) >> np.uint32(32 - 12)
+    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+    bounds = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
+    grams = np.full(len(points), -1, np.int64)
+    if len(points) >= 3:
+        three = (points[:-2] << np.uint64(42)) | (points[1:-1] << np.uint64(21)) | points[2:]
+        grams[:-2] = (three * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 12)
         for back in (1, 2):
-            at = offsets[1:] - back
+            at = bounds[1:] - back
             grams[at[at >= 0]] = -1
-    return words, grams
+    return words, grams, bounds
 
 
 @dataclass
@@ -110,20 +111,20 @@ def _rows_of(data: np.ndarray, offsets: np.ndarray, scorer: Scorer | None, featu
         repeated = (np.cumsum(edge[:-1]) > 0).astype(np.int64)
     out["n_repeat_words"] = _segment_sums(repeated, first)
     if scorer is not None or features:
-        words, grams = _features(data, offsets, starts, ends, hashes)
-        n_grams = np.maximum(1, _segment_sums((grams >= 0).astype(np.int64), offsets))
+        words, grams, chars = _features(data, offsets, hashes)
+        n_grams = np.maximum(1, _segment_sums((grams >= 0).astype(np.int64), chars))
         n_words = np.maximum(1, out["n_words"])
         if features:
             matrix = np.zeros((n, WORDS + GRAMS), np.float32)
             np.add.at(matrix, (rows, words), 1)
             matrix[:, :WORDS] /= n_words[:, None]
             at = np.flatnonzero(grams >= 0)
-            np.add.at(matrix, (np.searchsorted(offsets, at, side="right") - 1, WORDS + grams[at]), 1)
+            np.add.at(matrix, (np.searchsorted(chars, at, side="right") - 1, WORDS + grams[at]), 1)
             matrix[:, WORDS:] /= n_grams[:, None]
             out["features"] = matrix
         if scorer is not None:
             gram_weights = np.append(scorer.gram_weights, 0.0)  # bucket -1 is the last
-            margin = _segment_sums(scorer.word_weights[words], first) / n_words + _segment_sums(gram_weights[grams], offsets) / n_grams + scorer.bias
+            margin = _segment_sums(scorer.word_weights[words], first) / n_words + _segment_sums(gram_weights[grams], chars) / n_grams + scorer.bias
             out["probability"] = scorer.probability(margin)
     return out
 
@@ -205,12 +206,15 @@ def fit_matrix(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Scorer:
-    """Train on at most ``most`` labelled rows (the smallest hashes of doc_id); their features alone reach the driver."""
+    """Train on at most ``most`` labelled documents (the smallest hashes of doc_id); their features alone reach the driver.
+
+    A doc_id that occurs twice counts once, with its text of the smallest hash and its better label.
+    """
     lab = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     lab = broadcast_checked(lab.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(most).drop("_h"), most)
     rows = docs.select("doc_id", "text").join(lab, "doc_id").where("text IS NOT NULL")
-    got = rows.select("text", "quality").mapInArrow(_train_rows, "quality int, x binary")
-    got = got.limit(2 * most).collect()  # doc_ids that occur twice add rows
+    once = rows.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("_one")).select("quality", "_one.text")
+    got = bytewise.map_batches(once, _train_rows, "quality int, x binary").collect()
     got.sort(key=lambda r: (bytes(r["x"]), r["quality"]))
     x = np.stack([np.frombuffer(r["x"], "<f2") for r in got]).astype(np.float32) if got else np.zeros((0, WORDS + GRAMS), np.float32)
     y = np.array([r["quality"] for r in got], np.int64)
@@ -227,7 +231,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     """
     scorer = fit(docs, labels)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{k} long" for k in BASE) + ", base_failed boolean, kept boolean, probability double"
-    return docs.select("doc_id", "text").mapInArrow(partial(_score, scorer=scorer, threshold=threshold), schema)
+    return bytewise.map_batches(docs.select("doc_id", "text"), _score, schema, scorer=scorer, threshold=threshold)
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
