@@ -68,20 +68,88 @@ def test_mix_sorts_by_position(docs):
     assert {r["text"] for r in got} >= {"", None}
 
 
+def test_a_writer_that_dies_leaves_the_store_whole(spark, docs, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/store"
+    store = sharding.ShardStore(spark, path)
+    store.append(docs)
+
+    class Dead(Exception):
+        pass
+
+    class DeadlyFs:  # the process ends between writing the commit and renaming it
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+        def rename(self, *_):
+            raise Dead
+
+    fs = store._fs
+    monkeypatch.setattr(store, "_fs", DeadlyFs(fs))
+    with pytest.raises(Dead):
+        store.append(docs)
+    (tmp_path / "store" / "commits" / ".half").write_bytes(b"")  # and one that ended before it wrote a byte
+    again = sharding.ShardStore(spark, path)
+    assert again.version() == 1 and again.read().count() == docs.count()
+    assert again.append(docs) == 2 and again.read().count() == 2 * docs.count()
+    assert len(again.vacuum(hours=0)) == 1 and again.read().count() == 2 * docs.count()
+    assert not (tmp_path / "store" / "commits" / ".half").exists()
+
+
+def test_two_writers_both_end_up_in_the_store(spark, docs, tmp_path, monkeypatch):
+    store, other = (sharding.ShardStore(spark, f"file://{tmp_path}/store") for _ in range(2))
+    store.append(docs)
+    version, asked = store.version, []
+
+    def late():  # the other writer commits after this one has looked at the version
+        asked.append(version())
+        if len(asked) == 2:
+            other.append(docs)
+        return asked[-1]
+
+    monkeypatch.setattr(store, "version", late)
+    assert store.append(docs) == 3
+    assert other.read().count() == 3 * docs.count()
+
+
+def test_columns_of_a_store_can_grow(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    sharding.ShardStore(spark, path).append(spark.createDataFrame([], "a long, b string"))
+    empty = sharding.ShardStore(spark, path).read()
+    assert empty.columns == ["a", "b"] and empty.count() == 0
+    store = sharding.ShardStore(spark, path)
+    store.append(spark.createDataFrame([(1, None)], "a long, b string"))
+    store.append(spark.createDataFrame([("x", 2)], "c string, a long"))
+    with pytest.raises(ValueError, match="column a"):
+        store.append(spark.createDataFrame([("x",)], "a string"))
+    for _ in range(2):
+        store.append(spark.createDataFrame([(1, None)], "a long, b string"))
+    want = Counter({(1, None, None): 3, (2, None, "x"): 1})
+    assert as_set(store.read().select("a", "b", "c").collect()) == want
+    store.compact()
+    assert len(store.runs()) == 1 and as_set(sharding.ShardStore(spark, path).read().collect()) == want
+
+
 def test_sharding_keeps_rows_and_versions(spark, docs, tmp_path, empty):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/store")
-    assert store.append(empty) == 0 and store.read().count() == 0
+    assert store.version() == 0 and store.read().count() == 0 and store.read().columns == []
+    assert store.append(empty) == 1 and store.append(empty) == 1 and store.read().count() == 0
     for k in range(5):
-        assert store.append(docs) == k + 1
-    before = store.manifest(3).count()
+        assert store.append(docs) == k + 2
+    before = store.manifest(4).count()
     assert len(store.runs()) == 5
     last = store.compact()
-    assert last == 6 and len(store.runs()) == 1
-    assert store.manifest(3).count() == before
+    assert last == 7 and len(store.runs()) == 1
+    assert store.manifest(4).count() == before and store.read(4).count() == 3 * docs.count()
     assert as_set(store.read().select(docs.columns).collect()) == Counter({k: 5 * v for k, v in as_set(docs.collect()).items()})
-    assert len(store.vacuum()) == 5 and store.read().count() == 5 * docs.count()
-    with pytest.raises(Exception, match="(?i)exist"):
-        store._commit(store.manifest(), 5)
+    assert store.vacuum() == []  # files younger than a day may belong to a writer on its way
+    assert len(store.vacuum(hours=0)) == 5 and store.read().count() == 5 * docs.count()
+    assert len(store._list("manifests")) == 1
+    with pytest.raises(sharding.CommitConflict):
+        store._commit(store.manifest(), store.schema(), 6)
+    assert store.version() == 7
     waves = sharding.ShardStore(spark, f"file://{tmp_path}/waves")
     waves.append(docs, "source")
     assert len(waves.runs()) == len({r["source"] for r in docs.collect()})
@@ -120,6 +188,8 @@ def test_tiff_media(spark, docs, corpus, empty):
     assert as_set((r["doc_id"], r["n_bytes"], bytes(r["pixels"])) for r in got) == want
     assert all(hashlib.sha256(r["pixels"]).hexdigest() == r["pixels_sha256"] and len(r["feature"]) == 16 for r in got)
     assert tiff.tiff_pages(tiff.store_text(empty)).count() == 0
+    forms = Counter(tuple(tiff.form_of((t or "").encode()).items()) for t in {r[1] for r in corpus})
+    assert len(forms) >= 18  # of the 24 ways to store a text
     multi = tiff.encode_pages([np.zeros((3, 4), np.uint8), np.ones((2, 9), np.uint8)])
     bad = spark.createDataFrame([(1, multi), (2, b"nonsense"), (3, multi[:-20]), (4, None)], "k int, media binary")
     out = {(r["k"], r["page"]): r for r in tiff.tiff_pages(bad.withColumn("page", F.lit("x"))).collect()}
@@ -318,6 +388,45 @@ def test_bin_completion():
     assert sum(t for t, _ in packing.complete_bins({6: 1, 5: 2, 4: 2, 3: 2}, 10)) == 3
 
 
+def test_bin_completion_saves_bins_on_many_lengths():
+    rng = np.random.default_rng(4)
+    for low, high, least in ((100, 500, 10), (200, 700, 10)):
+        values, n = np.unique(rng.integers(low, high, 3000), return_counts=True)
+        counts = dict(zip(values.tolist(), n.tolist(), strict=True))
+        bins = sum(t for t, _ in packing.complete_bins(counts, 1024))
+        assert packing.lower_bound(counts, 1024) <= bins <= sum(t for t, _ in packing.best_fit(counts, 1024)) - least
+
+
+def fewest_bins(items, cap):
+    """By trying every place for every item, the largest first."""
+    best = [len(items)]
+
+    def go(k, bins):
+        if len(bins) >= best[0]:
+            return
+        if k == len(items):
+            best[0] = len(bins)
+            return
+        for i in range(len(bins)):
+            if bins[i] + items[k] <= cap and bins[i] not in bins[:i]:
+                go(k + 1, [*bins[:i], bins[i] + items[k], *bins[i + 1 :]])
+        go(k + 1, [*bins, items[k]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_bin_completion_and_its_bound_against_all_packings():
+    rng, off = np.random.default_rng(8), 0
+    for _ in range(60):
+        items = sorted(rng.integers(3, 21, rng.integers(1, 11)).tolist(), reverse=True)
+        counts = dict(Counter(items))
+        want, got = fewest_bins(items, 20), sum(t for t, _ in packing.complete_bins(counts, 20))
+        assert packing.lower_bound(counts, 20) <= want <= got
+        off += got - want
+    assert off == 0
+
+
 @pytest.mark.parametrize("chunk", [16_384, 300])
 def test_token_counts(docs, corpus, empty, chunk):
     import sentencepiece
@@ -331,6 +440,43 @@ def test_token_counts(docs, corpus, empty, chunk):
     assert tokencount.token_counts(empty).count() == 0
 
 
+def test_huge_texts_are_spliced_and_overlaps_widen(monkeypatch):
+    from plumbline.llm.tokenizing import tokenizer_path
+
+    sp, splits = tokencount.model(tokenizer_path("piece_bpe_32k.model"))
+    assert splits
+    encoded, real = [], tokencount._offsets
+    monkeypatch.setattr(tokencount, "_offsets", lambda sp, text: encoded.append(len(text)) or real(sp, text))
+    rng = np.random.default_rng(5)
+    prose = " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(1, 9))) for _ in range(4000))
+    assert tokencount.count_huge(sp, prose, 2048, 128) == len(sp.encode(prose))
+    assert len(encoded) >= len(prose) // 2200 and max(encoded) <= 2048 + 128  # no chunk had to grow
+    # long stretches without a space: overlaps are doubled, up to chunks that are encoded as one
+    for gap in (100, 300, 1900, 5000):
+        encoded.clear()
+        text = (prose[:1500] + " " + "x" * gap + " ") * 4
+        assert tokencount.count_huge(sp, text, 2048, 32) == len(sp.encode(text))
+        assert gap < 1900 or max(encoded) > 2048 + 32
+    assert tokencount.count_huge(sp, "y" * 9000, 2048, 32) == len(sp.encode("y" * 9000))
+
+
+def test_most_text_of_long_documents_is_spliced(spark):
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    assert sum(len(t) for t in texts if len(t) > 2 * 2048) > 0.4 * sum(map(len, texts))
+
+
+def test_no_language_is_lost_among_many(spark):
+    rng = np.random.default_rng(2)
+    alphabets = ["".join(map(chr, range(0x4E00 + 9 * k, 0x4E09 + 9 * k))) for k in range(200)]
+    rows = [(k * 10 + i, " ".join("".join(rng.choice(list(alphabets[k]), 5)) for _ in range(20)), f"l{k:03d}") for k in range(200) for i in range(4)]
+    rows += [(10_000 + i, f"hot language {i} of many rows", "hot") for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, per_language=50, most=300)
+    assert len(model.languages) == 201 and len(model.landmarks) >= 201
+    got = langid.predict(docs.where("lang <> 'hot'"), model).where("lang = lang_pred").count()
+    assert got >= 0.8 * 800
+
+
 def test_language_model(spark, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(docs.where(~langid.held_out()))
@@ -372,6 +518,30 @@ def test_quality_base_columns(docs, corpus, spark):
     assert not any(r["kept"] and r["base_failed"] for r in got)
 
 
+def test_character_grams_are_of_characters():
+    texts = ["aé日b", "日", "", "xy", "éé日本語 ab"]
+    raw = b"".join(map(data, texts))
+    offsets = np.cumsum([0] + [len(data(t)) for t in texts])
+    _, grams, bounds = quality._features(np.frombuffer(raw, np.uint8), offsets, np.zeros(0, np.uint64))
+    assert bounds.tolist() == np.cumsum([0] + [len(t) for t in texts]).tolist()
+    seen = {}
+    for t, a in zip(texts, bounds, strict=False):
+        for i in range(len(t)):
+            assert (grams[a + i] >= 0) == (i + 3 <= len(t))
+            assert i + 3 > len(t) or seen.setdefault(t[i : i + 3], grams[a + i]) == grams[a + i]
+
+
+def test_training_does_not_depend_on_the_order_of_repeated_labels(spark):
+    rng = np.random.default_rng(3)
+    words = {0: ["bad", "junk", "spam", "é"], 1: ["good", "fine", "clear", "ñ"]}
+    rows = [(i % 60, " ".join(rng.choice(words[i % 60 % 2], 12)), "x") for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality string")
+    labels = spark.createDataFrame([(i % 60, i % 60 % 2) for i in range(200)], "doc_id long, quality int")
+    models = [quality.fit(docs.repartition(n), labels.repartition(n), 40) for n in (1, 3, 5)]
+    for m in models[1:]:
+        assert (m.gram_weights == models[0].gram_weights).all() and m.shift == models[0].shift
+
+
 def test_quality_learns(spark, empty):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     train = labels.where("doc_id % 2 = 0")
@@ -406,10 +576,61 @@ def test_repair_random_access():
     ids = rng.choice(rng.integers(0, 49_000, 300), 40_000).astype(np.uint32)
     ids = np.concatenate((ids, np.full(5000, 7, np.uint32), ids[:9000], np.tile([1, 2, 3], 3000))).astype(np.uint32)
     g = repair.compress(ids)
-    assert len(g.left) and len(g.sequence) < 0.9 * len(ids) and (repair.expand(g, g.sequence) == ids).all()
+    assert len(g.left) and len(g.sequence) < 0.9 * len(ids) and (repair.expand(g, g.lengths(), g.sequence) == ids).all()
     shard = repair.from_bytes(repair.to_bytes(g, np.array([len(ids)])))
     for start, n in ((0, 1), (100, 5000), (len(ids) - 3, 3), (44_990, 30), (5, 0)):
         assert (shard.ids(start, n) == ids[start : start + n]).all()
     for few in (np.zeros(0, np.uint32), np.array([5], np.uint32)):
         g = repair.compress(few)
-        assert (repair.expand(g, g.sequence) == few).all()
+        assert (repair.expand(g, g.lengths(), g.sequence) == few).all()
+
+
+def most_repeats(sequence):
+    """Occurrences of the most frequent pair that do not overlap, counted from the left."""
+    found, last = {}, {}
+    for i, pair in enumerate(zip(sequence[:-1], sequence[1:], strict=True)):
+        if last.get(pair) != i - 1:
+            found[pair] = found.get(pair, 0) + 1
+            last[pair] = i
+    return max(found.values(), default=0)
+
+
+def test_repair_leaves_no_pair_twice():
+    rng = np.random.default_rng(1)
+    for t in range(150):
+        ids = rng.integers(0, rng.integers(1, 20), rng.integers(0, 400)).astype(np.uint32)
+        ids = [ids, np.repeat(ids, 3), np.tile(ids, 4)][t % 3]
+        g = repair.compress(ids)
+        assert (repair.expand(g, g.lengths(), g.sequence) == ids).all()
+        assert most_repeats(g.sequence.tolist()) < 2
+        assert most_repeats(repair.compress(ids, 5).sequence.tolist()) < 5
+
+
+def test_repair_grammars_are_as_small_as_those_of_single_replacements():
+    rng = np.random.default_rng(2)
+    for _ in range(5):
+        ids = rng.zipf(1.3, 1500).clip(0, 200).tolist()
+        seq, rules = list(ids), 0
+        while True:  # textbook Re-Pair: the most frequent pair of all, one after the other
+            counts = {}
+            for i, pair in enumerate(zip(seq[:-1], seq[1:], strict=True)):
+                n, last = counts.get(pair, (0, -2))
+                if last != i - 1:
+                    counts[pair] = (n + 1, i)
+            pair, (n, _) = max(counts.items(), key=lambda x: x[1][0])
+            if n < 2:
+                break
+            rules, out, i = rules + 1, [], 0
+            while i < len(seq):
+                both = i + 1 < len(seq) and (seq[i], seq[i + 1]) == pair
+                out.append(1000 + rules if both else seq[i])
+                i += 2 if both else 1
+            seq = out
+        g = repair.compress(np.array(ids, np.uint32))
+        assert len(g.sequence) + 2 * len(g.left) <= 1.1 * (len(seq) + 2 * rules)
+
+
+def test_token_files_keep_ids_of_any_type(spark):
+    rows = [("b", "x y", 1), ("a", None, 2), (None, "z", 3), ("a", "", 4)]
+    got = repair.read_documents(repair.write_shards(spark.createDataFrame(rows, "doc_id string, text string, part int"))).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, "a", "a", "b"] and got[0]["start"] == 0
