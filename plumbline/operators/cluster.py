@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.components import connected_components
+from plumbline.runtime import stage, unstage
 
 
 def _greedy(pairs: pd.DataFrame) -> pd.DataFrame:
@@ -30,11 +31,45 @@ def _greedy(pairs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(k, min(v)) for k, v in cluster.items()], columns=["node", "cluster"])
 
 
-def clusters(pairs: DataFrame, apart: DataFrame | None = None) -> DataFrame:
+#: Components with more pairs than this are not gathered.
+MOST_PAIRS = 50_000
+
+
+def _joined_in_rounds(pairs: DataFrame, apart: DataFrame) -> DataFrame:
+    """(node, cluster): the same clusters as one pair after the other gives, by rounds over all clusters at once.
+
+    A pair that is the first in order for both its clusters can be joined now: nothing that comes before it touches them. Each
+    round joins all such pairs and renames their clusters; pairs between clusters that must stay apart go first.
+    """
+    labels = stage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().withColumn("cluster", F.col("node")), "labels")
+    edges = stage(pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.struct(F.col("similarity").alias("s"), "a", "b").alias("rank")), "edges")
+    enemies = stage(apart.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct(), "enemies")
+    while True:
+        left = edges.join(enemies, ["x", "y"], "left_anti")
+        best = left.select(F.col("x").alias("k"), "rank").union(left.select("y", "rank")).groupBy("k").agg(F.max("rank").alias("rank"))
+        chosen = left.join(best.withColumnRenamed("k", "x"), ["x", "rank"]).join(best.withColumnRenamed("k", "y"), ["y", "rank"]).select(F.col("y").alias("old"), F.col("x").alias("new")).distinct()
+        chosen = stage(chosen, "joined")
+        if chosen.limit(1).count() == 0:
+            return labels
+
+        def renamed(df: DataFrame, c: str, chosen=chosen) -> DataFrame:
+            return df.join(chosen.withColumnRenamed("old", c), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")
+
+        def both(df: DataFrame) -> DataFrame:
+            moved = renamed(renamed(df, "x"), "y").where("x <> y")
+            return moved.withColumns({"x": F.least("x", "y"), "y": F.greatest("x", "y")})
+
+        before = (labels, edges, enemies, chosen)
+        edges = stage(both(left).groupBy("x", "y").agg(F.max("rank").alias("rank")), "edges")
+        enemies, labels = stage(both(enemies).distinct(), "enemies"), stage(renamed(labels, "cluster"), "labels")
+        unstage(*before)
+
+
+def clusters(pairs: DataFrame, apart: DataFrame | None = None, most: int = MOST_PAIRS) -> DataFrame:
     """(node, cluster): greedy clusters of (a, b, similarity), the smallest id their name; no pair of ``apart`` (a, b) in one cluster.
 
-    The order of joining matters, so each component of similar pairs is settled as one group; components without a
-    pair kept apart are clusters as they are and never gathered.
+    Components without a pair kept apart are clusters as they are. In the others the order of joining matters: those of up
+    to ``most`` pairs are settled as one group each, larger ones in rounds over all their clusters.
     """
     comp = connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     if apart is None:
@@ -43,10 +78,15 @@ def clusters(pairs: DataFrame, apart: DataFrame | None = None) -> DataFrame:
     inside = inside.join(comp.select(F.col("node").alias("a"), F.col("component").alias("c")), "a").join(comp.select(F.col("node").alias("b"), F.col("component").alias("d")), "b").where("c = d")
     torn = inside.select("c").distinct()
     rows = pairs.select("a", "b", F.col("similarity").cast("double")).join(comp.select(F.col("node").alias("a"), F.col("component").alias("c")), "a").join(torn, "c", "left_semi")
-    rows = rows.select("c", "a", "b", "similarity").union(inside.select("c", "a", "b", F.lit(-1.0)))
-    split = rows.groupBy("c").applyInPandas(lambda pdf: _greedy(pdf), "node long, cluster long")
+    rows = stage(rows.select("c", "a", "b", "similarity").union(inside.select("c", "a", "b", F.lit(-1.0))), "torn")
+    large = stage(rows.groupBy("c").count().where(F.col("count") > most).select("c"), "large")
+    split = rows.join(large, "c", "left_anti").groupBy("c").applyInPandas(lambda pdf: _greedy(pdf), "node long, cluster long")
     whole = comp.join(torn.withColumnRenamed("c", "component"), "component", "left_anti").select("node", F.col("component").alias("cluster"))
-    return whole.unionByName(split)
+    out = whole.unionByName(split)
+    if large.limit(1).count():
+        rest = rows.join(large, "c", "left_semi")
+        out = out.unionByName(_joined_in_rounds(rest.where("similarity >= 0").select("a", "b", "similarity"), rest.where("similarity < 0").select("a", "b")))
+    return out
 
 
 def primaries(members: DataFrame, pairs: DataFrame, units: DataFrame | None = None) -> DataFrame:

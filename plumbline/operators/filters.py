@@ -42,6 +42,30 @@ def contains_any(c: Column, words=None) -> Column | None:
     return if_given(words, lambda ws: any_of(F.lower(c).contains(w.lower()) for w in ws))
 
 
+def comma_list(text: str | None) -> list[str]:
+    """The entries of a comma list, trimmed; empty ones do not count."""
+    return [x.strip() for x in (text or "").split(",") if x.strip()]
+
+
+def contains_all(c: Column, text: str | None) -> Column | None:
+    """Every term of a text with blanks between them, in any order."""
+    terms = (text or "").replace("　", " ").split()
+    return if_given(terms, lambda ts: all_of(F.lower(c).contains(t.lower()) for t in ts))
+
+
+def id_or_text(key: Column, c: Column, text: str) -> Column:
+    """Digits alone are an id; other text must occur."""
+    t = text.strip()
+    return key == int(t) if t.isdigit() else F.lower(c).contains(t.lower())
+
+
+def has_related(df: DataFrame, related: DataFrame, key: str, wanted: bool | None) -> DataFrame:
+    """Rows that do, or do not, have a row in ``related``; all if nothing is wanted."""
+    if wanted is None:
+        return df
+    return df.join(related.select(key).distinct(), key, "left_semi" if wanted else "left_anti")
+
+
 def max_age(built_year: Column, years: int | None, today: Column) -> Column | None:
     return if_given(years, lambda n: built_year >= F.year(today) - n)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.components import connected_components
 from plumbline.operators.vote import first_by
+from plumbline.runtime import stage, unstage
 
 #: Hours to wait after the first, second, third and later failures.
 BACKOFF = [2, 24, 72, 168]
@@ -81,20 +82,24 @@ def merge_aliases(old: DataFrame, new: DataFrame, owner: str) -> DataFrame:
 
 
 def final_targets(merges: DataFrame, source: str, target: str) -> DataFrame:
-    """(source, direct, final, depth) of merges in which each source was merged once; ids merged in a ring are left out.
+    """(source, direct, final, depth) of merges in which each source was merged once; ids that lead into a ring have no final and depth.
 
-    Pointers are doubled: each round joins the table to itself, so a chain of n merges takes log n rounds.
+    Pointers are doubled: each round joins the table to itself, so a chain of n merges takes log n rounds. As long as some
+    chain has not reached its end, every round ends another one; what is open after a round that ended none is a ring.
     """
-    from plumbline.runtime import stage
-
-    cur = stage(first_by(merges.select(F.col(source).alias("s"), F.col(target).alias("t")), ["s"], [F.col("t")]).select("s", F.col("t").alias("direct"), F.col("t").alias("final"), F.lit(1).alias("depth")), "targets")
-    for _ in range(40):
-        nxt = cur.select(F.col("s").alias("final"), F.col("final").alias("_f"), F.col("depth").alias("_d"))
-        moved = cur.join(nxt, "final", "left")
-        if moved.where("_f IS NOT NULL").limit(1).count() == 0:
+    first = first_by(merges.select(F.col(source).alias("s"), F.col(target).alias("t")), ["s"], [F.col("t")])
+    cur, before = stage(first.select("s", F.col("t").alias("direct"), F.col("t").alias("final"), F.lit(1).alias("depth"), F.lit(True).alias("open")), "targets"), -1
+    while True:
+        nxt = cur.select(F.col("s").alias("final"), F.col("final").alias("_f"), F.col("depth").alias("_d"), F.col("open").alias("_o"))
+        moved = cur.join(nxt, "final", "left").select("s", "direct", F.when(F.col("open"), F.coalesce("_f", "final")).otherwise(F.col("final")).alias("final"), F.when(F.col("open"), F.col("depth") + F.coalesce("_d", F.lit(0))).otherwise(F.col("depth")).alias("depth"), (F.col("open") & F.coalesce("_o", F.lit(False))).alias("open"))
+        now = stage(moved, "targets")
+        unstage(cur)
+        cur, n_open = now, now.where("open").count()
+        if n_open in (0, before):
             break
-        cur = stage(moved.where("_f IS NULL OR _f <> s").select("s", "direct", F.coalesce("_f", "final").alias("final"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth")), "targets")
-    return cur.select(F.col("s").alias(source), "direct", "final", "depth")
+        before = n_open
+    known = lambda c: F.when(~F.col("open"), F.col(c)).alias(c)
+    return cur.select(F.col("s").alias(source), "direct", known("final"), known("depth"))
 
 
 def remap(df: DataFrame, fk: str, mapping: DataFrame, source: str, target: str) -> DataFrame:
@@ -151,8 +156,8 @@ def exclusion_groups(pairs: DataFrame) -> DataFrame:
     return connected_components(pairs, "first", "second")
 
 
-def retained(history: DataFrame, at: str, now: Column, days: int) -> DataFrame:
-    return history.where(F.col(at) >= now - F.make_dt_interval(days=F.lit(days)))
+def retained(history: DataFrame, at: str, now: Column, days: int, hours: int = 0) -> DataFrame:
+    return history.where(F.col(at) >= now - F.make_dt_interval(days=F.lit(days), hours=F.lit(hours)))
 
 
 def exclusivity(aliases: DataFrame, owner: str, name: str, count: str) -> DataFrame:

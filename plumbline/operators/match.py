@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from plumbline.functions.address import haversine
+from plumbline.functions.address import address_parts, block_numbers, haversine
+from plumbline.operators.filters import any_of
 
-# Compass neighbours.
+# Compass neighbours, two characters each.
 BESIDE = {"北": "北東北西", "南": "南東南西", "東": "北東南東", "西": "北西南西"}
 
 
@@ -59,39 +60,231 @@ def same_building(name: Column, address: Column) -> Column:
 
 
 def attribute_similarity(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """Weighted: built year 2 (falls with the gap), floors 0.8, structure 0.5; 0.5 if nothing can be compared."""
+    """Weighted mean of what both sides know (0 and NULL are unknown); 0.5 if nothing can be compared.
+
+    Built year, weight 2: the same year 0.7, with the same month 1, with another 0.3; a year apart 0.2, two 0.1. Floors, 0.8: by
+    their gap of 0, 1, 5, 10, 20 and more. Structure, 0.5: equal 1, else 0.5. Sides: year, month, floors, structure.
+    """
+    said = lambda k: (a[k] != 0) & (b[k] != 0)
     gap, tall = F.abs(a["year"] - b["year"]), F.abs(a["floors"] - b["floors"])
+    month = F.when(said("month") & (a["month"] == b["month"]), 1.0).when(said("month"), 0.3).otherwise(0.7)
+    steps = F.when(tall == 0, 1.0).when(tall == 1, 0.8).when(tall <= 5, 0.5).when(tall <= 10, 0.3).when(tall <= 20, 0.2).otherwise(0.1)
     parts = [
-        (2.0, F.when(gap == 0, 1.0).when(gap == 1, 0.8).when(gap == 2, 0.5).when(gap.isNotNull(), 0.0)),
-        (0.8, F.when(tall == 0, 1.0).when(tall == 1, 0.7).when(tall.isNotNull(), 0.0)),
-        (0.5, F.when(a["structure"] == b["structure"], 1.0).when(a["structure"].isNotNull() & b["structure"].isNotNull(), 0.0)),
+        (2.0, F.when(said("year"), F.when(gap == 0, month).when(gap == 1, 0.2).when(gap == 2, 0.1).otherwise(0.0))),
+        (0.8, F.when(said("floors"), steps)),
+        (0.5, F.when((a["structure"] != "") & (b["structure"] != ""), F.when(a["structure"] == b["structure"], 1.0).otherwise(0.5))),
     ]
-    total = sum((F.when(s.isNotNull(), s * w).otherwise(0.0) for w, s in parts), F.lit(0.0))
+    total = sum((F.coalesce(s * w, F.lit(0.0)) for w, s in parts), F.lit(0.0))
     weight = sum((F.when(s.isNotNull(), F.lit(w)).otherwise(0.0) for w, s in parts), F.lit(0.0))
     return F.when(weight > 0, total / weight).otherwise(0.5)
 
 
 def building_similarity(name: Column, address: Column, attributes: Column, year_gap: Column) -> Column:
-    """40 name, 30 address, 30 attributes (60 and 40 without an address); a gap of over two years caps it at 0.3."""
-    usual = F.when(address.isNull(), 0.6 * name + 0.4 * attributes).otherwise(0.4 * name + 0.3 * address + 0.3 * attributes)
-    return F.when(year_gap > 2, F.least(usual, F.lit(0.3))).when((name >= 0.95) & (F.coalesce(address, F.lit(1.0)) >= 0.9), F.greatest(usual, F.lit(0.95))).otherwise(usual)
+    """Similarity of two buildings from its three parts; ``address`` is 0 if unknown.
+
+    Built more than two years apart: 0.3. Then, in order: address and attributes agree (0.95 and 0.9): 0.95, with very different
+    names 0.92; name and address agree (0.85, 0.8): the larger; only the name differs (address 0.9, attributes 0.8): 0.85;
+    without an address, name and attributes agree (0.9, 0.8): 0.85. Else 40 address, 30 name, 30 attributes, or 60 and 40.
+    """
+    return (
+        F.when(year_gap > 2, 0.3)
+        .when((address >= 0.95) & (attributes >= 0.9), F.when(name < 0.3, 0.92).otherwise(0.95))
+        .when((name >= 0.85) & (address >= 0.8), F.greatest(name, address))
+        .when((name < 0.5) & (address >= 0.9) & (attributes >= 0.8), 0.85)
+        .when((address == 0) & (name >= 0.9) & (attributes >= 0.8), 0.85)
+        .when(address > 0, 0.4 * address + 0.3 * name + 0.3 * attributes)
+        .otherwise(0.6 * name + 0.4 * attributes)
+    )
+
+
+def _equal_places(x: Column, y: Column, n: Column) -> Column:
+    """How many of the first ``n`` numbers of two arrays are equal, place by place."""
+    return F.size(F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at(x, i) == F.element_at(y, i)))
+
+
+def address_ladder(a: Column, b: Column) -> Column:
+    """Similarity of two normalized addresses, 0 if one is missing or empty.
+
+    Equal 1. Both with a block: by its numbers, other first number 0.3 in the same area, else 0.1; one the beginning of the
+    other 0.85, 0.9 or 0.93 for one, two or more common numbers; another number later 0.4. One block only: 0.75 in the
+    same area, else 0.3. No block: the ratio of the texts.
+    """
+    p, q = address_parts(a), address_parts(b)
+    x, y = block_numbers(p["block"]), block_numbers(q["block"])
+    area = p["prefecture"].eqNullSafe(q["prefecture"]) & p["city"].eqNullSafe(q["city"]) & p["area"].eqNullSafe(q["area"])
+    short = F.least(F.size(x), F.size(y))
+    same = _equal_places(x, y, short) == short
+    both = (
+        F.when(F.get(x, 0) != F.get(y, 0), F.when(area, 0.3).otherwise(0.1))
+        .when(same & (F.size(x) == F.size(y)), 0.95)
+        .when(same, F.when(short == 1, 0.85).when(short == 2, 0.9).otherwise(0.93))
+        .otherwise(0.4)
+    )
+    one = F.when(area, 0.75).otherwise(0.3)
+    known = F.coalesce((a != "") & (b != ""), F.lit(False))
+    n_blocks = p["block"].isNotNull().cast("int") + q["block"].isNotNull().cast("int")
+    return F.when(~known, 0.0).when(a == b, 1.0).when(n_blocks == 2, both).when(n_blocks == 1, one).otherwise(ratio(a, b))
+
+
+def address_grade(a: Column, b: Column) -> Column:
+    """0 to 100 for two normalized addresses: 0 if one is missing or a part that both name differs.
+
+    Equal addresses or blocks 100; blocks with the same first number 90, with the second one the same too 100, else 80; one
+    block only 80; no blocks 70, or, if no part is even missing on both sides, 60, 50 or 40 for one text within the other.
+    """
+    p, q = address_parts(a), address_parts(b)
+    names = ["prefecture", "city", "ward", "town", "area"]
+    differs = any_of([F.coalesce(p[k] != q[k], F.lit(False)) for k in names])
+    x, y = block_numbers(p["block"]), block_numbers(q["block"])
+    blocks = F.when(p["block"] == q["block"], 100).when(F.get(x, 0) != F.get(y, 0), 80).when(F.get(x, 1) == F.get(y, 1), 100).otherwise(90)
+    share = F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b))
+    within = F.when(a.contains(b) | b.contains(a), F.when(share >= 0.8, 60).when(share >= 0.6, 50).otherwise(40)).otherwise(0)
+    level = any_of([p[k].eqNullSafe(q[k]) for k in names])
+    none, both = p["block"].isNull() & q["block"].isNull(), p["block"].isNotNull() & q["block"].isNotNull()
+    known = F.coalesce((a != "") & (b != ""), F.lit(False))
+    return F.when(~known, 0).when(a == b, 100).when(differs, 0).when(both, blocks).when(~none, 80).when(level, 70).otherwise(within)
+
+
+def name_priority(wanted: Column, name: Column) -> Column:
+    """struct(priority, score): equal 1, 100; one the beginning of the other 2, 80 to 95; one within the other 3, 50 to 75; else 4, 0."""
+    r = F.least(F.length(wanted), F.length(name)) / F.greatest(F.length(wanted), F.length(name))
+    head, inside = wanted.startswith(name) | name.startswith(wanted), wanted.contains(name) | name.contains(wanted)
+    rank = F.when(wanted == name, 1).when(head, 2).when(inside, 3).otherwise(4)
+    return F.struct(rank.alias("priority"), F.when(wanted == name, 100.0).when(head, 80 + 15 * r).when(inside, 50 + 25 * r).otherwise(0.0).alias("score"))
+
+
+def names_overlap(a: Column, b: Column) -> Column:
+    """Equal, one within the other, or five or more characters in common at the start."""
+    return F.coalesce((a != "") & (b != "") & (a.contains(b) | b.contains(a) | ((F.length(a) >= 5) & (F.length(b) >= 5) & (F.left(a, F.lit(5)) == F.left(b, F.lit(5))))), F.lit(False))
+
+
+def building_score(address: Column, strict: Column, flexible: Column, name: Column) -> Column:
+    """0 to 100: 40 % address, 30 % attributes (100 strictly equal, 70 within tolerance, else 0), 30 % name."""
+    attribute = F.when(strict, 100.0).when(flexible, 70.0).otherwise(0.0)
+    return 0.4 * address + 0.3 * attribute + 0.3 * F.coalesce(name, F.lit(0.0))
+
+
+def ambiguous_names(wanted: DataFrame, buildings: DataFrame, key: str, name: str, address: str, building_name: str, building_address: str) -> DataFrame:
+    """(key, at_address, matching, is_ambiguous): a name that two or more buildings at its address begin with, or begin.
+
+    Buildings with one name at one address are counted before the join.
+    """
+    b = buildings.groupBy(F.col(building_address).alias("_a"), F.col(building_name).alias("_n")).agg(F.count(F.lit(1)).alias("_c"))
+    hit = F.col("_n").startswith(F.col(name)) | F.col(name).startswith(F.col("_n"))
+    j = wanted.select(key, name, address).join(b, F.col(address) == F.col("_a"), "left").groupBy(key).agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("at_address"), F.coalesce(F.sum(F.when(hit, F.col("_c"))), F.lit(0)).alias("matching"))
+    return j.withColumn("is_ambiguous", (F.col("at_address") >= 2) & (F.col("matching") >= 2))
+
+
+def fallback_match(adverts: DataFrame, listings: DataFrame, key: str) -> DataFrame:
+    """(key, building_id, unit_id): a unit of another building with the same total floors, built year, floor, area and price whose
+    address begins with the advert's; the smallest building, then unit. What is missing or 0 matches nothing.
+
+    Both: building_id, address, total_floors, built_year, floor, area, price; listings also unit_id, active ones only.
+    """
+    same = ["total_floors", "built_year", "floor", "area", "price"]
+    wanted = adverts.where(" AND ".join(f"{c} <> 0" for c in same) + " AND address <> ''").select(key, *same, F.col("building_id").alias("_own"), F.col("address").alias("_address"))
+    j = wanted.join(listings.select("unit_id", "building_id", "address", *same), same).where((F.col("building_id") != F.col("_own")) & F.col("address").startswith(F.col("_address")))
+    return j.groupBy(key).agg(F.min(F.struct("building_id", "unit_id")).alias("_b")).select(key, "_b.building_id", "_b.unit_id")
+
+
+def learned_values(merged: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, learned): values that merged units of one kind had, where there were several: they count as equal from then on."""
+    sets = merged.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_set(value)).alias("learned"))
+    return sets.where(F.size("learned") > 1)
+
+
+def learned_suggestions(units: DataFrame, merged: DataFrame, key: str, least: float = 0.7) -> DataFrame:
+    """(a, b, score): units of a building's floor that history lets one expect to be the same: area within 0.5 counts 0.4, and 0.3
+    each for directions and layouts that were merged before under the target's (a's) own floor, area and layout or direction.
+
+    Without the area no pair reaches 0.7, so it is the join's condition; pairs go in both directions. Both: building_id, floor,
+    area, layout, direction.
+    """
+    by_layout, by_direction = ["building_id", "floor", "area", "layout"], ["building_id", "floor", "area", "direction"]
+    d = learned_values(merged, by_layout, "direction").withColumnRenamed("learned", "_directions")
+    y = learned_values(merged, by_direction, "layout").withColumnRenamed("learned", "_layouts")
+    known = units.join(d, by_layout, "left").join(y, by_direction, "left").where("_directions IS NOT NULL OR _layouts IS NOT NULL")
+    cell = F.floor(F.col("area") / 0.5)
+    a = known.select(F.col(key).alias("a"), "building_id", "floor", F.col("area").alias("_area"), F.col("layout").alias("_l"), F.col("direction").alias("_d"), "_directions", "_layouts", F.explode(F.sequence(cell - 1, cell + 1)).alias("_cell"))
+    b = units.withColumn("_cell", cell).withColumnRenamed(key, "b")
+    j = a.join(b, ["building_id", "floor", "_cell"]).where((F.col("a") != F.col("b")) & (F.abs(F.col("_area") - F.col("area")) <= 0.5))
+    has = lambda learned, x, z: F.coalesce(F.array_contains(learned, F.col(x)) & F.array_contains(learned, F.col(z)), F.lit(False)).cast("int")
+    tenths = 4 + 3 * has(F.col("_directions"), "_d", "direction") + 3 * has(F.col("_layouts"), "_l", "layout")
+    return j.withColumn("score", tenths / 10).where(F.col("score") >= least).select("a", "b", "score")
+
+
+def move_building_score(equal: Column, group: Column, part: Column, address: Column, year: Column, floors: Column) -> Column:
+    """Points of a building that a unit may be moved to: name 15, 8 for another wing, 5 for a part; address 5 (equal, a boolean) or 3
+    (partly: NULL), year 5, floors 5."""
+    return F.when(equal, 15).when(group, 8).when(part, 5).otherwise(0) + F.when(address, 5).when(address.isNull(), 3).otherwise(0) + F.when(year, 5).otherwise(0) + F.when(floors, 5).otherwise(0)
+
+
+def move_unit_score(a: dict[str, Column], b: dict[str, Column], suggested: Column) -> Column:
+    """Points of a unit that an advert may be moved to: building suggested 10, floor 5, area within 0.5 5, layout 3, direction 3, room 2.
+
+    Two missing values agree, but for areas.
+    """
+    same = lambda k: a[k].eqNullSafe(b[k])
+    points = [(suggested, 10), (same("floor"), 5), (F.abs(a["area"] - b["area"]) <= 0.5, 5), (same("layout"), 3), (same("direction"), 3), (same("room"), 2)]
+    return sum((F.when(c, n).otherwise(0) for c, n in points), F.lit(0))
+
+
+def advert_building_score(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Points of a building with an advert's name: address 50 or, one within the other, 20; floors 20, within one 10; units 15, within
+    five 5; year 15, within one 5. From 20 points on it is suggested."""
+    said = lambda k: (a[k] != 0) & (b[k] != 0)
+    near = lambda k, n, full, part: F.when(said(k) & (a[k] == b[k]), full).when(said(k) & (F.abs(a[k] - b[k]) <= n), part).otherwise(0)
+    x, y = a["address"], b["address"]
+    place = F.when(x == y, 50).when(x.contains(y) | y.contains(x), 20).otherwise(0)
+    return place + near("floors", 1, 20, 10) + near("units", 5, 15, 5) + near("year", 1, 15, 5)
+
+
+#: Spellings of directions and of single rooms that count as one.
+DIRECTION_KEYS = {"東": ["東", "E", "EAST", "東向き"], "西": ["西", "W", "WEST", "西向き"], "南": ["南", "S", "SOUTH", "南向き"], "北": ["北", "N", "NORTH", "北向き"], "南東": ["南東", "SE", "SOUTHEAST", "東南"], "南西": ["南西", "SW", "SOUTHWEST", "西南"], "北東": ["北東", "NE", "NORTHEAST", "東北"], "北西": ["北西", "NW", "NORTHWEST", "西北"]}
+ONE_ROOM = ["ワンルーム", "1ルーム", "1ROOM", "スタジオ", "STUDIO"]
+
+
+def direction_key(c: Column) -> Column:
+    """One spelling for each direction; others stay, empty is NULL."""
+    t = F.nullif(F.trim(c), F.lit(""))
+    out = t
+    for key, spellings in DIRECTION_KEYS.items():
+        out = F.when(t.isin(spellings), key).otherwise(out)
+    return out
+
+
+def layout_key(c: Column) -> Column:
+    """Layouts for comparison: upper case, no blanks, single rooms as 1R, +S as SLDK, other small rooms dropped; empty is NULL."""
+    t = F.regexp_replace(F.upper(F.nullif(F.trim(c), F.lit(""))), r"\s+", "")
+    t = F.regexp_replace(F.regexp_replace(t, r"\+(?:WIC|SIC|N)$", ""), r"^(\d+)LDK\+S$", "$1SLDK")
+    return F.when(t.isin(ONE_ROOM), "1R").otherwise(t)
 
 
 def unit_score(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """Similarity of two units of a building, 0..1: floor 30, area 30, 20 or 5 by its gap, layout 25 or 15, direction 15 or 10, room +20 or −20 … over 100."""
+    """Similarity of two units of a building, at most 1: points over 100.
+
+    Floor: equal 30, missing on a side 15, different: the score is 0. Area: within 0.5 30, within 1 20, else 5; missing 15. Layout:
+    equal 25, the same number of rooms 15; missing 12. Direction: equal 15, beside it 10; missing 10. Rooms: equal +20,
+    different -10. Balconies within 0.5: +5. Sides: floor, area, layout, direction, room and, if known, balcony.
+    """
     gap = F.abs(a["area"] - b["area"])
-    rooms = lambda c: F.regexp_extract(c, r"^(\d+)", 1)
+    x, y = layout_key(a["layout"]), layout_key(b["layout"])
+    rooms = lambda c: F.nullif(F.regexp_extract(c, r"(\d+)", 1), F.lit(""))
+    p, q = direction_key(a["direction"]), direction_key(b["direction"])
     beside = F.lit(False)
     for k, near in BESIDE.items():
-        beside = beside | ((a["direction"] == k) & F.lit(near).contains(b["direction"])) | ((b["direction"] == k) & F.lit(near).contains(a["direction"]))
-    score = (
-        F.when(a["floor"] == b["floor"], 30).otherwise(0)
-        + F.when(gap <= 0.1, 30).when(gap <= 0.5, 20).when(gap <= 1.0, 5).otherwise(0)
-        + F.when(a["layout"] == b["layout"], 25).when(rooms(a["layout"]) == rooms(b["layout"]), 15).otherwise(0)
-        + F.when(a["direction"] == b["direction"], 15).when(beside, 10).otherwise(0)
-        + F.when(a["room"] == b["room"], 20).when(a["room"] != b["room"], -10).otherwise(0)
+        around = [near[:2], near[2:]]
+        beside = beside | ((p == k) & q.isin(around)) | ((q == k) & p.isin(around))
+    points = (
+        F.when(a["floor"] == b["floor"], 30).otherwise(15)
+        + F.when(gap <= 0.5, 30).when(gap <= 1.0, 20).when(gap.isNotNull(), 5).otherwise(15)
+        + F.when(x == y, 25).when(rooms(x) == rooms(y), 15).when(x.isNotNull() & y.isNotNull(), 0).otherwise(12)
+        + F.when(p == q, 15).when(beside, 10).when(p.isNotNull() & q.isNotNull(), 0).otherwise(10)
+        + F.when((a["room"] != "") & (a["room"] == b["room"]), 20).when((a["room"] != "") & (b["room"] != ""), -10).otherwise(0)
     )
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score / 100.0))
+    if "balcony" in a:
+        points = points + F.when(F.abs(a["balcony"] - b["balcony"]) <= 0.5, 5).otherwise(0)
+    return F.when(a["floor"] != b["floor"], 0.0).otherwise(F.least(points / 100.0, F.lit(1.0)))
 
 
 def confidence(score: Column) -> Column:

@@ -57,9 +57,12 @@ def event_timeline(history: DataFrame, spans: DataFrame, item: str, source: str,
     own = [item, source]
     known = daily_last(history, own, value, at, tie)
     days = known.select(item, "day").union(spans.select(item, "start")).union(spans.select(item, "end")).union(spans.select(item, F.date_add("end", 1))).distinct()
-    per = days.join(spans, item).join(known.withColumnRenamed(value, "_v"), [*own, "day"], "left")
+    # a source meets the days of its span only; what it said before its span is carried to the span's first day
+    before = known.join(spans, own).where(F.col("day") < F.col("start")).groupBy(*own).agg(F.max_by(value, "day").alias("_before"))
+    span = spans.join(before, own, "left").withColumnRenamed(item, "_item")
+    per = days.join(span, (F.col(item) == F.col("_item")) & F.col("day").between(F.col("start"), F.col("end"))).drop("_item").join(known.withColumnRenamed(value, "_v"), [*own, "day"], "left")
     w = Window.partitionBy(*own).orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    per = per.withColumn(value, F.last("_v", True).over(w)).where((F.col("day") >= F.col("start")) & (F.col("day") <= F.col("end")) & F.col(value).isNotNull())
+    per = per.withColumn(value, F.coalesce(F.last("_v", True).over(w), "_before")).where(F.col(value).isNotNull())
     return per.groupBy(item, "day").agg(F.min(value).alias("price"), F.count_distinct(value).alias("n_prices"), F.sort_array(F.collect_list(F.struct(source, value))).alias("by_source"), (F.count_distinct(value) > 1).alias("disagree"))
 
 
@@ -117,31 +120,44 @@ def outliers(sales: DataFrame, key: str, area: str, year: str, quarter: str, pri
 
     Peers are of the quarter, or, with under ten, also of the quarters beside it; five are needed. Flagged is a price above
     all three of Q3 + 4 IQR, mean + 5 deviations and 7 medians, each times 1.3 for buildings up to five years, 1.15 up
-    to ten. Quartiles are the elements n // 4, n // 2 and 3 n // 4 of the sorted prices. Statistics are taken per area
-    and quarter and joined back; a quarter's neighbours are added by giving each sale to three quarters.
+    to ten. Quartiles are the elements n // 4, n // 2 and 3 n // 4 of the sorted prices. Sales are counted by area, quarter and
+    price before anything else: only counts are spread to the neighbouring quarters, sorted and ranked, so an area with
+    very many sales costs one row for each of its prices.
     """
-    q = F.col(year) * 4 + F.col(quarter)
-    rows = sales.where(F.col(price).isNotNull()).withColumn("_q", q.cast("long"))
-
-    def stats(df: DataFrame, tag: str) -> DataFrame:
-        w = Window.partitionBy(area, "_q").orderBy(price, key)
-        n = F.count(F.lit(1)).over(Window.partitionBy(area, "_q"))
-        ranked = df.select(area, "_q", price, key).withColumn("_n", n).withColumn("_i", F.row_number().over(w) - 1)
-        at = lambda e: F.max(F.when(F.col("_i") == F.expr(e), F.col(price)))
-        return ranked.groupBy(area, "_q").agg(F.max("_n").alias(f"n{tag}"), at("_n div 4").alias(f"q1{tag}"), at("_n div 2").alias(f"q2{tag}"), at("3 * _n div 4").alias(f"q3{tag}"), F.avg(price).alias(f"m{tag}"), F.stddev_samp(price).alias(f"s{tag}"))
-
-    wide = rows.withColumn("_q", F.explode(F.expr("array(_q - 1, _q, _q + 1)")))
-    joined = rows.join(stats(rows, "_a"), [area, "_q"], "left").join(stats(wide, "_b"), [area, "_q"], "left")
-    pick = lambda c: F.when(F.col("n_a") >= 10, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b"))
+    q = (F.col(year) * 4 + F.col(quarter)).cast("long")
+    rows = sales.where(F.col(price).isNotNull()).withColumn("_q", q)
+    counts = rows.groupBy(area, "_q", price).agg(F.count(F.lit(1)).alias("_c"))
+    spread = counts.withColumn("_o", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("_q", F.col("_q") + F.col("_o"))
+    both = spread.groupBy(area, "_q", price).agg(F.sum("_c").alias("_b"), F.sum(F.when(F.col("_o") == 0, F.col("_c")).otherwise(0)).alias("_a"))
+    w = Window.partitionBy(area, "_q").orderBy(price).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    every = Window.partitionBy(area, "_q")
+    stats = []
+    for t in ("a", "b"):
+        n = F.col(f"_{t}")
+        both = both.withColumn(f"_upto_{t}", F.sum(n).over(w)).withColumn(f"_all_{t}", F.sum(n).over(every))
+        at = lambda e, t=t: F.min(F.when(F.col(f"_upto_{t}") > F.expr(e.format(f"_all_{t}")), F.col(price)))
+        total = lambda e: F.sum(e.cast("decimal(30,4)"))
+        squares, sums = total(n * F.col(price) * F.col(price)).cast("double"), total(n * F.col(price)).cast("double")
+        count = F.max(f"_all_{t}")
+        stats += [
+            count.alias(f"n_{t}"), at("{0} div 4").alias(f"q1_{t}"), at("{0} div 2").alias(f"q2_{t}"), at("3 * {0} div 4").alias(f"q3_{t}"), (sums / count).alias(f"m_{t}"),
+            F.when(count > 1, F.sqrt(F.greatest(F.lit(0.0), (squares - sums * sums / count) / (count - 1)))).alias(f"s_{t}"),
+        ]
+    found = both.groupBy(area, "_q").agg(*stats)
+    pick = lambda c: F.when(F.col("n_a") >= 10, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")).alias(c)
+    found = found.where("n_a > 0").select(area, "_q", *[pick(c) for c in ("n", "q1", "q2", "q3", "m", "s")])
+    joined = rows.join(found, [area, "_q"], "left")
     factor = F.when(F.col(age) <= 5, 1.3).when(F.col(age) <= 10, 1.15).otherwise(1.0)
     p = F.col(price)
-    far = (p > pick("q3") + 4 * (pick("q3") - pick("q1")) * factor) & (p > pick("m") + 5 * pick("s") * factor) & (p > 7 * pick("q2") * factor)
-    return joined.select(key, pick("n").alias("peers"), ((pick("n") >= 5) & F.coalesce(far, F.lit(False))).alias("is_outlier"))
+    far = (p > F.col("q3") + 4 * (F.col("q3") - F.col("q1")) * factor) & (p > F.col("m") + 5 * F.col("s") * factor) & (p > 7 * F.col("q2") * factor)
+    return joined.select(key, F.col("n").alias("peers"), ((F.col("n") >= 5) & F.coalesce(far, F.lit(False))).alias("is_outlier"))
 
 
-def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
+def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int, place: str | None = None) -> DataFrame:
+    """The first ``n`` rows of each key, with their number if ``place`` names a column for it."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+    out = df.withColumn(place or "_rank", rank).where(F.col(place or "_rank") <= n)
+    return out if place else out.drop("_rank")
 
 
 def refresh(stored: DataFrame, recomputed: DataFrame, touched: DataFrame, key: str) -> DataFrame:

@@ -110,12 +110,64 @@ def price_range(df: DataFrame, keys: list[str], price: str) -> DataFrame:
     return df.where(F.col(price) > 0).groupBy(*keys).agg(F.min(price).alias("min_price"), F.max(price).alias("max_price"))
 
 
-def attributes(df: DataFrame, key: str, columns: list[str], site: str, current: DataFrame | None = None) -> DataFrame:
+def attributes(df: DataFrame, key: str, columns: list[str], site: str, current: DataFrame | None = None, order: list[str] | None = None) -> DataFrame:
     """One row per key with each column's majority; a column without votes keeps the value of ``current``."""
     out = df.select(key).distinct()
     for c in columns:
-        out = out.join(majority_by_site(df, [key], c, site).select(key, c), key, "left")
+        out = out.join(majority_by_site(df, [key], c, site, order=order).select(key, c), key, "left")
     if current is not None:
         old = current.select(key, *[F.col(c).alias(f"_old_{c}") for c in columns])
         out = out.join(old, key, "left").select(key, *[F.coalesce(c, f"_old_{c}").alias(c) for c in columns])
     return out
+
+
+# Kinds of tenure and the words that mean them, the more specific first; the phrases that tell a lease's time.
+TENURE_KINDS = [
+    ("一般定期借地権", ["定期借地権"]), ("旧法借地権", ["旧法借地権", "旧法賃借権"]), ("普通借地権", ["普通借地権"]), ("賃借権（旧）", ["賃借権（旧）"]), ("賃借権（普）", ["賃借権（普）"]), ("賃借権", ["賃借権"]),
+    ("地上権（旧）", ["地上権（旧）"]), ("地上権（普）", ["地上権（普）"]), ("地上権", ["地上権"]), ("所有権", ["所有権"]),
+]
+UNTIL, LASTS = "借地期限([0-9]{4})年([0-9]{1,2})月", "借地期間(?:残存|新規)([0-9]+)年(?:([0-9]+)ヶ月)?"
+TOLD_APART = [LASTS + "、?", "※定期賃借権：借地期限[0-9]{4}年[0-9]{1,2}月[0-9]{1,2}日まで\\s*", "保証金（[^）]+）は販売価格に含まれています\\s*、?"]
+
+
+def tenure_kind(c: Column) -> Column:
+    """The kind that a text names; a text that names none is its own kind."""
+    out = None
+    for kind, words in TENURE_KINDS:
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | c.contains(w)
+        out = F.when(hit, kind) if out is None else out.when(hit, kind)
+    return out.otherwise(c)
+
+
+def lease_until(c: Column, listed: Column) -> Column:
+    """The month in which a lease ends, yyyy-MM: named, or so many years and months after the listing; NULL if neither."""
+    part = lambda p, k: F.nullif(F.regexp_extract(c, p, k), F.lit(""))
+    months = part(LASTS, 1).cast("int") * 12 + F.coalesce(part(LASTS, 2).cast("int"), F.lit(0))
+    named = F.concat(part(UNTIL, 1), F.lit("-"), F.lpad(part(UNTIL, 2), 2, "0"))
+    return F.when(c.contains("借地"), F.coalesce(named, F.date_format(F.add_months(F.to_date(listed), months), "yyyy-MM")))
+
+
+def tenure(df: DataFrame, key: str, text: str, site: str, listed: str, now: Column, order: list[str] | None = None) -> DataFrame:
+    """(key, tenure): vote on the kind, then on the end of the lease, then on the conditions without it; told with the time left.
+
+    Ties of kinds and conditions go to the better site, then the smaller text; ties of ends to the earlier one. Owned land
+    needs no more than its name. A kind for which no advert tells an end keeps its most frequent text.
+    """
+    rows = df.where(F.col(text).isNotNull() & (F.col(text) != "")).withColumn("_kind", tenure_kind(F.col(text)))
+    won = majority_by_site(rows, [key], "_kind", site, order=order).select(key, "_kind")
+    owned = won.where("_kind = '所有権'").select(key, F.lit("所有権").alias("tenure"))
+    mine = rows.join(won.where("_kind <> '所有権'"), [key, "_kind"]).withColumn("_until", lease_until(F.col(text), F.col(listed)))
+    ends = first_by(mine.where("_until IS NOT NULL").groupBy(key, "_until").agg(F.count(F.lit(1)).alias("_n")), [key], [F.desc("_n"), F.col("_until")]).select(key, "_until")
+    conditions = F.col(text)
+    for p in TOLD_APART:
+        conditions = F.regexp_replace(conditions, p, "")
+    conditions = F.trim(F.regexp_replace(F.regexp_replace(conditions, "、+", "、"), "^、|、$", ""))
+    agreed = majority_by_site(mine.join(ends, [key, "_until"]).withColumn("_cond", conditions).withColumn("_cond", F.when(F.col("_cond") == "", " ").otherwise(F.col("_cond"))), [key], "_cond", site, order=order).select(key, F.trim("_cond").alias("_cond")).join(ends, key)
+    left = F.floor(F.months_between(F.to_date(F.concat("_until", F.lit("-01"))), now)).cast("int")
+    span = F.concat(F.lit("借地期間残存"), F.floor(left / 12).cast("string"), F.lit("年"), F.when(left % 12 > 0, F.concat((left % 12).cast("string"), F.lit("ヶ月"))).otherwise(""))
+    head, rest = F.substring_index("_cond", "、", 1), F.regexp_replace("_cond", "^[^、]*、", "")
+    said = F.when(left <= 0, F.col("_cond")).when(F.col("_cond").contains("、"), F.concat_ws("、", head, span, rest)).when(F.col("_cond") != "", F.concat_ws("、", "_cond", span)).otherwise(span)
+    endless = majority_by_site(mine.join(ends.select(key), key, "left_anti"), [key], text, site, order=order).select(key, F.col(text).alias("tenure"))
+    return owned.unionByName(agreed.select(key, said.alias("tenure"))).unionByName(endless)

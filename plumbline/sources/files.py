@@ -89,8 +89,8 @@ def log_lines(spark: SparkSession, path: str, keyword: str | None = None, level:
     return out.where(F.to_json(F.struct("*")).contains(keyword)) if keyword else out
 
 
-def tail(logs: DataFrame, at: str, n: int) -> DataFrame:
-    return logs.orderBy(F.desc(at)).limit(n)
+def tail(logs: DataFrame, at: str, n: int, tie: str | None = None) -> DataFrame:
+    return logs.orderBy(F.desc(at), *([tie] if tie else [])).limit(n)
 
 
 def as_json(*columns: str) -> Column:
