@@ -260,25 +260,27 @@ def layout_key(c: Column) -> Column:
     return F.when(t.isin(ONE_ROOM), "1R").otherwise(t)
 
 
+def keyed_units(df: DataFrame, layout: str = "layout", direction: str = "direction") -> DataFrame:
+    """Units with layout and direction in one spelling, and ``rooms``, the number in the layout: once per unit, before pairs are made."""
+    keyed = df.withColumns({layout: layout_key(F.col(layout)), direction: direction_key(F.col(direction))})
+    return keyed.withColumn("rooms", F.nullif(F.regexp_extract(layout, r"(\d+)", 1), F.lit("")))
+
+
 def unit_score(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """Similarity of two units of a building, at most 1: points over 100.
+    """Similarity of two ``keyed_units`` of a building, at most 1: points over 100.
 
     Floor: equal 30, missing on a side 15, different: the score is 0. Area: within 0.5 30, within 1 20, else 5; missing 15. Layout:
     equal 25, the same number of rooms 15; missing 12. Direction: equal 15, beside it 10; missing 10. Rooms: equal +20,
-    different -10. Balconies within 0.5: +5. Sides: floor, area, layout, direction, room and, if known, balcony.
+    different -10. Balconies within 0.5: +5. Sides: floor, area, layout, rooms, direction, room and, if known, balcony.
     """
     gap = F.abs(a["area"] - b["area"])
-    x, y = layout_key(a["layout"]), layout_key(b["layout"])
-    rooms = lambda c: F.nullif(F.regexp_extract(c, r"(\d+)", 1), F.lit(""))
-    p, q = direction_key(a["direction"]), direction_key(b["direction"])
-    beside = F.lit(False)
-    for k, near in BESIDE.items():
-        around = [near[:2], near[2:]]
-        beside = beside | ((p == k) & q.isin(around)) | ((q == k) & p.isin(around))
+    x, y, p, q = a["layout"], b["layout"], a["direction"], b["direction"]
+    pairs = [k + n for k, near in BESIDE.items() for n in (near[:2], near[2:])]
+    beside = F.concat(p, q).isin([*pairs, *(n + k for k, near in BESIDE.items() for n in (near[:2], near[2:]))])
     points = (
         F.when(a["floor"] == b["floor"], 30).otherwise(15)
         + F.when(gap <= 0.5, 30).when(gap <= 1.0, 20).when(gap.isNotNull(), 5).otherwise(15)
-        + F.when(x == y, 25).when(rooms(x) == rooms(y), 15).when(x.isNotNull() & y.isNotNull(), 0).otherwise(12)
+        + F.when(x == y, 25).when(a["rooms"] == b["rooms"], 15).when(x.isNotNull() & y.isNotNull(), 0).otherwise(12)
         + F.when(p == q, 15).when(beside, 10).when(p.isNotNull() & q.isNotNull(), 0).otherwise(10)
         + F.when((a["room"] != "") & (a["room"] == b["room"]), 20).when((a["room"] != "") & (b["room"] != ""), -10).otherwise(0)
     )

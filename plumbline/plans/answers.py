@@ -18,7 +18,7 @@ FROM (SELECT unit_id, day, price, count(*) AS n FROM {HISTORY} GROUP BY ALL)) WH
 
 # Pages ---------------------------------------------------------------------------------------------------------------------
 @query(f"""WITH a AS (SELECT unit_id, count(*) AS adverts, count(*) FILTER (WHERE is_active) AS active, min(price) FILTER (WHERE is_active) AS low, max(price) FILTER (WHERE is_active) AS high, count(DISTINCT site) AS sites, min(seen_at) AS first_seen, max(seen_at) AS last_seen,
-arg_max(price, (seen_at, advert_id)) AS last_price FROM {ADVERTS} GROUP BY unit_id), v AS (SELECT unit_id, price, votes FROM (SELECT unit_id, price, count(*) AS votes, row_number() OVER (PARTITION BY unit_id ORDER BY count(*) DESC, price) AS rn FROM {ADVERTS} WHERE is_active GROUP BY ALL) WHERE rn = 1)
+arg_max(price, (seen_at, advert_id)) AS last_price FROM {ADVERTS} GROUP BY unit_id), v AS (SELECT unit_id, price, votes FROM (SELECT unit_id, price, count(*) AS votes, row_number() OVER (PARTITION BY unit_id ORDER BY count(*) DESC, price) AS rn FROM {ADVERTS} WHERE is_active GROUP BY unit_id, price) WHERE rn = 1)
 SELECT u.unit_id, u.building, u.layout, u.floor, u.area, coalesce(v.price, a.last_price) AS price, v.votes, coalesce(a.adverts, 0) AS adverts, coalesce(a.active, 0) AS active, a.low, a.high, coalesce(a.sites, 0) AS sites, a.first_seen, CASE WHEN coalesce(a.active, 0) = 0 THEN a.last_seen END AS sold_at,
 CAST(date_diff('day', CAST(a.first_seen AS DATE), DATE '1998-12-01') AS INTEGER) AS days_listed FROM {UNITS} u LEFT JOIN a USING (unit_id) LEFT JOIN v USING (unit_id)""")
 def unit_detail(spark, d):
@@ -42,7 +42,7 @@ def unit_detail(spark, d):
 
 
 @query(f"""WITH a AS (SELECT unit_id, min(price) AS low, count(*) AS n FROM {ADVERTS} WHERE is_active GROUP BY unit_id), b AS (SELECT u.unit_id, u.building, u.floor, u.layout, a.low, coalesce(a.n, 0) AS n FROM {UNITS} u LEFT JOIN a USING (unit_id))
-SELECT building, unit_id, floor, layout, low, n, row_number() OVER (PARTITION BY building ORDER BY low DESC NULLS LAST, floor, unit_id) AS place FROM b""")
+SELECT building, unit_id, floor, layout, low, n, CAST(row_number() OVER (PARTITION BY building ORDER BY low DESC NULLS LAST, floor, unit_id) AS INTEGER) AS place FROM b""")
 def building_units(spark, d):
     """The units of each building with their least price, the dearest first, those not for sale last."""
     a = adverts(spark, d).where("is_active").groupBy("unit_id").agg(F.min("price").alias("low"), F.count(F.lit(1)).alias("n"))

@@ -258,14 +258,13 @@ def layout_statistics(spark, d):
 
 @query(f"SELECT unit_id, count(DISTINCT CASE WHEN is_active THEN advert_id END) AS active, bool_or(is_active) AS any_active, string_agg(DISTINCT flag, ',' ORDER BY flag) AS flags, count(*) FILTER (WHERE NOT is_active) AS gone, CAST(sum(CASE WHEN price > 25 THEN 1 ELSE 0 END) AS BIGINT) AS dear, min(coalesce(CASE WHEN is_active THEN seen_at END, seen_at)) AS first_seen FROM {ADVERTS} GROUP BY unit_id HAVING count(*) > 1")
 def filtered_aggregates(spark, d):
-    # one row for each advert of a unit first: the distinct count is then a plain one
     a = adverts(spark, d)
-    each = a.groupBy("unit_id", "advert_id").agg(
-        F.bool_or("is_active").alias("live"), F.collect_set("flag").alias("flags"), F.count_if(~F.col("is_active")).alias("gone"), F.count_if(F.col("price") > 25).alias("dear"), F.min(F.coalesce(F.when(F.col("is_active"), F.col("seen_at")), F.col("seen_at"))).alias("f"), F.count(F.lit(1)).alias("n")
-    )
-    return each.groupBy("unit_id").agg(
-        F.count_if("live").alias("active"), F.bool_or("live").alias("any_active"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("flags")))), ",").alias("flags"), F.sum("gone").alias("gone"), F.sum("dear").alias("dear"), F.min("f").alias("first_seen"), F.sum("n").alias("_n"),
+    flags = a.select("unit_id", "flag").distinct().groupBy("unit_id").agg(F.array_join(F.array_sort(F.collect_set("flag")), ",").alias("flags"))
+    rest = a.groupBy("unit_id").agg(
+        F.count_distinct(F.when(F.col("is_active"), F.col("advert_id"))).alias("active"), F.bool_or("is_active").alias("any_active"), F.count_if(~F.col("is_active")).alias("gone"), F.count_if(F.col("price") > 25).alias("dear"),
+        F.min(F.coalesce(F.when(F.col("is_active"), F.col("seen_at")), F.col("seen_at"))).alias("first_seen"), F.count(F.lit(1)).alias("_n"),
     ).where("_n > 1").drop("_n")
+    return rest.join(flags, "unit_id").select("unit_id", "active", "any_active", "flags", "gone", "dear", "first_seen")
 
 
 @query(f"SELECT unit_id, price AS mode_price, least_price FROM (SELECT unit_id, price, min(price) OVER (PARTITION BY unit_id) AS least_price, row_number() OVER (PARTITION BY unit_id ORDER BY count(*) DESC, price) AS rn FROM {ADVERTS} GROUP BY unit_id, price) WHERE rn = 1")
@@ -501,7 +500,7 @@ def item_hashes(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", names.item_hash({"nation": F.col("s_nationkey"), "balance": F.floor("s_acctbal"), "none": F.lit(None)}).alias("hash"))
 
 
-@query()
+@query("SELECT p_partkey, replace(lower(p_name), ' ', '') || CASE p_partkey % 3 WHEN 0 THEN '東棟' WHEN 1 THEN '3' ELSE '1番館' END AS canonical FROM part")
 def canonical_names(spark, d):
     return table(spark, d, "part").select("p_partkey", names.canonical_key(F.concat(F.col("p_name"), F.lit(" "), F.element_at(F.array(F.lit("EAST"), F.lit("Ⅲ"), F.lit("壱番館")), (F.col("p_partkey") % 3 + 1).cast("int")))).alias("canonical"))
 
@@ -556,7 +555,7 @@ _SEEN_ROOM = "CASE l_linenumber % 3 WHEN 0 THEN room_number WHEN 1 THEN '999' EN
 @query(f"""WITH u AS ({_ROOMED.format("")}), a AS (SELECT advert_id, u.* EXCLUDE (unit_id, room_number), {_SEEN_ROOM} AS room FROM {ADVERTS} JOIN u USING (unit_id)),
 j AS (SELECT a.advert_id, u.unit_id, CASE WHEN a.room = u.room_number THEN 1 WHEN a.room IS NULL OR u.room_number IS NULL THEN 2 ELSE 3 END AS rung FROM a JOIN u ON a.building_id = u.building_id AND a.floor_number IS NOT DISTINCT FROM u.floor_number AND a.layout IS NOT DISTINCT FROM u.layout
 AND a.direction IS NOT DISTINCT FROM u.direction AND (abs(a.area - u.area) <= 0.5 OR (a.area IS NULL AND u.area IS NULL))), m AS (SELECT *, count(*) OVER (PARTITION BY advert_id, rung) AS peers, row_number() OVER (PARTITION BY advert_id ORDER BY rung, unit_id) AS rn FROM j)
-SELECT advert_id, unit_id, CASE WHEN rung = 1 THEN 0.9 WHEN rung = 2 AND peers = 1 THEN 0.7 WHEN peers = 1 THEN 0.6 ELSE 0.3 END AS confidence FROM m WHERE rn = 1""")
+SELECT advert_id, unit_id, CAST(CASE WHEN rung = 1 THEN 0.9 WHEN rung = 2 AND peers = 1 THEN 0.7 WHEN peers = 1 THEN 0.6 ELSE 0.3 END AS DOUBLE) AS confidence FROM m WHERE rn = 1""")
 def matched_units(spark, d):
     u = spark.sql(_ROOMED.replace("{0} part", "{parts} part"), parts=table(spark, d, "part"))
     a = adverts(spark, d).join(u, "unit_id").withColumn("room_number", F.expr(_SEEN_ROOM)).drop("unit_id")

@@ -148,8 +148,8 @@ FROM r a JOIN r b ON a.building = b.building AND a.floor = b.floor AND a.id < b.
 def unit_similarity(spark, d):
     """Units on one floor of a building, by all rules; pairs on different floors score 0 and are not made."""
     rooms = spark.sql(_ROOMS.replace("{0} part", "{parts} part"), parts=table(spark, d, "part"))
-    pairs = match.block_pairs(rooms, "id", ["building", "floor"])
-    a, b = _sides(pairs, "floor", "area", "layout", "direction", "room", "balcony")
+    pairs = match.block_pairs(match.keyed_units(rooms), "id", ["building", "floor"])
+    a, b = _sides(pairs, "floor", "area", "layout", "rooms", "direction", "room", "balcony")
     return pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round(match.unit_score(a, b), 6).alias("score"))
 
 
@@ -169,8 +169,8 @@ def move_to_unit(spark, d):
 _WINGS = "SELECT s_suppkey AS owner, CASE s_suppkey % 5 WHEN 0 THEN 'abc' WHEN 1 THEN 'abcd' WHEN 2 THEN 'abcdef' WHEN 3 THEN 'xyz' ELSE 'xyzw' END AS name, 1 + s_suppkey % 4 AS n FROM {0} supplier UNION ALL SELECT s_suppkey, 'shared', 2 FROM {0} supplier"
 
 
-@query(f"""WITH al AS ({_WINGS.format("")}), s AS (SELECT owner, name, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY owner) AS share, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY name) AS only FROM al), w AS (SELECT DISTINCT name AS wanted FROM al),
-t AS (SELECT wanted, owner, CASE WHEN wanted = name THEN 100.0 ELSE 80 + 15.0 * least(length(wanted), length(name)) / greatest(length(wanted), length(name)) END * CASE WHEN wanted = name THEN greatest((share + only) / 2, 0.5) ELSE (share + only) / 2 END AS score FROM w JOIN s ON left(wanted, 2) = left(name, 2))
+@query(f"""WITH al AS ({_WINGS.format("")}), s AS (SELECT owner, name, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY owner) AS share, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY name) AS excl FROM al), w AS (SELECT DISTINCT name AS wanted FROM al),
+t AS (SELECT wanted, owner, CASE WHEN wanted = name THEN 100.0 ELSE 80 + 15.0 * least(length(wanted), length(name)) / greatest(length(wanted), length(name)) END * CASE WHEN wanted = name THEN greatest((share + excl) / 2, 0.5) ELSE (share + excl) / 2 END AS score FROM w JOIN s ON left(wanted, 2) = left(name, 2))
 SELECT wanted, owner, round(max(score), 6) AS score FROM t GROUP BY ALL""")
 def scored_aliases(spark, d):
     """Names against the aliases of every building: text match times the alias's share and exclusivity."""
