@@ -39,7 +39,7 @@ def quantised(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     whole[far & (scaled < 0)] = -_LONG - 1
     wide = int(sizes.max()) if len(sizes) else 0
     if len(sizes) and (sizes == wide).all():
-        x = whole.reshape(-1, wide)
+        x = whole.reshape(len(sizes), wide)
     else:
         x = np.zeros((len(sizes), wide), np.int64)
         x[rows, np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = whole
