@@ -119,18 +119,20 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = TRAIN_ROWS) -> Model:
-    """Learn from rows with text and lang: of each language ``per_language`` at most, chosen by hash.
+    """Learn from rows with text and lang: of each ``per_language`` different texts at most, chosen by the texts' hashes.
 
-    Where all languages together would exceed ``most`` rows each gets the same share of them, one row at least, so none is
-    lost however many there are. What reaches the driver are the presence bits of those rows, 1 KB each.
+    Where all languages together would exceed ``most`` rows each gets the same share of them. The text with a language's
+    smallest hash is always among its rows, so no language is lost, whatever its rows and their ids look like. Copies of a
+    text count once. What reaches the driver are the presence bits of those rows, 1 KB each.
     """
-    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL")
-    counted = stage(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")), "languages")
+    point = F.expr("pmod(_hash, 1000000007) / 1000000007D")
+    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("_hash"))
+    counted = stage(rows.groupBy("lang").agg(F.approx_count_distinct("_hash").alias("_n"), F.min(point).alias("_least")), "languages")
     share = max(1, min(per_language, most // max(1, counted.count())))
-    point = F.expr("pmod(xxhash64(doc_id, lang), 1000000007) / 1000000007D")
     # a bounded number of rows for each language is left before they are ranked
-    some = rows.select("doc_id", "text", "lang").join(broadcast_checked(counted, 10_000), "lang").withColumn("_at", point * F.col("_n")).where(F.col("_at") < 3 * share + 30)
-    ranked = some.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_at", F.xxhash64("text"), "text"))).where(F.col("_rank") <= share)
+    near = rows.join(broadcast_checked(counted, 10_000), "lang").where((point - F.col("_least")) * F.col("_n") < 3 * share + 30)
+    some = near.dropDuplicates(["lang", "_hash"])
+    ranked = some.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy(point, "text"))).where(F.col("_rank") <= share)
     bits = bytewise.map_batches(ranked.select("lang", "text"), _bits, "lang string, bits binary").orderBy(F.xxhash64("bits"), "lang").collect()
     x = np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in bits]) if bits else np.zeros((0, FEATURES), np.uint8)
     return fit_matrix(x, [r["lang"] for r in bits])
