@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.components import connected_components
 from plumbline.runtime import stage, unstage
 
+# What ends the name of a municipality, and what begins the number of a block.
+MUNICIPAL, NUMBERS = "区市町村", "0-9０-９一二三四五六七八九十－-"
+
 
 def _greedy(pairs: pd.DataFrame) -> pd.DataFrame:
     """Pairs of one component, most similar first, join their clusters unless that would unite a pair kept apart."""
@@ -100,6 +103,13 @@ def primaries(members: DataFrame, pairs: DataFrame, units: DataFrame | None = No
     return rows.withColumn("_r", rank).where("_r = 1").select("cluster", F.col("node").alias("primary"))
 
 
+def _up_to_district(address: Column) -> Column:
+    """An address up to the number of its district: its municipality and the words after it; without a municipality all of it."""
+    head = F.regexp_extract(address, f"^[^{MUNICIPAL}]*[{MUNICIPAL}]", 0)
+    words = F.get(F.split(F.substring(address, F.char_length(head) + 1, F.char_length(address)), f"[{NUMBERS}]"), F.lit(0))
+    return F.when(head == "", address).otherwise(F.concat(head, words))
+
+
 def cluster_confidence(members: DataFrame, pairs: DataFrame, primary: DataFrame | None = None, attributes: DataFrame | None = None) -> DataFrame:
     """(cluster, size, mean, max, confidence): mean + 0.3 max + the attribute bonus, less 0, 0.05, 0.1 or 0.2 for 2, 3, 4 and more members.
 
@@ -115,7 +125,7 @@ def cluster_confidence(members: DataFrame, pairs: DataFrame, primary: DataFrame
     if primary is not None and attributes is not None:
         own = attributes.select("node", *(F.col(c).alias(f"x_{c}") for c in ("address", "floors", "units", "year")))
         lead = primary.join(attributes.withColumnRenamed("node", "primary"), "primary").select("cluster", "primary", "address", "floors", "units", "year")
-        district = lambda c: F.coalesce(F.nullif(F.regexp_extract(F.col(c), r"^(.*?[区市町村][^0-9０-９一二三四五六七八九十\-－]*)", 1), F.lit("")), F.nullif(F.col(c), F.lit("")))
+        district = lambda c: _up_to_district(F.nullif(F.col(c), F.lit("")))
         same = [district("address") == district("x_address"), (F.col("floors") != 0) & (F.col("floors") == F.col("x_floors")), (F.col("units") != 0) & (F.col("units") == F.col("x_units")), (F.col("year") != 0) & (F.col("x_year") != 0) & (F.abs(F.col("year") - F.col("x_year")) <= 1)]
         n = sum((F.coalesce(c.cast("int"), F.lit(0)) for c in same), F.lit(0))
         best = members.join(own, "node").join(lead, "cluster").where("node <> primary").groupBy("cluster").agg(F.max(n).alias("_n"))
@@ -124,20 +134,3 @@ def cluster_confidence(members: DataFrame, pairs: DataFrame, primary: DataFrame
         rows = rows.withColumn("_n", F.lit(0))
     bonus = F.when(F.col("_n") == 4, 0.5).when(F.col("_n") == 3, 0.3).when(F.col("_n") == 2, 0.15).when(F.col("_n") == 1, 0.05).otherwise(0.0)
     return rows.withColumn("confidence", F.col("mean") + 0.3 * F.col("max") + bonus - penalty).drop("_n")
-
-
-def group_by_seed(df: DataFrame, block: str, key: str, name: str, least: float) -> DataFrame:
-    """(key, seed): within a block, in order of key, each row joins the first seed whose name is similar enough, or becomes one."""
-    import difflib
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        seeds: list[tuple[int, str]] = []
-        out = []
-        for k, n in pdf.sort_values(key)[[key, name]].itertuples(index=False):
-            hit = next((s for s, t in seeds if n == t or difflib.SequenceMatcher(None, n or "", t or "").ratio() >= least), None)
-            if hit is None:
-                seeds.append((k, n))
-            out.append((k, k if hit is None else hit))
-        return pd.DataFrame(out, columns=["key", "seed"])
-
-    return df.select(block, key, name).groupBy(block).applyInPandas(settle, "key long, seed long")

@@ -381,25 +381,6 @@ def staged_lookup(stages: list[DataFrame], key: str, candidate: str, score: str,
     return ranked.where("_r = 1").select(key, candidate, score, (F.col("_next").isNotNull() & (F.col(score) - F.col("_next") < least_gap)).alias("held_back"))
 
 
-def alias_scores(wanted: DataFrame, aliases: DataFrame, key: str, name: str, alias_name: str = "canonical_name", count: str = "occurrence_count", owner: str = "building_id") -> DataFrame:
-    """(key, owner, score): the best match of a name with an owner's aliases.
-
-    Exact 100, prefix 80 + 15 r, contained 50 + 25 r, ratio of 0.6 and more 60 times it; times the mean of the alias's share among its
-    owner's and of its exclusivity, for exact matches at least half. Aliases are joined on their first two characters.
-    """
-    own = Window.partitionBy(owner)
-    every = Window.partitionBy(alias_name)
-    a = aliases.withColumn("_share", F.col(count) / F.sum(count).over(own)).withColumn("_only", F.col(count) / F.sum(count).over(every)).withColumn("_k", F.left(F.col(alias_name), F.lit(2)))
-    j = wanted.withColumn("_k", F.left(F.col(name), F.lit(2))).join(a, "_k")
-    q, n = F.col(name), F.col(alias_name)
-    r = F.least(F.length(q), F.length(n)) / F.greatest(F.length(q), F.length(n))
-    close = ratio(q, n)
-    text = F.when(q == n, 100.0).when(q.startswith(n) | n.startswith(q), 80 + 15 * r).when(q.contains(n) | n.contains(q), 50 + 25 * r).when(close >= 0.6, 60 * close).otherwise(0.0)
-    factor = (F.col("_share") + F.col("_only")) / 2
-    score = text * F.when(q == n, F.greatest(factor, F.lit(0.5))).otherwise(factor)
-    return j.groupBy(key, owner).agg(F.max(score).alias("score"))
-
-
 def attested(df: DataFrame, key: str, value: str, least: int = 3, share: float = 0.05) -> DataFrame:
     """Values of a key that occur ``least`` times and in ``share`` of its rows."""
     total = Window.partitionBy(key)

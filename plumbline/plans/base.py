@@ -82,3 +82,22 @@ KEYS = "(SELECT p_partkey AS k, p_size AS s FROM part)"
 
 def keys(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))
+
+
+#: DuckDB: Ratcliff and Obershelp's ratio of all (x, y) of ``compared``, as ``ratios`` (x, y, ratio). The longest common part, the
+#: first of equal ones on the left and then on the right, is matched; so are what precedes and what follows it, in turn.
+RATIOS = """matched AS (
+  SELECT x, y, x AS a, y AS b, 0 AS m FROM compared
+  UNION ALL
+  SELECT x, y, c.a, c.b, c.m FROM (
+    SELECT x, y, unnest([{'a': left(a, best.i - 1), 'b': left(b, strpos(b, substr(a, best.i, -best.n)) - 1), 'm': -best.n},
+      {'a': substr(a, best.i - best.n), 'b': substr(b, strpos(b, substr(a, best.i, -best.n)) - best.n), 'm': 0}]) AS c
+    FROM (SELECT x, y, a, b, list_min(list_filter(flatten(list_transform(range(1, least(length(a), length(b)) + 1), lambda n: list_transform(range(1, length(a) - n + 2), lambda i: {'n': -n, 'i': i}))),
+      lambda k: contains(b, substr(a, k.i, -k.n)))) AS best FROM matched WHERE a <> '' AND b <> '')
+    WHERE best IS NOT NULL)),
+ratios AS (SELECT x, y, 2.0 * sum(m) / (length(x) + length(y)) AS ratio FROM matched GROUP BY x, y)"""
+
+#: DuckDB, after RATIOS: similarity of two names by their words, as ``likeness`` (x, y, similarity).
+LIKENESS = """worded AS (SELECT x, y, ratio, string_split_regex(x, '\\s+') AS v, string_split_regex(y, '\\s+') AS w FROM ratios),
+shared AS (SELECT *, coalesce(list_max(list_filter(range(1, least(len(v), len(w)) + 1), lambda i: v[1:i] = w[1:i])), 0) AS p FROM worded),
+likeness AS (SELECT x, y, CASE WHEN x = y THEN 1.0 WHEN p = 0 THEN ratio WHEN p < len(v) AND p < len(w) THEN least(ratio, 0.6) WHEN p < len(v) OR p < len(w) THEN least(ratio, 0.65) ELSE 0.95 END AS similarity FROM shared)"""

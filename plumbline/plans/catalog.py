@@ -11,7 +11,7 @@ from plumbline.functions import address, names, numbers
 from plumbline.operators import filters, lineage, match, timeline, vote
 from plumbline.operators.cluster import cluster_confidence, clusters, primaries
 from plumbline.operators.components import connected_components
-from plumbline.plans.base import ADVERTS, HISTORY, MEAN, ORACLE_SQL, QUERIES, UNITS, adverts, history, mean, query, units
+from plumbline.plans.base import ADVERTS, HISTORY, LIKENESS, MEAN, ORACLE_SQL, QUERIES, RATIOS, UNITS, adverts, history, mean, query, units
 from plumbline.sources import files, html
 from plumbline.sources.files import table
 from plumbline.streaming.changes import price_changes
@@ -531,11 +531,14 @@ def components(spark, d):
     return connected_components(e)
 
 
-@query()
+@query(f"""WITH RECURSIVE compared AS (SELECT DISTINCT p.p_name AS x, q.p_name AS y FROM part p JOIN part q ON p.p_brand = q.p_brand AND abs(p.p_size - q.p_size) <= 3 AND p.p_partkey < q.p_partkey), {RATIOS}, {LIKENESS}
+SELECT p.p_partkey AS a, q.p_partkey AS b, similarity FROM part p JOIN part q ON p.p_brand = q.p_brand AND abs(p.p_size - q.p_size) <= 3 AND p.p_partkey < q.p_partkey JOIN likeness ON x = p.p_name AND y = q.p_name""")
 def scored_names(spark, d):
+    """All pairs of units of a brand with floors within three, and how alike their names are; different pairs of names are compared once."""
     p = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", "p_name")
     pairs = match.block_pairs(p, "p_partkey", ["p_brand"], {"p_size": 3.0})
-    return pairs.select(F.col("a_p_partkey").alias("a"), F.col("b_p_partkey").alias("b"), match.name_similarity(F.col("a_p_name"), F.col("b_p_name")).alias("similarity"))
+    texts = pairs.select("a_p_name", "b_p_name").distinct().withColumn("similarity", match.name_similarity(F.col("a_p_name"), F.col("b_p_name")))
+    return pairs.join(texts, ["a_p_name", "b_p_name"]).select(F.col("a_p_partkey").alias("a"), F.col("b_p_partkey").alias("b"), "similarity")
 
 
 @query()
@@ -706,7 +709,7 @@ def ward_list(spark, d):
 
 HEADLINE = ["majority_price", "daily_majority_changes", "carry_forward_daily_price", "event_timeline", "outlier_flags", "area_statistics", "quarterly_trend", "trend_by_band", "filtered_aggregates", "latest_row", "tolerance_pairs", "unit_similarity", "property_search", "building_list", "upserted", "majority_attribute_by_site", "extracted_numbers"]
 
-from plumbline.plans import answers, scores, texts  # noqa: E402, F401  (they register their queries)
+from plumbline.plans import answers, likeness, scores, texts  # noqa: E402, F401  (they register their queries)
 
 #: Earlier names of queries that now read their whole tables.
 for _name in ("null_safe_join", "matched_units", "retry_interval", "recompute_queue"):

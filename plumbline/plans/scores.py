@@ -166,19 +166,6 @@ def move_to_unit(spark, d):
     return timeline.first_n(j.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), score.alias("score")), ["a"], [F.desc("score"), F.col("b")], 20)
 
 
-_WINGS = "SELECT s_suppkey AS owner, CASE s_suppkey % 5 WHEN 0 THEN 'abc' WHEN 1 THEN 'abcd' WHEN 2 THEN 'abcdef' WHEN 3 THEN 'xyz' ELSE 'xyzw' END AS name, 1 + s_suppkey % 4 AS n FROM {0} supplier UNION ALL SELECT s_suppkey, 'shared', 2 FROM {0} supplier"
-
-
-@query(f"""WITH al AS ({_WINGS.format("")}), s AS (SELECT owner, name, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY owner) AS share, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY name) AS excl FROM al), w AS (SELECT DISTINCT name AS wanted FROM al),
-t AS (SELECT wanted, owner, CASE WHEN wanted = name THEN 100.0 ELSE 80 + 15.0 * least(length(wanted), length(name)) / greatest(length(wanted), length(name)) END * CASE WHEN wanted = name THEN greatest((share + excl) / 2, 0.5) ELSE (share + excl) / 2 END AS score FROM w JOIN s ON left(wanted, 2) = left(name, 2))
-SELECT wanted, owner, round(max(score), 6) AS score FROM t GROUP BY ALL""")
-def scored_aliases(spark, d):
-    """Names against the aliases of every building: text match times the alias's share and exclusivity."""
-    al = spark.sql(_WINGS.replace("{0} supplier", "{s} supplier"), s=table(spark, d, "supplier"))
-    wanted = al.select(F.col("name").alias("wanted")).distinct()
-    return match.alias_scores(wanted, al, "wanted", "wanted", "name", "n", "owner").withColumn("score", F.round("score", 6))
-
-
 # Votes ---------------------------------------------------------------------------------------------------------------------------
 _SAID = "SELECT l_partkey AS unit_id, l_suppkey AS site, l_shipdate AS seen_at, l_orderkey * 10 + l_linenumber AS advert_id, l_orderkey % 4 AS form, 'コート ' || (l_partkey % 9) AS name FROM {0} lineitem"
 _SPELLING = "CASE form WHEN 0 THEN upper(name) WHEN 1 THEN replace(name, ' ', '　') WHEN 2 THEN name || ' ' ELSE name || '別' END"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline import schema
 from plumbline.functions import names
-from plumbline.operators import cluster, lineage, match, timeline, vote
+from plumbline.operators import cluster, lineage, match, similar, timeline, vote
 from plumbline.operators.components import connected_components
 from plumbline.operators.ranking import bucketed_prefix
 from plumbline.sources import files, html
@@ -84,7 +84,7 @@ def test_clusters_keep_excluded_apart(spark):
 
 def test_seed_groups_and_lookup(spark):
     df = spark.createDataFrame([("x", 1, "park house"), ("x", 2, "park hause"), ("x", 3, "tower"), ("y", 4, "park house")], "b string, k long, n string")
-    assert {r["key"]: r["seed"] for r in cluster.group_by_seed(df, "b", "k", "n", 0.8).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert {r["key"]: r["seed"] for r in similar.group_by_seed(df, "b", "k", "n", 0.8).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
     s = lambda rows: spark.createDataFrame(rows, "q int, c int, score double")
     got = {r["q"]: (r["c"], r["held_back"]) for r in match.staged_lookup([s([(1, 7, 50.0)]), s([(1, 8, 99.0), (2, 9, 80.0), (2, 5, 78.0)])], "q", "c", "score").collect()}
     assert got == {1: (7, False), 2: (9, True)}
@@ -93,7 +93,7 @@ def test_seed_groups_and_lookup(spark):
 def test_alias_scores(spark):
     aliases = spark.createDataFrame([(1, "パークハウス渋谷", 2), (1, "PARKHOUSE渋谷", 1), (2, "タワー新宿", 1)], "building_id long, canonical_name string, occurrence_count long")
     wanted = spark.createDataFrame([("a", "パークハウス渋谷"), ("b", "パークハウス")], "q string, n string")
-    got = {(r["q"], r["building_id"]): r["score"] for r in match.alias_scores(wanted, aliases, "q", "n").collect()}
+    got = {(r["q"], r["building_id"]): r["score"] for r in similar.alias_scores(wanted, aliases, "q", "n").collect()}
     assert got["a", 1] > got["b", 1] > 0 and len(got) == 2
 
 
