@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import similar
+from plumbline.operators import blocking, similar
 from plumbline.plans.base import LIKENESS, RATIOS, query
 from plumbline.sources.files import table
 
@@ -79,3 +79,31 @@ def similar_openings(spark, d):
     words = F.slice(F.split(F.lower("text"), "[ \n]+"), 1, 3)
     t = table(spark, d, "documents").select("source", F.array_join(words, " ").alias("name"))
     return similar.similar_classes(t, "name", ["source"]).withColumn("similarity", F.round("similarity", 6))
+
+
+_BUILDINGS = """SELECT p_partkey AS id, CASE WHEN p_partkey % 13 <> 0 THEN p_name || ' ' || CAST(p_partkey % 90 AS VARCHAR(9)) END AS name, CASE p_partkey % 5 WHEN 0 THEN p_name || '東棟' WHEN 1 THEN substr(p_name, 3) ELSE p_name END AS canonical,
+CASE WHEN p_partkey % 17 <> 0 THEN p_brand || '-' || CAST(p_size AS VARCHAR(9)) END AS address, p_size AS floors, CASE WHEN p_partkey % 7 <> 0 THEN p_partkey % 23 END AS units, CASE WHEN p_partkey % 11 <> 0 THEN 1960 + p_partkey % 40 END AS year FROM {0}"""
+_PLACED = f"b AS (SELECT id, name, canonical, string_split(address, '-')[1] AS prefix, floors, units, year FROM ({_BUILDINGS.format('part')}))"
+_MATCH = "coalesce(p.canonical <> '' AND q.canonical <> '' AND (contains(p.canonical, q.canonical) OR contains(q.canonical, p.canonical) OR (length(p.canonical) >= 5 AND length(q.canonical) >= 5 AND left(p.canonical, 5) = left(q.canonical, 5))), false)"
+
+
+def _buildings(spark, d):
+    return spark.sql(_BUILDINGS.format("{parts}"), parts=table(spark, d, "part")).withColumn("prefix", blocking.address_prefix(F.col("address")))
+
+
+@query(f"""WITH {_PLACED}, c AS (SELECT min(id) AS id, name, canonical, prefix, floors, units, year FROM b GROUP BY ALL)
+SELECT p.id AS a, q.id AS b FROM c p JOIN c q ON p.id < q.id AND (p.name = q.name OR (p.prefix IS NOT DISTINCT FROM q.prefix AND (
+(p.floors = q.floors AND p.units = q.units AND abs(p.year - q.year) <= 1) OR (p.floors = q.floors AND p.year = q.year) OR ({_MATCH} AND (p.floors = q.floors OR p.units = q.units OR p.year = q.year)))))""")
+def candidate_building_pairs(spark, d):
+    """Pairs of different buildings that any of the six rules makes candidates, each once."""
+    return blocking.candidate_pairs(blocking.classes(_buildings(spark, d)))
+
+
+@query(f"""WITH {_PLACED}, g AS (SELECT prefix, floors, units FROM (SELECT *, year - lag(year) OVER (PARTITION BY prefix, floors, units ORDER BY year) AS gap FROM b WHERE floors IS NOT NULL AND units IS NOT NULL) GROUP BY ALL HAVING count(*) > 1 AND count(*) = count(year) AND min(gap) <= 1),
+r AS (SELECT id, 'floors_units' AS rule FROM b JOIN g ON b.prefix IS NOT DISTINCT FROM g.prefix AND b.floors = g.floors AND b.units = g.units UNION ALL SELECT p.id, 'name' FROM b p JOIN b q ON p.id <> q.id AND p.name = q.name
+UNION ALL SELECT p.id, unnest(list_filter([CASE WHEN p.floors = q.floors AND p.year = q.year THEN 'floors_year' END, CASE WHEN {_MATCH} AND p.floors = q.floors THEN 'floors_matching' END,
+CASE WHEN {_MATCH} AND p.units = q.units THEN 'units_matching' END, CASE WHEN {_MATCH} AND p.year = q.year THEN 'year_matching' END], lambda x: x IS NOT NULL)) FROM b p JOIN b q ON p.id <> q.id AND p.prefix IS NOT DISTINCT FROM q.prefix)
+SELECT id, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules FROM r GROUP BY id""")
+def candidate_buildings(spark, d):
+    """Buildings that some other one makes candidates, and the rules that say so."""
+    return blocking.candidate_ids(_buildings(spark, d)).select("id", F.array_join("rules", ",").alias("rules"))
