@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import blocking, similar
+from plumbline.operators import blocking, phrases, similar
 from plumbline.plans.base import LIKENESS, RATIOS, query
 from plumbline.sources.files import table
 
@@ -107,3 +107,29 @@ SELECT id, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules FROM r GROUP BY
 def candidate_buildings(spark, d):
     """Buildings that some other one makes candidates, and the rules that say so."""
     return blocking.candidate_ids(_buildings(spark, d)).select("id", F.array_join("rules", ",").alias("rules"))
+
+
+#: Words that say nothing at the ends of an opening; the table of phrases is every one and every two of them.
+LITTLE = ["de", "la", "le", "les", "et", "en", "un", "une", "des", "que", "qui", "est", "the", "of", "and", "to", "in", "is", "der", "die", "das", "und", "el", "los", "con", "por"]
+_ANY = "|".join(sorted(phrases.chained(LITTLE), key=lambda p: (-len(p), p)))
+_YNA = "|".join(p[::-1] for p in sorted(phrases.chained(LITTLE), key=lambda p: (-len(p), p)))
+_LEFT, _RIGHT = (f"'^(?:[^\\p{{L}}\\p{{N}}]*(?:{words})(?:[^\\p{{L}}\\p{{N}}]+|$))+', ''" for words in (_ANY, _YNA))
+_OPENING = "regexp_replace(array_to_string(string_split_regex(lower(text), '[ \\n]+')[1:7], ' '), '[^\\p{L}\\p{N} ]', '', 'g')"
+
+
+@query(f"""WITH t AS (SELECT doc_id, trim({_OPENING}) AS opening FROM documents) SELECT doc_id, opening, trim(reverse(regexp_replace(reverse(regexp_replace(opening, {_LEFT})), {_RIGHT}))) AS stripped FROM t""")
+def stripped_openings(spark, d):
+    """Opening words of documents without the little words, and pairs of them, at both ends."""
+    words = F.array_join(F.slice(F.split(F.lower("text"), "[ \n]+"), 1, 7), " ")
+    t = table(spark, d, "documents").select("doc_id", F.trim(F.regexp_replace(words, r"[^\p{L}\p{N} ]", "")).alias("opening"))
+    return t.select("doc_id", "opening", phrases.stripped(F.col("opening"), phrases.chained(LITTLE)).alias("stripped"))
+
+
+_COLOURS = ["red", "blue", "green", "hot", "cold", "small", "large", "old", "new"]
+
+
+@query(f"SELECT p_partkey, p_name, trim(regexp_replace(p_name, '^(?:(?:{'|'.join(_COLOURS)})(?: +|$))+', '')) AS stripped FROM part")
+def stripped_names(spark, d):
+    """Names of parts without their colours and sizes; the table of phrases is read as a frame."""
+    words = spark.createDataFrame([(w,) for w in phrases.chained(_COLOURS, 3)], "phrase string")
+    return table(spark, d, "part").select("p_partkey", "p_name", phrases.stripped(F.col("p_name"), words).alias("stripped"))
