@@ -82,19 +82,20 @@ def close_pairs(left: DataFrame, right: DataFrame, left_name: str, right_name: s
     return close_candidates(left, right, left_name, right_name, least).withColumn("ratio", ratio("left", "right")).where(F.col("ratio") >= least)
 
 
-def alias_scores(wanted: DataFrame, aliases: DataFrame, key: str, name: str, alias_name: str = "canonical_name", count: str = "occurrence_count", owner: str = "building_id") -> DataFrame:
+def alias_scores(wanted: DataFrame, aliases: DataFrame, key: str, name: str, alias_name: str = "canonical_name", count: str = "occurrence_count", owner: str = "building_id", ambiguous: str | None = None) -> DataFrame:
     """(key, owner, score): the best match of a name with an owner's aliases; without any match no row.
 
     Exact 100, prefix 80 + 15 r, contained 50 + 25 r (r: the shorter length over the longer), ratio of 0.6 and more 60 times it;
-    times the mean of the alias's share among its owner's and of its exclusivity, for exact matches at least half. Rows of
-    one alias of one owner count together. NULL and empty names match nothing. Different names are compared once, however
-    many rows have them.
+    times f, the mean of the alias's share among its owner's and of its exclusivity, or for exact matches times half of 1 + f.
+    Where the column ``ambiguous`` is true an exact match counts 95 times f, as the best prefix does. Rows of one alias of one
+    owner count together. NULL and empty names match nothing. Different names are compared once, however many rows have them.
     """
     held = aliases.where(F.col(alias_name) != "").groupBy(F.col(owner).alias("_owner"), F.col(alias_name).alias("_alias")).agg(F.sum(count).alias("_n"))
     held = stage(held, "aliases")
     of_owner = held.groupBy("_owner").agg(F.sum("_n").alias("_own"))
     of_alias = held.groupBy("_alias").agg(F.sum("_n").alias("_every"))
-    asked = wanted.select(key, F.col(name).alias("_asked"))
+    unsure = F.lit(False) if ambiguous is None else F.coalesce(ambiguous, F.lit(False))
+    asked = wanted.select(key, F.col(name).alias("_asked"), unsure.alias("_unsure"))
     inside = contained_pairs(asked, held, "_asked", "_alias").select(F.col("inner").alias("_asked"), F.col("outer").alias("_alias"))
     around = contained_pairs(held, asked, "_alias", "_asked").select(F.col("outer").alias("_asked"), F.col("inner").alias("_alias"))
     close = close_pairs(asked, held, "_asked", "_alias").select(F.col("left").alias("_asked"), F.col("right").alias("_alias"), "ratio")
@@ -104,9 +105,9 @@ def alias_scores(wanted: DataFrame, aliases: DataFrame, key: str, name: str, ali
     pairs = inside.select("*", none).unionByName(around.select("*", none)).unionByName(close).groupBy("_asked", "_alias").agg(F.max("ratio").alias("_ratio"))
     text = F.when(q == n, 100.0).when(q.startswith(n) | n.startswith(q), 80 + 15 * r).when(q.contains(n) | n.contains(q), 50 + 25 * r).otherwise(60 * F.col("_ratio"))
     factor = (F.col("_n") / F.col("_own") + F.col("_n") / F.col("_every")) / 2
-    score = F.col("_text") * F.when(q == n, F.greatest(factor, F.lit(0.5))).otherwise(factor)
-    scored = held.join(of_owner, "_owner").join(of_alias, "_alias").join(pairs.withColumn("_text", text), "_alias").groupBy("_asked", F.col("_owner").alias(owner)).agg(F.max(score).alias("score"))
-    return asked.join(scored, "_asked").groupBy(key, owner).agg(F.max("score").alias("score"))
+    score = lambda exact: F.max(F.when(q == n, exact).otherwise(F.col("_text") * factor))
+    scored = held.join(of_owner, "_owner").join(of_alias, "_alias").join(pairs.withColumn("_text", text), "_alias").groupBy("_asked", F.col("_owner").alias(owner)).agg(score(100 * (1 + factor) / 2).alias("_sure"), score(95 * factor).alias("_unsure_score"))
+    return asked.join(scored, "_asked").groupBy(key, owner).agg(F.max(F.when(F.col("_unsure"), F.col("_unsure_score")).otherwise(F.col("_sure"))).alias("score"))
 
 
 def similar_classes(df: DataFrame, name: str, blocks: list[str], least: float = 0.6) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import blocking, phrases, similar
+from plumbline.operators import blocking, phrases, registry, similar
 from plumbline.plans.base import LIKENESS, RATIOS, query
 from plumbline.sources.files import table
 
@@ -14,7 +14,7 @@ _SCORED = f"""s AS (SELECT owner, name, CAST(n AS DOUBLE) / sum(n) OVER (PARTITI
 compared AS (SELECT DISTINCT w.name AS x, s.name AS y FROM w, s), {RATIOS},
 texts AS (SELECT x, y, least(length(x), length(y)) / greatest(length(x), length(y)) AS r, CASE WHEN x = y THEN 100.0 WHEN starts_with(x, y) OR starts_with(y, x) THEN 80 + 15 * r
   WHEN contains(x, y) OR contains(y, x) THEN 50 + 25 * r WHEN ratio >= 0.6 THEN 60 * ratio END AS score FROM ratios),
-scored AS (SELECT wanted, owner, max(texts.score * CASE WHEN x = y THEN greatest((share + excl) / 2, 0.5) ELSE (share + excl) / 2 END) AS score FROM w JOIN texts ON w.name = x JOIN s ON s.name = y WHERE texts.score IS NOT NULL GROUP BY ALL)"""
+scored AS (SELECT wanted, owner, max(CASE WHEN x = y THEN 50 + 50 * (share + excl) / 2 ELSE texts.score * (share + excl) / 2 END) AS score FROM w JOIN texts ON w.name = x JOIN s ON s.name = y WHERE texts.score IS NOT NULL GROUP BY ALL)"""
 
 
 @query(f"WITH RECURSIVE al AS ({_WINGS.format('')}), w AS (SELECT DISTINCT name AS wanted, name FROM al), {_SCORED} SELECT wanted, owner, round(score, 6) AS score FROM scored")
@@ -133,3 +133,45 @@ def stripped_names(spark, d):
     """Names of parts without their colours and sizes; the table of phrases is read as a frame."""
     words = spark.createDataFrame([(w,) for w in phrases.chained(_COLOURS, 3)], "phrase string")
     return table(spark, d, "part").select("p_partkey", "p_name", phrases.stripped(F.col("p_name"), words).alias("stripped"))
+
+
+_NO = "CAST(substr(p_brand, 7) AS INT)"
+_PLACE = "'東京都' || CASE WHEN {n} % 3 = 0 THEN '港区' ELSE '中央区' END || '芝' || CAST({n} AS VARCHAR(9)) || CASE WHEN {k} % 4 <> 0 THEN '-' || CAST({k} % 3 + 1 AS VARCHAR(9)) ELSE '' END"
+_REGISTERED = f"""SELECT id, name, CASE WHEN id % 19 <> 0 THEN {_PLACE.format(n='n', k='id')} END AS address, CASE WHEN id % 5 <> 0 THEN CAST(id % 3 + 5 AS INT) END AS floors, CASE WHEN id % 6 <> 0 THEN CAST(1990 + id % 2 AS INT) END AS year,
+CASE WHEN id % 7 <> 0 THEN CAST(1 + id % 3 AS INT) END AS month, CASE WHEN id % 8 <> 0 THEN CAST(20 + id % 4 AS INT) END AS units FROM (SELECT min(p_partkey) AS id, p_name AS name, {_NO} AS n FROM {{0}} WHERE p_partkey % 3 <> 0 GROUP BY p_name, p_brand)"""
+_OFFERED = f"""SELECT p_partkey AS key, 's' || CAST(p_partkey % 3 AS VARCHAR(9)) AS site, CASE WHEN p_partkey % 4 = 0 THEN 'e' || CAST(p_partkey % 500 AS VARCHAR(9)) END AS external_id, CASE p_partkey % 7 WHEN 0 THEN p_name || '東' WHEN 1 THEN left(p_name, 6) WHEN 2 THEN NULL ELSE p_name END AS name,
+CASE WHEN p_partkey % 23 <> 0 THEN {_PLACE.format(n=_NO, k='(p_partkey + p_size)')} END AS address, CASE WHEN p_partkey % 4 <> 0 THEN CAST(p_size % 3 + 5 AS INT) END AS floors, CASE WHEN p_size % 5 <> 0 THEN CAST(1990 + p_size % 2 AS INT) END AS year,
+CASE WHEN p_size % 3 <> 0 THEN CAST(1 + p_size % 3 AS INT) END AS month, CASE WHEN p_partkey % 9 <> 0 THEN CAST(20 + p_size % 4 AS INT) END AS units FROM {{0}}"""
+_ENTRIES = "SELECT 's' || CAST(p_partkey % 3 AS VARCHAR(9)) AS site, 'e' || CAST(p_partkey % 500 AS VARCHAR(9)) AS external_id, p_partkey AS id FROM {0} WHERE p_partkey % 8 = 0"
+_CALLED = "SELECT id, name AS alias, 1 + id % 3 AS n FROM r UNION ALL SELECT id, name || '東', 2 FROM r WHERE id % 4 = 0 UNION ALL SELECT id, left(name, 6), 1 FROM r WHERE id % 5 = 0 AND length(name) > 6"
+_PAIR = """CASE WHEN a.address = r.address THEN 100 WHEN substr(a.address, 1, strpos(a.address, '芝')) <> substr(r.address, 1, strpos(r.address, '芝')) THEN 0
+WHEN string_split(string_split(a.address, '芝')[2], '-')[1] <> string_split(string_split(r.address, '芝')[2], '-')[1] THEN 80 WHEN string_split(a.address, '-')[2] = string_split(r.address, '-')[2] THEN 100 ELSE 90 END AS points"""
+
+
+@query(f"""WITH RECURSIVE r AS ({_REGISTERED.format('part')}), offered AS ({_OFFERED.format('part')}), entries AS (SELECT site, external_id, min(id) AS id FROM ({_ENTRIES.format('part')}) WHERE id IN (SELECT id FROM r) GROUP BY ALL),
+o AS (SELECT site, coalesce(external_id, '#' || coalesce(address, '?') || '|' || name || '|' || coalesce(floors, 0) || '|' || coalesce(year, 0) || '|' || coalesce(month, 0) || '|' || coalesce(units, 0)) AS ext, * EXCLUDE (site, external_id) FROM offered WHERE name <> ''),
+lead AS (SELECT *, row_number() OVER (PARTITION BY site, ext ORDER BY key) AS turn, first_value(key) OVER (PARTITION BY site, ext ORDER BY key) AS leader FROM o WHERE NOT EXISTS (SELECT 1 FROM entries e WHERE e.site = o.site AND e.external_id = o.ext)),
+a AS (SELECT *, (SELECT count(*) FROM r WHERE r.address = lead.address AND (starts_with(r.name, lead.name) OR starts_with(lead.name, r.name))) >= 2 AS unsure FROM lead WHERE turn = 1),
+al AS (SELECT id AS owner, alias AS name, n FROM ({_CALLED})), s AS (SELECT owner, name, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY owner) AS share, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY name) AS excl FROM al),
+compared AS (SELECT DISTINCT w.name AS x, s.name AS y FROM (SELECT DISTINCT name FROM a) w, (SELECT DISTINCT name FROM s) s), {RATIOS},
+texts AS (SELECT x, y, least(length(x), length(y)) / greatest(length(x), length(y)) AS q, CASE WHEN x = y THEN 100.0 WHEN starts_with(x, y) OR starts_with(y, x) THEN 80 + 15 * q WHEN contains(x, y) OR contains(y, x) THEN 50 + 25 * q WHEN ratio >= 0.6 THEN 60 * ratio END AS score FROM ratios),
+scored AS (SELECT x AS name, owner AS id, max(CASE WHEN x = y THEN 50 + 50 * (share + excl) / 2 ELSE texts.score * (share + excl) / 2 END) AS sure, max(CASE WHEN x = y THEN 95 * (share + excl) / 2 ELSE texts.score * (share + excl) / 2 END) AS doubted FROM texts JOIN s ON s.name = y WHERE texts.score IS NOT NULL GROUP BY ALL),
+met AS (SELECT a.key, r.id, a.unsure, a.name AS x, r.name AS y, a.address AS ax, r.address AS ay, {_PAIR}, coalesce(a.floors = r.floors, false) AS f, a.floors <> r.floors IS TRUE AS f_no, coalesce(a.year = r.year, false) AS y_same, a.year <> r.year IS TRUE AS y_no, a.month <> r.month IS TRUE AS m_no,
+  abs(a.month - r.month) <= 1 AS m_near, coalesce(a.units = r.units, false) AS u, a.units <> r.units IS TRUE AS u_no, abs(a.units - r.units) <= 2 AS u_near FROM a JOIN r ON a.address <> '' AND r.address <> ''),
+judged AS (SELECT *, NOT (f_no OR y_no OR m_no OR u_no) AS strict, NOT f_no AND NOT y_no AND (CAST(f AS INT) + CAST(y_same AND NOT m_no AS INT) + CAST(u AS INT) < 2 OR NOT ((y_same AND m_no) OR u_no) OR (f AND u AND y_same AND m_no AND m_near) OR ((f OR (y_same AND NOT m_no)) AND u_no AND u_near)) AS fair FROM met),
+total AS (SELECT j.*, points * 0.4 + CASE WHEN strict THEN 30 WHEN fair THEN 21 ELSE 0 END + 0.3 * coalesce(CASE WHEN unsure THEN doubted ELSE sure END, 0) AS total FROM judged j LEFT JOIN scored s ON s.name = j.x AND s.id = j.id),
+st AS (SELECT *, 1 AS stage FROM total WHERE x = y AND points >= 40 AND fair
+  UNION ALL SELECT *, 2 FROM total WHERE (starts_with(ax, ay) OR starts_with(ay, ax)) AND (strict OR fair) AND (EXISTS (SELECT 1 FROM al WHERE al.owner = total.id AND al.name = x) OR (unsure AND ax = ay AND (starts_with(x, y) OR starts_with(y, x))))
+  UNION ALL SELECT *, 3 FROM total WHERE points >= 40 AND (contains(x, y) OR contains(y, x)) AND (contains(ax, ay) OR contains(ay, ax))),
+ranked AS (SELECT key, id, stage, unsure, total - lead(total) OVER w AS gap, row_number() OVER w AS rn FROM st WINDOW w AS (PARTITION BY key, stage ORDER BY round(total, 9) DESC, id)),
+hit AS (SELECT key, arg_min(id, stage) AS id, min(stage) AS stage FROM ranked WHERE rn = 1 AND NOT (stage > 1 AND unsure AND coalesce(gap < 5, false)) GROUP BY key),
+led AS (SELECT a.key, CAST(hit.id AS VARCHAR) AS building, CASE stage WHEN 1 THEN 'name' WHEN 2 THEN 'alias' WHEN 3 THEN 'partial' ELSE 'new' END AS how, a.name, a.address FROM a LEFT JOIN hit USING (key))
+SELECT key, coalesce(building, name || '@' || coalesce(address, '')) AS building, how FROM led UNION ALL SELECT l.key, coalesce(g.building, g.name || '@' || coalesce(g.address, '')), 'external' FROM lead l JOIN led g ON g.key = l.leader WHERE turn > 1
+UNION ALL SELECT o.key, CAST(e.id AS VARCHAR), 'external' FROM o JOIN entries e ON e.site = o.site AND e.external_id = o.ext""")
+def found_buildings(spark, d):
+    """The building of every advert: by its external id, by name, alias or part, or a new one, told here by its name and address."""
+    p = table(spark, d, "part")
+    buildings = spark.sql(_REGISTERED.replace("{0}", "{p}"), p=p)
+    assigned, grown, _ = registry.find_or_create(spark.sql(_OFFERED.replace("{0}", "{p}"), p=p), buildings, spark.sql(_ENTRIES.replace("{0}", "{p}"), p=p), spark.sql(_CALLED.replace("FROM r", "FROM {r}"), r=buildings))
+    made = grown.join(buildings.select("id"), "id", "left_anti").select("id", F.concat("name", F.lit("@"), F.coalesce("address", F.lit(""))).alias("_new"))
+    return assigned.join(made, "id", "left").select("key", F.coalesce("_new", F.col("id").cast("string")).alias("building"), "how")

@@ -53,7 +53,7 @@ def plain_scores(wanted, aliases):
             text = 100 if q == n else 80 + 15 * r if q.startswith(n) or n.startswith(q) else 50 + 25 * r if q in n or n in q else 60 * close if close >= 0.6 else None
             if text is not None:
                 factor = (c / own[o] + c / every[n]) / 2
-                out[k, o] = max(out.get((k, o), 0), text * (max(factor, 0.5) if q == n else factor))
+                out[k, o] = max(out.get((k, o), 0), 50 + 50 * factor if q == n else text * factor)
     return out
 
 
