@@ -172,6 +172,7 @@ def found_buildings(spark, d):
     """The building of every advert: by its external id, by name, alias or part, or a new one, told here by its name and address."""
     p = table(spark, d, "part")
     buildings = spark.sql(_REGISTERED.replace("{0}", "{p}"), p=p)
-    assigned, grown, _ = registry.find_or_create(spark.sql(_OFFERED.replace("{0}", "{p}"), p=p), buildings, spark.sql(_ENTRIES.replace("{0}", "{p}"), p=p), spark.sql(_CALLED.replace("FROM r", "FROM {r}"), r=buildings))
-    made = grown.join(buildings.select("id"), "id", "left_anti").select("id", F.concat("name", F.lit("@"), F.coalesce("address", F.lit(""))).alias("_new"))
+    offered = spark.sql(_OFFERED.replace("{0}", "{p}"), p=p)
+    assigned, _, _ = registry.find_or_create(offered, buildings, spark.sql(_ENTRIES.replace("{0}", "{p}"), p=p), spark.sql(_CALLED.replace("FROM r", "FROM {r}"), r=buildings))
+    made = assigned.where("how = 'new'").join(offered, "key").select("id", F.concat("name", F.lit("@"), F.coalesce("address", F.lit(""))).alias("_new")).distinct()
     return assigned.join(made, "id", "left").select("key", F.coalesce("_new", F.col("id").cast("string")).alias("building"), "how")
