@@ -11,7 +11,9 @@ from plumbline.functions import address, names, numbers
 from plumbline.operators import filters, lineage, match, timeline, vote
 from plumbline.operators.cluster import cluster_confidence, clusters, primaries
 from plumbline.operators.components import connected_components
+from plumbline.operators.incremental import DerivedTable, follow
 from plumbline.plans.base import ADVERTS, HISTORY, LIKENESS, MEAN, ORACLE_SQL, QUERIES, RATIOS, UNITS, adverts, history, mean, query, units
+from plumbline.runtime import scratch_path
 from plumbline.sources import files, html
 from plumbline.sources.files import table
 from plumbline.streaming.changes import price_changes
@@ -174,6 +176,33 @@ def refreshed_changes(spark, d):
     return timeline.refresh(stored, fresh, fresh.where("unit_id % 3 = 0").select("unit_id"), "unit_id")
 
 
+def _kept_up(spark, path: str) -> DerivedTable:
+    """Daily majority changes of price records, kept in buckets of units."""
+    derive = lambda rows: price_changes(rows, "unit_id", "price", "ts")
+    return DerivedTable(spark, path, "event_id long, unit_id long, price long, ts timestamp", "unit_id", "event_id", derive, 16)
+
+
+@query(f"WITH c AS ({_CHANGES}) SELECT unit_id, change_date, new_price FROM c")
+def kept_up_changes(spark, d):
+    """Changes after three batches of records, each of which touched some buckets, then one refresh of the last days' units."""
+    rows = history(spark, d).select("event_id", "unit_id", "price", "ts")
+    kept = _kept_up(spark, scratch_path(spark, "kept_up"))
+    for epoch in range(3):
+        kept.apply(rows.where(F.least(F.floor(F.col("unit_id") / 7), F.lit(2)) == epoch), epoch)
+    kept.refresh(kept.recent("ts", 2))
+    return kept.result().select("unit_id", "change_date", "new_price")
+
+
+@query(f"WITH c AS ({_CHANGES}) SELECT unit_id, change_date, new_price FROM c")
+def followed_changes(spark, d):
+    """The same from a stream of files that was stopped and started again: its ledger knows what was taken in."""
+    rows, base = history(spark, d).select("event_id", "unit_id", "price", "ts"), scratch_path(spark, "followed")
+    for half in (0, 1):
+        rows.where(F.col("event_id") % 2 == half).coalesce(2).write.mode("append").parquet(f"{base}/files")
+        follow(_kept_up(spark, f"{base}/table"), f"{base}/files", f"{base}/ledger", 4)
+    return _kept_up(spark, f"{base}/table").result().select("unit_id", "change_date", "new_price")
+
+
 @query("""WITH q AS (SELECT user_id AS unit_id, event_type AS reason, CAST(event_id % 5 AS INTEGER) AS priority, ts AS created_at FROM events)
 SELECT unit_id, reason, priority, created_at FROM (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY priority, created_at, reason) AS rn FROM q) WHERE rn = 1 ORDER BY priority, created_at, unit_id LIMIT 40""")
 def recompute_queue(spark, d):
