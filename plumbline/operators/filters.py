@@ -13,6 +13,8 @@ from plumbline.functions.names import HIRAGANA, KATAKANA
 
 # The words of each category of tenure.
 TENURES = {"owned": ["所有権"], "leased": ["借地権", "地上権", "賃借権"], "fixed_lease": ["定期借地権"], "old_law": ["旧法"]}
+# Particles that join names, sounds after which a middle dot may stand, signs used as hyphens.
+PARTICLES, VOICED, HYPHENS = "ザノガデ", "ザダヴ", "ーｰ－—–−"
 _SCRIPTS = re.compile("[一-龥々]+|[ぁ-ん]+|[ァ-ヿー]+|[A-Za-z]+|[0-9]+")
 
 
@@ -105,12 +107,25 @@ def split_terms(query: str) -> list[str]:
     return list(dict.fromkeys(w for w in words if w))
 
 
+def script_terms(term: str) -> list[str]:
+    """The parts of one term between changes of script, each once; a particle that begins a longer katakana part stands alone."""
+    out: list[str] = []
+    for part in _SCRIPTS.findall(term):
+        alone = len(part) > 2 and part[0] in PARTICLES and "ァ" <= part[1] <= "ヿ"
+        out += [part[0], part[1:]] if alone else [part]
+    return list(dict.fromkeys(out)) or [term]
+
+
 def variants(term: str) -> list[str]:
-    """Spellings under which a term is looked for: raw, narrow and wide, lower and upper, hiragana and katakana, without middle dots."""
+    """Spellings under which a term is looked for: raw, narrow and wide, lower and upper, hiragana and katakana; with a middle dot after
+    a voiced sound, and without middle dots or hyphens."""
     narrow = "".join(chr(ord(k) - 0xFEE0) if 0xFF01 <= ord(k) <= 0xFF5E else k for k in term)
     wide = "".join(chr(ord(k) + 0xFEE0) if 0x21 <= ord(k) <= 0x7E else k for k in narrow)
     kana, hira = narrow.translate(str.maketrans(HIRAGANA, KATAKANA)), narrow.translate(str.maketrans(KATAKANA, HIRAGANA))
-    return list(dict.fromkeys(x for x in (term, narrow, wide, narrow.lower(), narrow.upper(), kana, hira, narrow.replace("・", ""), kana.replace("・", "")) if x))
+    dotted = re.sub(f"(?<=[{VOICED}])(?=[ァ-ヶー])", "・", kana)
+    dash = re.sub(f"[{HYPHENS}]", "-", kana)
+    forms = [term, narrow, wide, narrow.lower(), narrow.upper(), kana, hira, dotted, dash]
+    return list(dict.fromkeys(x for x in [*forms, narrow.replace("・", ""), kana.replace("・", ""), dash.replace("-", "")] if x))
 
 
 def search(df: DataFrame, query: str, columns: list[str], aliases: DataFrame | None = None, key: str = "id", alias_key: str = "building_id", alias_name: str = "normalized_name") -> DataFrame:

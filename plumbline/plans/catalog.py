@@ -738,7 +738,7 @@ def ward_list(spark, d):
 
 HEADLINE = ["majority_price", "daily_majority_changes", "carry_forward_daily_price", "event_timeline", "outlier_flags", "area_statistics", "quarterly_trend", "trend_by_band", "filtered_aggregates", "latest_row", "tolerance_pairs", "unit_similarity", "property_search", "building_list", "upserted", "majority_attribute_by_site", "extracted_numbers"]
 
-from plumbline.plans import answers, likeness, lineages, scores, texts  # noqa: E402, F401  (they register their queries)
+from plumbline.plans import answers, likeness, lineages, pages, scores, texts  # noqa: E402, F401  (they register their queries)
 
 #: Earlier names of queries that now read their whole tables.
 for _name in ("null_safe_join", "matched_units", "retry_interval", "recompute_queue"):
