@@ -13,7 +13,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import bytewise
@@ -209,7 +209,12 @@ def hamming_links(codes: DataFrame, radius: int, most: int = MOST_IN_SHARD) -> D
         found = part if found is None else found.union(part)
         if not any_left:
             return found
-        rows = stage(_split(rows.join(crowded, "key", "left_semi").where(F.col("n_rem") > radius), radius + 1), "shards")
+        full = rows.join(crowded, "key", "left_semi")
+        # codes that share all but ``radius`` bits are all linked: to one of them each
+        ends = full.where(F.col("n_rem") <= radius)
+        one = ends.groupBy("key").agg(F.min("f0").alias("src"))
+        found = found.union(ends.join(one, "key").where("f0 <> src").select("src", F.col("f0").alias("dst")))
+        rows = stage(_split(full.where(F.col("n_rem") > radius), radius + 1), "shards")
     return found.union(_searched(rows, radius))
 
 
@@ -369,7 +374,10 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, lan
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _th long, code long, n long, prefix array<long>, " + ", ".join(f"{c} long" for c in wide)
     prints = stage(bytewise.map_batches(rows, _sets, schema, width=width, similarity=similarity, lanes=lanes, hot=common_shingles(docs, width)), "prints")
     codes = stage(prints.dropDuplicates(["code"]), "codes")
-    met = codes.select("code", F.explode("prefix").alias("key")).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("_n > 1")
+    posted = codes.select("code", F.explode("prefix").alias("key"))
+    # counted map-side and joined, not counted in a window: a frequent shingle's rows are never in one task
+    shared = stage(posted.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "shared")
+    met = posted.join(shared, "key")
     shards = _in_pairs(met.join(codes.select("code", *wide), "code"), F.when(F.col("_n") > most, F.ceil(F.col("_n") * 2 / most)).otherwise(1), "code", *wide)
     maybe = stage(_searched(shards, radius, ("code", *wide)).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "maybe")
     members = codes.select("code", "doc_id", "_th", "n").join(connected_components(maybe).select(F.col("node").alias("code"), F.col("component").alias("key")), "code")
@@ -379,7 +387,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, lan
     dealt = _in_pairs(sets, F.when(F.col("total") > most_shingles, F.ceil(F.col("total") * 2 / most_shingles)).otherwise(1), "code", "shingles")
     found = bytewise.map_batches(dealt.repartition("key").sortWithinPartitions("key"), _verify, "src long, dst long", rows=500, similarity=similarity)
     links = stage(found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "links")
-    unstage(codes, maybe, members)
+    unstage(codes, shared, maybe, members)
     cc = connected_components(links).withColumnRenamed("node", "code")
     groups = stage(prints.join(cc, "code", "left").select("doc_id", "_th", F.coalesce("component", "code").alias("group_id")), "groups")
     unstage(prints, links)
