@@ -5,10 +5,11 @@ window of that length is assigned to its least hashed ``gram``-byte substring (i
 same anchor form a piece; equal windows have equal anchors, so each anchor's pieces are a small, repetitive corpus:
 
 1. pieces whose anchor occurs once are dropped by a pre-aggregated count;
-2. pieces that occur twice or more as a whole are repeated as a whole, and one of each stays for step 3;
-3. where an anchor has several different pieces, their text is fetched, and a run-length index over the shard of anchors
-   gives matching statistics: windows that match ``length`` bytes elsewhere are marked;
-4. anchors with very many different pieces are not gathered: their windows are counted one by one by their hashes.
+2. of pieces that are equal as a whole one is kept, with its number of places, and its text is fetched;
+3. a run-length index over a shard of anchors streams matching statistics: windows that match ``length`` bytes elsewhere, or
+   whose piece has several places, are marked;
+4. anchors with very many different pieces are not gathered: their pieces are cut by longer anchors around the old ones, whose
+   pieces are indexed alike, in rounds. In the last round the anchor is the window itself, and has one piece.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from plumbline.runtime import stage, unstage
 GRAM = 32
 #: Text of one index, and of one block of windows, about.
 SHARD_BYTES, BLOCK_BYTES = 1 << 20, 1 << 19
-#: Anchors with more different pieces than this are counted by windows.
-MOST_PIECES = 2000
+#: Anchors with more different pieces than this are cut by longer anchors, into so many parts at a time.
+MOST_PIECES, PARTS = 2000, 4
 #: Never part of UTF-8: ends the pieces of an index.
 END = 255
 
@@ -85,30 +86,39 @@ def _cut_up(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterat
 
 
 class RunLengthIndex:
-    """A Burrows-Wheeler transform of pieces, kept as its runs with text positions sampled at both ends of each run.
+    """A Burrows-Wheeler transform of pieces as runs of bytes, with text positions sampled at both ends of each run.
 
-    With each sample goes the length that the suffix there shares with the suffix before it (at a run's start) or after it
-    (at a run's end) in sorted order. Between two samples of the text these lengths fall by one with each
-    position, so the samples give the matching statistics of the whole text against all its other suffixes.
+    The transform is walked backwards from the ends of all pieces at once. A row and its neighbour step to neighbours as
+    long as both are in one run, and what they share grows by one byte; at the end of a run the nearest row with the same byte
+    is the end of the next run of that byte, and the samples there tell what the two share. ``weights``: places of a piece.
     """
 
-    def __init__(self, pieces: list[bytes]):
-        sizes = np.array([len(p) + 1 for p in pieces])
+    def __init__(self, pieces: list[bytes], weights: list[int] | None = None):
+        self.sizes = np.array([len(p) + 1 for p in pieces])
+        self.weights = np.array(weights if weights is not None else [1] * len(pieces))
         self.text = np.frombuffer(b"".join(p + b"\xff" for p in pieces), np.uint8)
         n = len(self.text)
-        ends = np.cumsum(sizes) - 1
+        self.ends = np.cumsum(self.sizes) - 1
         #: Bytes from a position to the end of its piece: no match goes beyond.
-        self.room = np.repeat(ends, sizes) - np.arange(n)
-        order = self._sort(np.repeat(np.arange(len(pieces)), sizes))
+        self.room = np.repeat(self.ends, self.sizes) - np.arange(n)
+        order = self._sort(np.repeat(np.arange(len(pieces)), self.sizes))
         before = self.text[order - 1]
         change = (before[1:] != before[:-1]) | (before[1:] == END)
-        heads, tails = np.flatnonzero(np.concatenate(([True], change))), np.flatnonzero(np.concatenate((change, [True])))
-        self.n_runs = len(heads)
-        self.run_bytes = before[heads]
-        self.run_lengths = np.diff(np.append(heads, n))
-        heads, tails = heads[heads > 0], tails[tails < n - 1]
-        self.head_at, self.head_shared = order[heads], self._shared(order[heads], order[heads - 1])
-        self.tail_at, self.tail_shared = order[tails], self._shared(order[tails], order[tails + 1])
+        self.heads, self.tails = np.flatnonzero(np.concatenate(([True], change))), np.flatnonzero(np.concatenate((change, [True])))
+        self.n_runs = len(self.heads)
+        self.run_bytes = before[self.heads]
+        self.run_lengths = self.tails - self.heads + 1
+        head_at, tail_at = order[self.heads], order[self.tails]
+        # rows whose suffix starts with a run's byte follow each other as the runs do
+        by_byte = np.argsort(self.run_bytes, kind="stable")
+        self.steps_to = np.zeros(self.n_runs, np.int64)
+        self.steps_to[by_byte] = np.cumsum(self.run_lengths[by_byte]) - self.run_lengths[by_byte]
+        above, below = by_byte[:-1], by_byte[1:]
+        same = (self.run_bytes[above] == self.run_bytes[below]) & (self.run_bytes[above] != END)
+        above, below = above[same], below[same]
+        #: Shared with the nearest row of the same byte over a run's head and under its tail, that byte included.
+        self.over, self.under = np.zeros(self.n_runs, np.int64), np.zeros(self.n_runs, np.int64)
+        self.over[below] = self.under[above] = self._shared(tail_at[above], head_at[below]) + 1
 
     def _sort(self, piece: np.ndarray) -> np.ndarray:
         """Suffixes in order, by doubling the sorted prefix of those still tied; the ends of pieces all differ, by piece."""
@@ -155,17 +165,20 @@ class RunLengthIndex:
         return np.minimum(got, most)
 
     def matching_statistics(self) -> np.ndarray:
-        """For each position, the length of the longest string from there that also starts at another position."""
-        n = len(self.text)
-        out = np.zeros(n, np.int64)
-        for at, shared in ((self.head_at, self.head_shared), (self.tail_at, self.tail_shared)):
-            value = np.zeros(n, np.int64)
-            value[at] = shared + at
-            sampled = np.zeros(n, np.int64)
-            sampled[at] = at + 1
-            last = np.maximum.accumulate(sampled) - 1
-            out = np.maximum(out, np.where(last >= 0, value[np.maximum(last, 0)] - np.arange(n), 0))
-        return np.minimum(out, self.room)
+        """For each position, the length of the longest string from there that also starts at another place."""
+        out = np.zeros(len(self.text), np.int64)
+        by_size = np.argsort(-self.sizes, kind="stable")
+        sizes, at = self.sizes[by_size], self.ends[by_size]
+        row = len(self.text) - len(sizes) + by_size  # the ends of pieces come last, by piece
+        over, under = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+        live = np.searchsorted(-sizes, -np.arange(1, sizes.max(initial=1)), side="left")  # pieces with more bytes left
+        for back, m in enumerate(live.tolist(), 1):
+            run = np.searchsorted(self.heads, row[:m], side="right") - 1
+            over = np.where(row[:m] == self.heads[run], self.over[run], over[:m] + 1)
+            under = np.where(row[:m] == self.tails[run], self.under[run], under[:m] + 1)
+            row = self.steps_to[run] + row[:m] - self.heads[run]
+            out[at[:m] - back] = np.maximum(over, under)
+        return np.where(np.repeat(self.weights > 1, self.sizes), self.room, out)
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,45 +188,54 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _mark(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by anchor; an index is built whenever whole anchors fill a shard."""
-    held: list[tuple[int, int, bytes]] = []
+    held: list[tuple[int, int, int, bytes]] = []
 
-    def index(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    def index(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
         rows = list({r[:2]: r for r in rows}.values())
-        out: list[tuple[int, int, int, int]] = []
-        if len(rows) > 1:
-            found = RunLengthIndex([r[2] for r in rows])
-            starts, ends = _runs(found.matching_statistics() >= length)
-            bounds = np.cumsum([0] + [len(r[2]) + 1 for r in rows])
-            for a, b, k in zip(starts.tolist(), ends.tolist(), (np.searchsorted(bounds, starts, side="right") - 1).tolist(), strict=True):
-                out.append((rows[k][0], rows[k][1], a - int(bounds[k]), b - 1 - int(bounds[k]) + length))
-        cols = list(zip(*out, strict=True)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["anchor", "content", "lo", "hi"])
+        found = RunLengthIndex([r[3] for r in rows], [r[2] for r in rows])
+        starts, ends = _runs(found.matching_statistics() >= length)
+        which = np.searchsorted(found.ends, starts)
+        begin = found.ends[which] + 1 - found.sizes[which]
+        keys = np.array([r[:2] for r in rows], np.int64)[which]
+        return pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array((starts - begin).astype(np.int32)), pa.array((ends - 1 - begin + length).astype(np.int32))], names=["anchor", "content", "lo", "hi"])
 
     size = 0
     for batch in batches:
-        for anchor, content, piece in zip(batch.column("anchor").to_pylist(), batch.column("content").to_pylist(), batch.column("piece").to_pylist(), strict=True):
-            if size > SHARD_BYTES and held[-1][0] != anchor:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "n", "piece")), strict=True):
+            if size > SHARD_BYTES and held[-1][0] != row[0]:
                 yield index(held)
                 held, size = [], 0
-            held.append((anchor, content, piece))
-            size += len(piece)
+            held.append(row)
+            size += len(row[3])
     if held:
         yield index(held)
 
 
-def _window_hashes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _anchored_at(spans: bytewise.SpanHash, offsets: np.ndarray, anchor: np.ndarray, gram: int) -> np.ndarray:
+    """Where the anchor of each piece starts in it: the first of its substrings with that hash."""
+    start = np.arange(offsets[-1] - gram + 1)
+    hits = np.flatnonzero(bytewise.mix(spans.raw(start, start + gram)).astype(np.int64) == anchor.repeat(np.diff(offsets))[: len(start)])
+    return hits[np.searchsorted(hits, offsets[:-1])] - offsets[:-1]
+
+
+def _cut_longer(batches: Iterator[pa.RecordBatch], length: int, gram: int, width: int, first: bool) -> Iterator[pa.RecordBatch]:
+    """Pieces of pieces: in each part the anchor starts in one of ``width`` places of the windows, so all have more around it in common."""
     for batch in batches:
         data, offsets = _bytes(batch.column("piece"))
-        for i, j in bytewise.blocks(offsets, BLOCK_BYTES):
-            part, bounds = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            counts = np.diff(bounds) - length + 1
-            row = np.repeat(np.arange(j - i), counts)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-            spans = bytewise.SpanHash(part)
-            start = bounds[row] + at
-            where = pa.array(row + i)
-            h2 = bytewise.mix(spans.raw(start, start + length // 2) ^ np.uint64(0x5851F42D4C957F2D))
-            yield pa.RecordBatch.from_arrays([batch.column("anchor").take(where), batch.column("content").take(where), pa.array(at.astype(np.int32)), pa.array(spans.of(start, start + length).astype(np.int64)), pa.array(h2.astype(np.int64))], names=["anchor", "content", "lo", "w1", "w2"])
+        spans, size = bytewise.SpanHash(data), np.diff(offsets)
+        at = _anchored_at(spans, offsets, batch.column("anchor").to_numpy(), gram) if first else batch.column("at").to_numpy().astype(np.int64)
+        raw = data.tobytes()
+        for nearest in range(0, length - gram + 1, width):
+            lo, hi = np.maximum(at - nearest - width + 1, 0), np.minimum(at - nearest, size - length)
+            rows = np.flatnonzero(lo <= hi)
+            begin, end = (offsets[:-1] + lo)[rows], (offsets[:-1] + hi + length)[rows]
+            core = (offsets[:-1] + at - nearest)[rows]
+            where = pa.array(rows)
+            anchor, content = bytewise.mix(spans.raw(core, core + length - width + 1)), spans.of(begin, end)
+            start = lo[rows] + (0 if first else batch.column("start").to_numpy()[rows])
+            text = pa.array([raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary())
+            root = [batch.column(c).take(where) for c in (("anchor", "content") if first else ("root", "whole"))]
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int64)), pa.array(content.astype(np.int64)), batch.column("n").take(where), pa.array((core - begin).astype(np.int32)), *root, pa.array(start.astype(np.int32)), text], names=["anchor", "content", "n", "at", "root", "whole", "start", "piece"])
 
 
 def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -233,7 +255,36 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin = offsets[:-1].repeat(lists.value_lengths().to_numpy()) + start
         raw = data.tobytes()
         found = [raw[a:b] for a, b in zip(begin.tolist(), (begin + size).tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*(each.field(n) for n in ("anchor", "content", "crowded")), pa.array(found, pa.binary())], names=["anchor", "content", "crowded", "piece"])
+        yield pa.RecordBatch.from_arrays([*(each.field(n) for n in ("anchor", "content", "n", "crowded")), pa.array(found, pa.binary())], names=["anchor", "content", "n", "crowded", "piece"])
+
+
+_RANGE = "anchor long, content long, lo int, hi int"
+
+
+def _indexed(pieces: DataFrame, length: int) -> DataFrame:
+    """(anchor, content, lo, hi): the repeated ranges of different ``pieces`` (anchor, content, n, piece), told by run-length indexes."""
+    rows = pieces.select("anchor", "content", "n", "piece").repartition("anchor").sortWithinPartitions("anchor", "content")
+    return bytewise.map_batches(rows, _mark, _RANGE, length=length)
+
+
+def _crowded_ranges(pieces: DataFrame, length: int, gram: int, most: int) -> list[DataFrame]:
+    """The repeated ranges of pieces of crowded anchors; each round's anchors are longer, up to whole windows."""
+    out, rows, first = [], pieces, True
+    while gram < length:
+        width = -(-(length - gram + 1) // PARTS)
+        schema = "anchor long, content long, n long, at int, root long, whole long, start int, piece binary"
+        cut = stage(bytewise.map_batches(rows, _cut_longer, schema, length=length, gram=gram, width=width, first=first), "cut")
+        one = stage(cut.groupBy("anchor", "content").agg(F.sum("n").alias("n"), F.min("piece").alias("piece")), "one")
+        anchors = stage(one.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("_places")).where("_places > 1").select("anchor", "kinds"), "anchors")
+        marked = stage(_indexed(one.join(anchors.where(F.col("kinds") <= most), "anchor", "left_semi"), length), "marked")
+        found = cut.select("anchor", "content", "root", "whole", "start").join(marked, ["anchor", "content"])
+        out.append(stage(found.select(F.col("root").alias("anchor"), F.col("whole").alias("content"), (F.col("lo") + F.col("start")).alias("lo"), (F.col("hi") + F.col("start")).alias("hi")), "of_crowded"))
+        again = anchors.where(F.col("kinds") > most)
+        gram, last = (length if again.isEmpty() else length - width + 1), rows
+        rows = stage(cut.join(again, "anchor", "left_semi"), "rows") if gram < length else None
+        unstage(last, cut, one, anchors, marked)
+        first = False
+    return out
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, gram: int = GRAM, most: int = MOST_PIECES) -> DataFrame:
@@ -249,22 +300,19 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = GRAM, most: i
     likely = stage(pieces.join(again, "anchor", "left_semi"), "likely")
     unstage(pieces, again)
     different = stage(likely.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "_th", "start", "size")).alias("one")), "different")
-    # an anchor with one piece, or whose pieces are all repeated as a whole, is done
-    several = stage(different.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("_fewest")).where("kinds > 1 AND _fewest = 1").drop("_fewest"), "several")
-    sought = different.join(several, "anchor").select("anchor", "content", "one.*", (F.col("kinds") > most).alias("crowded"))
-    lists = sought.groupBy(F.col("doc_id").alias("_id"), F.col("_th").alias("_t")).agg(F.collect_list(F.struct("anchor", "content", "crowded", "start", "size")).alias("pieces"))
+    crowd = stage(different.groupBy("anchor").count().where(F.col("count") > most).select("anchor", F.lit(True).alias("_crowd")), "crowd")
+    sought = different.join(crowd, "anchor", "left").select("anchor", "content", "n", "one.*", F.col("_crowd").isNotNull().alias("crowded"))
+    lists = sought.groupBy(F.col("doc_id").alias("_id"), F.col("_th").alias("_t")).agg(F.collect_list(F.struct("anchor", "content", "n", "crowded", "start", "size")).alias("pieces"))
     texts = keyed.join(lists, keyed["doc_id"].eqNullSafe(lists["_id"]) & (keyed["_th"] == lists["_t"]))
-    fetched = stage(bytewise.map_batches(texts.select("text", "pieces"), _fetch, "anchor long, content long, crowded boolean, piece binary", rows=500), "fetched")
-    calm = fetched.where("NOT crowded").select("anchor", "content", "piece").repartition("anchor").sortWithinPartitions("anchor", "content")
-    marked = bytewise.map_batches(calm, _mark, "anchor long, content long, lo int, hi int", length=length)
-    windows = bytewise.map_batches(fetched.where("crowded").select("anchor", "content", "piece"), _window_hashes, "anchor long, content long, lo int, w1 long, w2 long", length=length).distinct()
-    twice = windows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
-    counted = windows.join(twice, ["w1", "w2"], "left_semi").select("anchor", "content", "lo", (F.col("lo") + length).alias("hi"))
-    whole = different.where("n > 1").select("anchor", "content", F.lit(0).alias("lo"), F.col("one.size").alias("hi"))
-    ranges = stage(whole.union(marked).union(counted).groupBy("anchor", "content").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges")
+    fetched = stage(bytewise.map_batches(texts.select("text", "pieces"), _fetch, "anchor long, content long, n long, crowded boolean, piece binary", rows=500), "fetched")
+    marked = _indexed(fetched.where("NOT crowded"), length)
+    parts = [] if crowd.isEmpty() else _crowded_ranges(fetched.where("crowded").dropDuplicates(["anchor", "content"]), length, gram, most)
+    for part in parts:
+        marked = marked.union(part)
+    ranges = stage(marked.groupBy("anchor", "content").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges")
     found = likely.join(ranges, ["anchor", "content"]).select("doc_id", "_th", F.expr("transform(ranges, r -> struct(r.lo + start AS lo, r.hi + start AS hi))").alias("ranges"))
     spans = stage(found.groupBy("doc_id", "_th").agg(F.flatten(F.collect_list("ranges")).alias("spans")), "spans")
-    unstage(likely, different, several, fetched, ranges)
+    unstage(likely, different, crowd, fetched, ranges, *parts)
     return spans
 
 

@@ -260,6 +260,34 @@ def test_run_length_index_statistics():
             assert stats[at + i] == best
         at += len(p) + 1
     assert index.run_lengths.sum() == len(index.text) and index.n_runs < len(index.text)
+    weighted = suffix.RunLengthIndex(pieces, [2 if k == 3 else 1 for k in range(len(pieces))])
+    placed = np.repeat(np.arange(len(pieces)), weighted.sizes) == 3
+    assert (weighted.matching_statistics() == np.where(placed, weighted.room, stats)).all()
+    assert suffix.RunLengthIndex([b"alone" * 3], [1]).matching_statistics()[:2].tolist() == [10, 9]
+
+
+def test_longer_anchors_cover_every_window_once():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    text = bytes(rng.integers(97, 103, 3000, dtype=np.uint8)).decode()
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([text])], names=["doc_id", "_th", "text"])
+    cut = [r for b in suffix._cut_up(iter([batch]), 200, 32) for r in b.to_pylist()]
+    rows = pa.RecordBatch.from_arrays([pa.array([r["anchor"] for r in cut]), pa.array([r["content"] for r in cut]), pa.array([3] * len(cut)), pa.array([text[r["start"] : r["start"] + r["size"]].encode() for r in cut])], names=["anchor", "content", "n", "piece"])
+    whole, gram, first = {r["content"]: text[r["start"] : r["start"] + r["size"]].encode() for r in cut}, 32, True
+    want = Counter((r["content"], k) for r in cut for k in range(r["size"] - 199))
+    while gram < 200:
+        width = -(-(201 - gram) // suffix.PARTS)
+        (rows,) = suffix._cut_longer(iter([rows]), 200, gram, width, first)
+        got = rows.to_pylist()
+        assert Counter((r["whole"], r["start"] + k) for r in got for k in range(len(r["piece"]) - 199)) == want
+        assert all(whole[r["whole"]][r["start"] :].startswith(r["piece"]) and r["n"] == 3 for r in got)
+        by_anchor = {}
+        for r in got:  # an anchor stands for its bytes
+            by_anchor.setdefault(r["anchor"], set()).add(r["piece"][r["at"] : r["at"] + 201 - width])
+        assert all(len(v) == 1 and len(next(iter(v))) == 201 - width for v in by_anchor.values())
+        gram, first = 201 - width, False
+    assert all(len(r["piece"]) == 200 for r in got)
 
 
 def brute_fingerprint(text, width=3):
