@@ -111,8 +111,8 @@ class RunLengthIndex:
         head_at, tail_at = order[self.heads], order[self.tails]
         # rows whose suffix starts with a run's byte follow each other as the runs do
         by_byte = np.argsort(self.run_bytes, kind="stable")
-        self.steps_to = np.zeros(self.n_runs, np.int64)
-        self.steps_to[by_byte] = np.cumsum(self.run_lengths[by_byte]) - self.run_lengths[by_byte]
+        self.shift = -self.heads
+        self.shift[by_byte] += np.cumsum(self.run_lengths[by_byte]) - self.run_lengths[by_byte]
         above, below = by_byte[:-1], by_byte[1:]
         same = (self.run_bytes[above] == self.run_bytes[below]) & (self.run_bytes[above] != END)
         above, below = above[same], below[same]
@@ -171,12 +171,14 @@ class RunLengthIndex:
         sizes, at = self.sizes[by_size], self.ends[by_size]
         row = len(self.text) - len(sizes) + by_size  # the ends of pieces come last, by piece
         over, under = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+        run_of = np.repeat(np.arange(self.n_runs, dtype=np.int32), self.run_lengths)
         live = np.searchsorted(-sizes, -np.arange(1, sizes.max(initial=1)), side="left")  # pieces with more bytes left
         for back, m in enumerate(live.tolist(), 1):
-            run = np.searchsorted(self.heads, row[:m], side="right") - 1
-            over = np.where(row[:m] == self.heads[run], self.over[run], over[:m] + 1)
-            under = np.where(row[:m] == self.tails[run], self.under[run], under[:m] + 1)
-            row = self.steps_to[run] + row[:m] - self.heads[run]
+            row = row[:m]
+            run = run_of[row]
+            over = np.where(row == self.heads[run], self.over[run], over[:m] + 1)
+            under = np.where(row == self.tails[run], self.under[run], under[:m] + 1)
+            row = row + self.shift[run]
             out[at[:m] - back] = np.maximum(over, under)
         return np.where(np.repeat(self.weights > 1, self.sizes), self.room, out)
 
