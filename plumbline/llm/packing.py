@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import bytewise
 from plumbline.llm.tokenizing import MOST, encoder, text_blocks, tokenizer_path
 from plumbline.operators.ranking import bucketed_prefix
-from plumbline.runtime import stage
+from plumbline.runtime import broadcast_checked, stage
 
 #: A use of one filling: how often, and its lengths with their numbers.
 Filling = tuple[int, list[tuple[int, int]]]
@@ -225,7 +225,7 @@ def pack(items: DataFrame, capacity: int = 1024, per_bucket: int = 50_000) -> Da
     buckets = 1 << max(0, (max(hist.values(), default=0) // per_bucket).bit_length())
     ranked = items.withColumn("_order", F.xxhash64("doc_id", "_th", "piece")).withColumn("_bucket", F.expr(f"pmod(_order, {buckets})"))
     ranked = bucketed_prefix(ranked, ["length"], "_bucket", [F.col("_order"), F.col("doc_id")], F.lit(1), "_rank")
-    joined = ranked.join(F.broadcast(places), (F.col("length") == F.col("_len")) & (F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi")))
+    joined = ranked.join(broadcast_checked(places), (F.col("length") == F.col("_len")) & (F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi")))
     nth = F.col("_rank") - F.col("lo")
     return joined.select(*items.columns, (F.col("base") + F.floor(nth / F.col("per"))).cast("long").alias("sequence_id"), (F.col("offset0") + (nth % F.col("per")) * F.col("length")).alias("offset"))
 

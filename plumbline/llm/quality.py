@@ -208,9 +208,10 @@ def fit_matrix(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> Scorer:
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Scorer:
     """Train on at most ``most`` labelled documents (the smallest hashes of doc_id); their features alone reach the driver.
 
-    A doc_id that occurs twice counts once, with its text of the smallest hash and its better label.
+    Labels without a document, or with a NULL text only, take no place among them. A doc_id that occurs twice counts once, with its text of the smallest hash and its better label.
     """
     lab = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    lab = lab.join(docs.where("text IS NOT NULL").select("doc_id"), "doc_id", "left_semi")
     lab = broadcast_checked(lab.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(most).drop("_h"), most)
     rows = docs.select("doc_id", "text").join(lab, "doc_id").where("text IS NOT NULL")
     once = rows.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("_one")).select("quality", "_one.text")

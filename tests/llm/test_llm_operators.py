@@ -662,3 +662,13 @@ def test_token_files_keep_ids_of_any_type(spark):
     rows = [("b", "x y", 1), ("a", None, 2), (None, "z", 3), ("a", "", 4)]
     got = repair.read_documents(repair.write_shards(spark.createDataFrame(rows, "doc_id string, text string, part int"))).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == [None, "a", "a", "b"] and got[0]["start"] == 0
+
+
+def test_labels_of_absent_documents_take_no_place(spark):
+    rows = [(k, ("good plain words " if k % 2 else "buy now cheap ") * 5 + str(k)) for k in range(40)] + [(900, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own = [(k, k % 2) for k in range(40)]
+    alone = quality.fit(docs, spark.createDataFrame(own, "doc_id long, quality int"), most=40)
+    among = quality.fit(docs, spark.createDataFrame([*own, *((k, 1) for k in range(900, 3000))], "doc_id long, quality int"), most=40)
+    assert (alone.word_weights == among.word_weights).all() and (alone.scale, alone.shift) == (among.scale, among.shift)
+    assert np.abs(among.word_weights).sum() > 0
