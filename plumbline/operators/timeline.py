@@ -57,10 +57,12 @@ def event_timeline(history: DataFrame, spans: DataFrame, item: str, source: str,
     own = [item, source]
     known = daily_last(history, own, value, at, tie)
     days = known.select(item, "day").union(spans.select(item, "start")).union(spans.select(item, "end")).union(spans.select(item, F.date_add("end", 1))).distinct()
-    # a source meets no day after its span; days before it are needed for what it carries into it
-    per = days.join(spans.withColumnRenamed(item, "_item"), (F.col(item) == F.col("_item")) & (F.col("day") <= F.col("end"))).drop("_item").join(known.withColumnRenamed(value, "_v"), [*own, "day"], "left")
-    w = Window.partitionBy(*own).orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    per = per.withColumn(value, F.last("_v", True).over(w)).where((F.col("day") >= F.col("start")) & F.col(value).isNotNull())
+    # a source meets the days of its span only; its last record before that counts as one of the first day
+    span = [*own, "start", "end"]
+    entered = known.join(spans.select(*span), own).where(F.col("day") <= F.col("end")).groupBy(*span, F.greatest("day", "start").alias("day")).agg(F.max_by(value, "day").alias("_v"))
+    met = days.join(spans.select(*span).withColumnRenamed(item, "_item"), (F.col(item) == F.col("_item")) & F.col("day").between(F.col("start"), F.col("end"))).drop("_item")
+    w = Window.partitionBy(*span).orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    per = met.join(entered, [*span, "day"], "left").withColumn(value, F.last("_v", True).over(w)).where(F.col(value).isNotNull())
     return per.groupBy(item, "day").agg(F.min(value).alias("price"), F.count_distinct(value).alias("n_prices"), F.sort_array(F.collect_list(F.struct(source, value))).alias("by_source"), (F.count_distinct(value) > 1).alias("disagree"))
 
 

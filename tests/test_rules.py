@@ -53,3 +53,11 @@ def test_a_record_before_its_span_is_carried_into_it(spark):
     spans = spark.createDataFrame([(1, "a", "2024-01-02", "2024-01-04"), (1, "b", "2024-01-03", "2024-01-03")], "item long, source string, s string, e string").select("item", "source", F.col("s").cast("date").alias("start"), F.col("e").cast("date").alias("end"))
     got = {str(r["day"]): (r["price"], r["n_prices"]) for r in timeline.event_timeline(h, spans, "item", "source", "price", "at", "id").collect()}
     assert got == {"2024-01-02": (10, 1), "2024-01-03": (10, 2), "2024-01-04": (10, 1)}
+
+
+def test_timeline_carries_records_from_before_a_span(spark):
+    day = "CAST(to_date(concat('2024-01-', lpad(d, 2, '0'))) AS TIMESTAMP) AS at"
+    h = spark.createDataFrame([(1, "s", 7, 2, 1), (1, "s", 8, 3, 2), (1, "s", 9, 12, 3), (1, "t", 5, 6, 4), (1, "t", None, 7, 5), (2, "s", 4, 9, 6)], "item int, source string, price int, d int, id int").selectExpr("item", "source", "price", "id", day)
+    spans = spark.sql("SELECT 1 AS item, 's' AS source, DATE '2024-01-05' AS start, DATE '2024-01-10' AS end UNION ALL SELECT 1, 't', DATE '2024-01-06', DATE '2024-01-08' UNION ALL SELECT 2, 's', NULL, DATE '2024-01-09'")
+    got = {(r["item"], r["day"].day): (r["price"], [(x["source"], x["price"]) for x in r["by_source"]]) for r in timeline.event_timeline(h, spans, "item", "source", "price", "at", "id").collect()}
+    assert got == {(1, 5): (8, [("s", 8)]), (1, 6): (5, [("s", 8), ("t", 5)]), (1, 8): (5, [("s", 8), ("t", 5)]), (1, 9): (8, [("s", 8)]), (1, 10): (8, [("s", 8)])}
