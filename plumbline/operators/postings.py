@@ -37,29 +37,30 @@ def build(names: DataFrame, path: str) -> None:
     counted.repartition(BUCKETS, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/counts")
 
 
-def terms(queries: DataFrame, smart: bool = False) -> DataFrame:
-    """(q, term, variants) of (q, text): terms between blanks (``smart``: a text of one term at changes of script), spellings in lower case."""
+def terms(queries: DataFrame, smart: bool = False, spellings: bool = True) -> DataFrame:
+    """(q, term, variants) of (q, text): terms between blanks (``smart``: a text of one term at changes of script), spellings in lower case; only as written without ``spellings``."""
 
     @F.pandas_udf(ArrayType(ArrayType(StringType())))
     def split(texts: pd.Series) -> pd.Series:
         def one(text: str | None) -> list[list[str]]:
             parts = (text or "").replace("　", " ").split()
             found = script_terms(parts[0]) if smart and len(parts) == 1 else list(dict.fromkeys(parts))
-            return [list(dict.fromkeys(v.lower() for v in variants(t))) for t in found]
+            return [list(dict.fromkeys(v.lower() for v in variants(t))) if spellings else [t] for t in found]
 
         return texts.map(one)
 
     return queries.select("q", F.posexplode(split("text")).alias("term", "variants"))
 
 
-def search(spark: SparkSession, path: str, queries: DataFrame, smart: bool = False) -> DataFrame:
+def search(spark: SparkSession, path: str, queries: DataFrame, smart: bool = False, spellings: bool = True) -> DataFrame:
     """(q, id): ids of which every term of the query is in one of their names, in one spelling or another.
 
     Each spelling is looked up under its rarest piece. The term whose spellings have the fewest postings gives the candidates;
     the other terms are checked on the candidates' names, so postings of frequent terms are not read through. A query
-    without terms finds nothing; a term that no name holds ends its query.
+    without terms finds nothing; a term that no name holds ends its query. Without ``spellings`` terms, in lower case already,
+    are only looked for as written.
     """
-    asked = stage(terms(queries, smart), "terms")
+    asked = stage(terms(queries, smart, spellings), "terms")
     spelled = asked.select("q", "term", F.explode("variants").alias("v"))
     probes = spelled.select("v").distinct().select("v", F.explode(_pieces(F.col("v"), F.least(F.char_length("v"), F.lit(3)))).alias("gram"))
     probes = stage(probes.withColumn("bucket", _bucket(F.col("gram"))), "probes")
