@@ -65,12 +65,14 @@ SELECT a, b, round(address, 6) AS address, round(attributes, 6) AS attributes, r
 WHEN named < 0.5 AND address >= 0.9 AND attributes >= 0.8 THEN 0.85 WHEN address = 0 AND named >= 0.9 AND attributes >= 0.8 THEN 0.85 WHEN address > 0 THEN 0.4 * address + 0.3 * named + 0.3 * attributes ELSE 0.6 * named + 0.4 * attributes END, 6) AS similarity FROM q""")
 def building_similarities(spark, d):
     """Pairs of a town's buildings: address ladder, attributes, and the whole with its override rules."""
-    pairs = match.block_pairs(buildings(spark, d), "id", ["town"])
+    pairs, members = _town_pairs(spark, d, ["town", "name", "address", "year", "month", "floors", "structure"])
+    pairs = _by_addresses(pairs, address=match.address_ladder)
     a, b = _sides(pairs, "name", "address", "year", "month", "floors", "structure")
     named = match.name_priority(a["name"], b["name"])["score"] / 100
-    scored = pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), match.address_ladder(a["address"], b["address"]).alias("address"), match.attribute_similarity(a, b).alias("attributes"), named.alias("named"), F.abs(a["year"] - b["year"]).alias("gap"))
+    scored = pairs.select("a_class", "a_n", "b_class", "b_n", "address", match.attribute_similarity(a, b).alias("attributes"), named.alias("named"), F.abs(a["year"] - b["year"]).alias("gap"))
     whole = match.building_similarity(F.col("named"), F.col("address"), F.col("attributes"), F.col("gap"))
-    return scored.select("a", "b", F.round("address", 6).alias("address"), F.round("attributes", 6).alias("attributes"), F.round(whole, 6).alias("similarity"))
+    scored = scored.select("a_class", "a_n", "b_class", "b_n", F.round("address", 6).alias("address"), F.round("attributes", 6).alias("attributes"), F.round(whole, 6).alias("similarity"))
+    return classes.told(scored, members, members, ["address", "attributes", "similarity"], F.col("a") < F.col("b"))
 
 
 @query(f"""SELECT a, b, {_GRADE} AS grade, CASE WHEN a_name = b_name THEN 1 WHEN starts_with(a_name, b_name) OR starts_with(b_name, a_name) THEN 2 WHEN contains(a_name, b_name) OR contains(b_name, a_name) THEN 3 ELSE 4 END AS priority,
