@@ -136,13 +136,10 @@ _MOVE = """CASE WHEN a.name = b.name THEN 15 WHEN a.base = b.base THEN 8 WHEN co
 SELECT a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rn FROM j) WHERE rn <= 10""")
 def move_to_building(spark, d):
     """Ten buildings to which a unit of each building may be moved, among those of its name."""
-    v = buildings(spark, d)
-    a, b = v.select(*[F.col(c).alias(f"a_{c}") for c in v.columns]), v.select(*[F.col(c).alias(f"b_{c}") for c in v.columns])
-    j = a.join(b, (F.col("a_base") == F.col("b_base")) & (F.col("a_id") != F.col("b_id")))
     x, y = F.col("a_address"), F.col("b_address")
     place = F.when(x == y, True).when(x.startswith(y) | y.startswith(x), None).otherwise(False)
     score = match.move_building_score(F.col("a_name") == F.col("b_name"), F.lit(True), F.col("b_name").contains(F.col("a_base")), place, F.col("a_year") == F.col("b_year"), F.col("a_floors") == F.col("b_floors"))
-    return timeline.first_n(j.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), score.alias("score")), ["a"], [F.desc("score"), F.col("b")], 10)
+    return classes.best_others(buildings(spark, d), "id", ["base", "name", "address", "year", "floors"], ["base"], score, 10)
 
 
 @query(f"""WITH v AS {BUILDINGS} SELECT a, b, score FROM (SELECT a.id AS a, b.id AS b, CASE WHEN a.address = b.address THEN 50 WHEN contains(a.address, b.address) OR contains(b.address, a.address) THEN 20 ELSE 0 END
