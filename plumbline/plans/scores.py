@@ -90,9 +90,9 @@ def building_grades(spark, d):
         "a_class", "a_n", "b_class", "b_n", "grade", named["priority"].alias("priority"), match.names_overlap(a["name"], b["name"]).alias("overlap"), F.round(match.building_score(F.col("grade"), strict, flexible, named["score"]), 6).alias("score"),
         match.same_building(named["score"] / 100, F.col("ladder")).alias("same"),
     )
+    return classes.told(scored, members, members, ["grade", "priority", "overlap", "score", "same"], F.col("a") < F.col("b"))
 
 
-    return classes.told(scored, members, members, ["grade", "priority", "overlap", "score", "same"], F.col("a") < F.col("b"))
 @query(f"""WITH b AS {BUILDINGS}, c AS (SELECT address, name, count(*) AS n FROM b WHERE address IS NOT NULL GROUP BY ALL)
 SELECT b.id, CAST(coalesce(sum(c.n), 0) AS BIGINT) AS at_address, CAST(coalesce(sum(CASE WHEN starts_with(c.name, b.base) OR starts_with(b.base, c.name) THEN c.n END), 0) AS BIGINT) AS matching,
 coalesce(sum(c.n), 0) >= 2 AND coalesce(sum(CASE WHEN starts_with(c.name, b.base) OR starts_with(b.base, c.name) THEN c.n END), 0) >= 2 AS is_ambiguous FROM b LEFT JOIN c ON b.address = c.address GROUP BY b.id""")
@@ -147,10 +147,14 @@ def move_to_building(spark, d):
 FROM v a JOIN v b ON a.base = b.base AND a.id <> b.id) WHERE score >= 20""")
 def suggested_buildings(spark, d):
     """Buildings with an advert's name whose address and attributes earn them 20 points."""
-    v = buildings(spark, d)
-    pairs = v.select(*[F.col(c).alias(f"a_{c}") for c in v.columns]).join(v.select(*[F.col(c).alias(f"b_{c}") for c in v.columns]), (F.col("a_base") == F.col("b_base")) & (F.col("a_id") != F.col("b_id")))
+    by = ["base", "address", "floors", "units", "year"]
+    v = buildings(spark, d).where("id IS NOT NULL AND base IS NOT NULL")
+    found = classes.found(v, by)
+    pairs = classes.side(found, "a").join(classes.side(found, "b"), F.col("a_base") == F.col("b_base"))
     a, b = _sides(pairs, "address", "floors", "units", "year")
-    return pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), match.advert_building_score(a, b).alias("score")).where("score >= 20")
+    scored = pairs.select("a_class", "a_n", "b_class", "b_n", match.advert_building_score(a, b).alias("score")).where("score >= 20")
+    members = classes.parts(v, "id", by, found)
+    return classes.told(scored, members, members, ["score"], F.col("a") != F.col("b"))
 
 
 _ROOMS = "SELECT p_partkey AS id, p_brand AS building, p_size AS floor, CASE WHEN p_partkey % 11 <> 0 THEN 50 + p_partkey * 13 % 40 / 10.0D END AS area, CASE p_partkey % 7 WHEN 0 THEN '1LDK' WHEN 1 THEN '1ldk+S' WHEN 2 THEN '2LDK' WHEN 3 THEN 'ワンルーム' WHEN 4 THEN '1R' WHEN 5 THEN '2LDK+N' END AS layout, CASE p_partkey % 6 WHEN 0 THEN '南' WHEN 1 THEN 'SE' WHEN 2 THEN 'E' WHEN 3 THEN '北' WHEN 4 THEN '南向き' END AS direction, CASE WHEN p_partkey % 4 = 0 THEN '10' || (p_partkey % 3) END AS room, CASE WHEN p_partkey % 3 <> 0 THEN 5 + (p_partkey % 4) / 2.0D END AS balcony FROM {0} part"
