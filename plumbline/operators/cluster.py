@@ -110,15 +110,20 @@ def _up_to_district(address: Column) -> Column:
     return F.when(head == "", address).otherwise(F.concat(head, words))
 
 
-def cluster_confidence(members: DataFrame, pairs: DataFrame, primary: DataFrame | None = None, attributes: DataFrame | None = None) -> DataFrame:
+def _pair_scores(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(cluster, mean, max) of the pairs within a cluster."""
+    j = pairs.join(members.select(F.col("node").alias("a"), "cluster"), "a").join(members.select(F.col("node").alias("b"), F.col("cluster").alias("c2")), "b").where("cluster = c2")
+    return j.groupBy("cluster").agg(F.avg("similarity").alias("mean"), F.max("similarity").alias("max"))
+
+
+def cluster_confidence(members: DataFrame, pairs: DataFrame | None, primary: DataFrame | None = None, attributes: DataFrame | None = None, scores: DataFrame | None = None) -> DataFrame:
     """(cluster, size, mean, max, confidence): mean + 0.3 max + the attribute bonus, less 0, 0.05, 0.1 or 0.2 for 2, 3, 4 and more members.
 
     With ``primary`` (cluster, primary) and ``attributes`` (node, address, floors, units, year) the bonus is 0.05, 0.15,
     0.3 or 0.5 for the member that agrees with its primary in most of them: 1, 2, 3 or all 4. Addresses agree up to their
-    district, years within one; what is missing, 0 or empty agrees with nothing.
+    district, years within one; what is missing, 0 or empty agrees with nothing. ``scores`` (cluster, mean, max) may stand for the pairs.
     """
-    j = pairs.join(members.select(F.col("node").alias("a"), "cluster"), "a").join(members.select(F.col("node").alias("b"), F.col("cluster").alias("c2")), "b").where("cluster = c2")
-    s = j.groupBy("cluster").agg(F.avg("similarity").alias("mean"), F.max("similarity").alias("max"))
+    s = _pair_scores(members, pairs) if scores is None else scores
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     penalty = F.when(F.col("size") <= 2, 0.0).when(F.col("size") == 3, 0.05).when(F.col("size") == 4, 0.1).otherwise(0.2)
     rows = sizes.join(s, "cluster")
