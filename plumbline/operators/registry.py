@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.address import address_parts, block_numbers
 from plumbline.operators.ranking import bucketed_prefix
 from plumbline.operators.similar import alias_scores, contained_pairs
-from plumbline.runtime import stage
+from plumbline.runtime import broadcast_checked, stage
 
 #: What an advert and a building may say about themselves.
 FACTS = ["floors", "year", "month", "units"]
@@ -73,9 +73,20 @@ def _sides(prefix: str) -> dict[str, Column]:
     return {k: F.col(f"{prefix}{k}") for k in FACTS}
 
 
-def _judged(pairs: DataFrame, asked: DataFrame, buildings: DataFrame, scores: DataFrame, attested: DataFrame | None) -> DataFrame:
+#: What candidates are found by; searches that agree in it have the same ones.
+PLACE = ["name", "address", "ambiguous"]
+
+
+def _met(found: DataFrame, buildings: DataFrame, scores: DataFrame) -> DataFrame:
+    """(PLACE, id) with what the building says of itself, the score of its name and address points; two addresses are compared once."""
+    j = stage(found.distinct().join(buildings.select("id", F.col("address").alias("b_address"), *(F.col(k).alias(f"b_{k}") for k in FACTS)), "id"), "met")
+    points = j.select("address", "b_address").distinct().withColumn("points", address_points(F.col("address"), F.col("b_address")))
+    return j.join(stage(points, "points"), ["address", "b_address"]).join(scores, ["name", "ambiguous", "id"], "left")
+
+
+def _judged(met: DataFrame, asked: DataFrame, attested: DataFrame | None) -> DataFrame:
     """(ask, id) with address points, agreement and the whole score: 40 % address, 30 % attributes, 30 % name."""
-    j = pairs.distinct().join(asked, "ask").join(buildings.select("id", F.col("address").alias("b_address"), *(F.col(k).alias(f"b_{k}") for k in FACTS)), "id").join(scores, ["ask", "id"], "left")
+    j = asked.join(broadcast_checked(stage(met, "judged"), 1_000_000), PLACE)
     dated, counted = F.lit(False), F.lit(False)
     if attested is not None:
         # (id, kind, year, month, units): what adverts of the building often said
@@ -85,16 +96,22 @@ def _judged(pairs: DataFrame, asked: DataFrame, buildings: DataFrame, scores: Da
         j = j.join(hit, ["ask", "id"], "left").join(units, ["id", "units"], "left")
         dated, counted = F.coalesce("_d", F.lit(False)), F.coalesce("_u", F.lit(False))
     strict, fair = strictly_agree(_sides(""), _sides("b_")), tolerably_agree(_sides(""), _sides("b_"), dated, counted)
-    j = j.withColumns({"points": address_points(F.col("address"), F.col("b_address")), "strict": strict, "fair": fair})
+    j = j.withColumns({"strict": strict, "fair": fair})
     return j.withColumn("total", F.col("points") * 0.4 + F.when(F.col("strict"), 30.0).when(F.col("fair"), 21.0).otherwise(0.0) + F.coalesce("score", F.lit(0.0)) * 0.3)
 
 
 def _best(rows: DataFrame, how: str, hold: bool) -> DataFrame:
-    """(ask, id, how): the highest total, the smaller id of equal ones; none if an ambiguous search has two within the gap."""
+    """(ask, id, how): the highest total, the smaller id of equal ones; none if an ambiguous search has two within the gap.
+
+    Candidates of a search are added up where they are; only those of ambiguous searches are brought together, for the second best.
+    """
+    top = lambda df: df.groupBy("ask").agg((-F.max(F.struct("total", (-F.col("id")).alias("id")))["id"]).alias("id")).select("ask", "id", F.lit(how).alias("how"))
+    if not hold:
+        return top(rows)
     w = Window.partitionBy("ask").orderBy(F.desc("total"), "id")
-    ranked = rows.withColumn("_next", F.lead("total").over(w)).withColumn("_r", F.row_number().over(w)).where("_r = 1")
-    near = F.col("ambiguous") & F.coalesce(F.col("total") - F.col("_next") < LEAST_GAP, F.lit(False))
-    return (ranked.where(~near) if hold else ranked).select("ask", "id", F.lit(how).alias("how"))
+    ranked = rows.where("ambiguous").withColumn("_next", F.lead("total").over(w)).withColumn("_r", F.row_number().over(w)).where("_r = 1")
+    near = F.coalesce(F.col("total") - F.col("_next") < LEAST_GAP, F.lit(False))
+    return top(rows.where("NOT ambiguous")).unionByName(ranked.where(~near).select("ask", "id", F.lit(how).alias("how")))
 
 
 def staged_lookup(asked: DataFrame, buildings: DataFrame, aliases: DataFrame, attested: DataFrame | None = None) -> DataFrame:
@@ -113,22 +130,26 @@ def staged_lookup(asked: DataFrame, buildings: DataFrame, aliases: DataFrame, at
     begins = asked.select("name", "address").distinct().join(names, "address").where(F.col("b_name").startswith(F.col("name")) | F.col("name").startswith(F.col("b_name")))
     unsure = begins.groupBy("name", "address").agg(F.sum("n").alias("_n")).where("_n >= 2").select("name", "address", F.lit(True).alias("ambiguous"))
     asked = stage(asked.join(unsure, ["name", "address"], "left").withColumn("ambiguous", F.coalesce("ambiguous", F.lit(False))), "searches")
-    scores = stage(alias_scores(asked, aliases, "ask", "name", "alias", "n", "id", "ambiguous"), "name_scores")
-    judged = lambda pairs: _judged(pairs, asked, known, scores, attested)
+    # names are scored, and candidates found, once for all searches that agree in what counts for it
+    said = asked.select("name", "ambiguous").distinct().withColumn("said", F.struct("name", "ambiguous"))
+    scores = stage(alias_scores(said, aliases, "said", "name", "alias", "n", "id", "ambiguous").select("said.name", "said.ambiguous", "id", "score"), "name_scores")
+    places = lambda rows: stage(rows.select(*PLACE).distinct(), "places")
 
-    by_name = judged(asked.join(known.select("id", "name"), "name").select("ask", "id")).where((F.col("points") >= LEAST_ADDRESS) & F.col("fair"))
-    first = stage(_best(by_name, "name", False), "by_name")
+    by_name = _met(places(asked).join(known.select("id", "name"), "name").select(*PLACE, "id"), known, scores).where(F.col("points") >= LEAST_ADDRESS)
+    first = stage(_best(_judged(by_name, asked, attested).where("fair"), "name", False), "by_name")
     rest = stage(asked.join(first, "ask", "left_anti"), "left")
-    alias = rest.join(aliases.select("id", F.col("alias").alias("name")).distinct(), "name").select("ask", "id")
-    beside = rest.where("ambiguous").join(known.select("id", "address", F.col("name").alias("b_name")), "address").where(F.col("b_name").startswith(F.col("name")) | F.col("name").startswith(F.col("b_name"))).select("ask", "id")
+    left = places(rest)
+    alias = left.join(aliases.select("id", F.col("alias").alias("name")).distinct(), "name").select(*PLACE, "id")
+    beside = left.where("ambiguous").join(known.select("id", "address", F.col("name").alias("b_name")), "address").where(F.col("b_name").startswith(F.col("name")) | F.col("name").startswith(F.col("b_name"))).select(*PLACE, "id")
     goes_on = F.col("b_address").startswith(F.col("address")) | F.col("address").startswith(F.col("b_address"))
-    second = stage(_best(judged(alias.unionByName(beside)).where(goes_on & (F.col("strict") | F.col("fair"))), "alias", True), "by_alias")
+    second = stage(_best(_judged(_met(alias.unionByName(beside), known, scores).where(goes_on), rest, attested).where(F.col("strict") | F.col("fair")), "alias", True), "by_alias")
     rest = stage(rest.join(second, "ask", "left_anti"), "left")
-    inner = contained_pairs(rest, known, "name", "name").select(F.col("inner").alias("name"), F.col("outer").alias("b_name"))
-    outer = contained_pairs(known, rest, "name", "name").select(F.col("outer").alias("name"), F.col("inner").alias("b_name"))
-    near = rest.select("ask", "name", "address").join(inner.unionByName(outer).distinct(), "name").join(known.select("id", F.col("name").alias("b_name"), F.col("address").alias("b_address")), "b_name")
-    near = near.where(F.col("address").contains(F.col("b_address")) | F.col("b_address").contains(F.col("address"))).select("ask", "id")
-    third = _best(judged(near).where(F.col("points") >= LEAST_ADDRESS), "partial", True)
+    left = places(rest)
+    inner = contained_pairs(left, known, "name", "name").select(F.col("inner").alias("name"), F.col("outer").alias("b_name"))
+    outer = contained_pairs(known, left, "name", "name").select(F.col("outer").alias("name"), F.col("inner").alias("b_name"))
+    near = left.join(inner.unionByName(outer).distinct(), "name").join(known.select("id", F.col("name").alias("b_name"), F.col("address").alias("b_address")), "b_name")
+    near = near.where(F.col("address").contains(F.col("b_address")) | F.col("b_address").contains(F.col("address"))).select(*PLACE, "id")
+    third = _best(_judged(_met(near, known, scores).where(F.col("points") >= LEAST_ADDRESS), rest, attested), "partial", True)
     return first.unionByName(second).unionByName(third)
 
 
