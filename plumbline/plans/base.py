@@ -80,8 +80,18 @@ def meant(forms: list[tuple[str, str]], kind: str, key: str = "k") -> str:
 KEYS = "(SELECT p_partkey AS k, p_size AS s FROM part)"
 
 
+#: Rows whose texts are read out are dealt over tasks of about so many: a small file is one task, however much is read out of a row.
+ROWS = 20_000
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """The same rows over as many tasks as their number asks for; few stay where they are."""
+    n = df.count() // ROWS + 1
+    return df if n == 1 else df.repartition(int(min(n, 20_000)))
+
+
 def keys(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))
+    return dealt(table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s")))
 
 
 #: DuckDB: Ratcliff and Obershelp's ratio of all (x, y) of ``compared``, as ``ratios`` (x, y, ratio). The longest common part, the
