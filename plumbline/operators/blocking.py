@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.similar import contained_pairs
-from plumbline.runtime import stage
+from plumbline.runtime import broadcast_checked, stage
 
 #: A common beginning of so many characters makes two names match.
 BEGINNING = 5
 #: What decides whether buildings are candidates; buildings equal in all of it are one class.
 ATTRIBUTES = ["name", "canonical", "prefix", "floors", "units", "year"]
+#: Blocks are dealt over tasks by so many classes; at 60 times sf0.1 a task then makes about a million pairs.
+ROWS = 5_000
 #: The three pairs of columns in which buildings whose names match must agree.
 SHARED = ["floors", "units", "year"]
 
@@ -34,32 +36,41 @@ def names_match(a: Column, b: Column) -> Column:
     return F.coalesce((a != "") & (b != "") & met, F.lit(False))
 
 
-def qualifies(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """Whether two buildings are candidates by any rule.
+def _begun(canonical: Column) -> Column:
+    """The beginning that makes names match; NULL of a shorter name."""
+    return F.when(F.char_length(canonical) >= BEGINNING, F.left(canonical, F.lit(BEGINNING)))
 
-    The same name; or the same address prefix (two missing ones are the same) and: floors and units, with years at most one
-    apart; floors and year; or a matching name and the same floors, units or year.
+
+def first_rule(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """The number of the first rule by which two buildings are candidates; NULL if none does.
+
+    The same address prefix (two missing ones are the same) and: 0 floors and year; 1 floors and units, with years at most one
+    apart; or a matching name (2 to 4 the same beginning, 5 to 7 the same short name, 8 to 10 one in the other) and the same
+    floors, units or year. 11: the same name, anywhere.
     """
-    eq = {c: F.coalesce(a[c] == b[c], F.lit(False)) for c in ["name", *SHARED]}
-    near = F.coalesce(F.abs(a["year"] - b["year"]) <= 1, F.lit(False))
-    met = (eq["floors"] & eq["units"] & near) | (eq["floors"] & eq["year"]) | (names_match(a["canonical"], b["canonical"]) & (eq["floors"] | eq["units"] | eq["year"]))
-    return eq["name"] | (_same(a["prefix"], b["prefix"]) & met)
+    sure = lambda x: F.coalesce(x, F.lit(False))
+    eq = {c: sure(a[c] == b[c]) for c in ["name", *SHARED]}
+    x, y = a["canonical"], b["canonical"]
+    near = sure(F.abs(a["year"] - b["year"]) <= 1)
+    same = [sure(_begun(x) == _begun(y)), sure((x == y) & (x != "")), names_match(x, y)]
+    rules = [eq["floors"] & eq["year"], eq["floors"] & eq["units"] & near, *(eq[s] & m for m in same for s in SHARED)]
+    place = _same(a["prefix"], b["prefix"])
+    return F.coalesce(*(F.when(place & r, i) for i, r in enumerate(rules)), F.when(eq["name"], len(rules)))
 
 
-def _key(rule: str, *parts: Column) -> Column:
-    """A block's name; NULL, and so no block, if a part is."""
-    return F.concat(F.lit(rule), *(F.concat(F.lit("\x01"), p.cast("string")) for p in parts))
+def _at(rule: int, *parts: Column) -> Column:
+    """A rule's block, told by a hash: whoever meets in it is judged by the rule itself. NULL if a part is; the prefix may be."""
+    known = reduce(lambda x, y: x & y, (p.isNotNull() for p in parts))
+    return F.when(known, F.struct(F.lit(rule).alias("rule"), F.xxhash64(F.lit(rule), *parts, *([] if rule == 11 else [F.col("prefix")])).alias("key")))
 
 
-def _keys() -> Column:
+def _blocks() -> Column:
     """All blocks of a building. Years one apart share a block: each year is in its own and in the next one's."""
-    c, prefix = F.col, F.coalesce(F.concat(F.lit("="), F.col("prefix")), F.lit(""))
-    head = F.when(F.char_length("canonical") >= BEGINNING, F.left("canonical", F.lit(BEGINNING)))
-    keys = [_key("name", c("name")), _key("floors,year", prefix, c("floors"), c("year"))]
-    keys += [_key("floors,units", prefix, c("floors"), c("units"), c("year") + k) for k in (0, 1)]
-    keys += [_key(f"{s},beginning", prefix, c(s), head) for s in SHARED]
-    keys += [_key(f"{s},whole", prefix, c(s), F.nullif("canonical", F.lit(""))) for s in SHARED]
-    return F.array_compact(F.array(*keys))
+    c = F.col
+    short = F.when(F.char_length("canonical") < BEGINNING, F.nullif("canonical", F.lit("")))
+    at = [_at(0, c("floors"), c("year")), *(_at(1, c("floors"), c("units"), c("year") + k) for k in (0, 1))]
+    at += [_at(2 + i, c(s), _begun(c("canonical"))) for i, s in enumerate(SHARED)] + [_at(5 + i, c(s), short) for i, s in enumerate(SHARED)]
+    return F.explode(F.array_compact(F.array(*at, _at(11, c("name")))))
 
 
 def classes(buildings: DataFrame) -> DataFrame:
@@ -76,21 +87,26 @@ def members(buildings: DataFrame, found: DataFrame) -> DataFrame:
 def candidate_pairs(found: DataFrame) -> DataFrame:
     """(a, b): classes a < b that are candidates by any rule, each pair once.
 
-    A class is in the blocks that its attributes name; a pair is made in the first of the blocks that both are in, and only
-    there judged by all rules. Names contained in others are found by their rarest pieces, and make a pair where the two
-    share no block. So a block grows with its different classes, and no block holds more than what one rule ties together.
+    A class is in the blocks that its attributes name; a pair is made in the block of the first rule that it meets, and only
+    there. Names contained in others are found by their rarest pieces; for rules 8 to 10 a class is in the blocks of its own
+    name and of those in it. So a block grows with its different classes, what is shuffled are classes and not pairs, and
+    blocks are dealt over as many tasks as the classes ask for.
     """
-    rows = stage(found.withColumn("keys", F.sort_array(_keys())), "blocks")
-    side = lambda tag: rows.select(*(F.col(c).alias(f"{tag}_{c}") for c in [*ATTRIBUTES, "class", "keys"]))
-    of = lambda tag: {c: F.col(f"{tag}_{c}") for c in ATTRIBUTES}
-    a, b = side("a").withColumn("key", F.explode("a_keys")), side("b").withColumn("key", F.explode("b_keys"))
-    met = a.join(b, "key").where((F.col("a_class") < F.col("b_class")) & (F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("key")))
-    by_block = met.where(qualifies(of("a"), of("b"))).select(F.col("a_class").alias("a"), F.col("b_class").alias("b"))
-    inside = stage(contained_pairs(rows, rows, "canonical", "canonical").where("inner <> outer"), "contained")
-    held = side("a").join(inside, F.col("a_canonical") == F.col("inner"))
-    parts = [held.join(side("b"), (F.col("b_canonical") == F.col("outer")) & _same(F.col("a_prefix"), F.col("b_prefix")) & (F.col(f"a_{s}") == F.col(f"b_{s}"))) for s in SHARED]
-    apart = [p.where(~F.arrays_overlap("a_keys", "b_keys")).select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b")) for p in parts]
-    return by_block.unionByName(reduce(DataFrame.unionByName, apart).distinct())
+    rows = stage(found.select("class", *ATTRIBUTES), "blocks")
+    n = int(min(20_000, rows.count() // ROWS + 1))
+    # only the last rule asks for the name
+    placed = lambda df, at, *more: df.select("*", at.alias("at")).select("at.*", "class", F.when(F.col("at.rule") == 11, F.col("name")).alias("name"), *ATTRIBUTES[1:], *more).repartition(n, "rule", "key", *more)
+    side = lambda df, tag: df.select(*(F.col(c) if c in ("rule", "key", "_in") else F.col(c).alias(f"{tag}_{c}") for c in df.columns))
+    first = first_rule(*({c: F.col(f"{tag}_{c}") for c in ATTRIBUTES} for tag in ("a", "b"))) == F.col("rule")
+    blocks = placed(rows, _blocks())
+    met = side(blocks, "a").join(side(blocks, "b"), ["rule", "key"]).where((F.col("a_class") < F.col("b_class")) & first)
+    inside = broadcast_checked(stage(contained_pairs(rows, rows, "canonical", "canonical").where("inner <> outer").distinct(), "contained"))
+    of = F.explode(F.array_compact(F.array(*(_at(8 + i, F.col(s), F.col("_in")) for i, s in enumerate(SHARED)))))
+    held = placed(rows.join(inside, F.col("canonical") == F.col("inner"), "left_semi").withColumn("_in", F.col("canonical")), of, "_in")
+    holding = placed(rows.join(inside.withColumnRenamed("inner", "_in"), F.col("canonical") == F.col("outer")), of, "_in")
+    apart = side(held, "a").join(side(holding, "b"), ["rule", "key", "_in"]).where(first)
+    pair = lambda df: df.select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b"))
+    return pair(met).unionByName(pair(apart))
 
 
 def candidate_ids(buildings: DataFrame) -> DataFrame:
