@@ -176,16 +176,41 @@ def ambiguous_names(wanted: DataFrame, buildings: DataFrame, key: str, name: str
     return j.withColumn("is_ambiguous", (F.col("at_address") >= 2) & (F.col("matching") >= 2))
 
 
+#: Adverts are dealt over tasks of about so many, so that a task's memory does not grow with the table.
+DEALT = 200_000
+
+
 def fallback_match(adverts: DataFrame, listings: DataFrame, key: str) -> DataFrame:
     """(key, building_id, unit_id): a unit of another building with the same total floors, built year, floor, area and price whose
     address begins with the advert's; the smallest building, then unit. What is missing or 0 matches nothing.
 
-    Both: building_id, address, total_floors, built_year, floor, area, price; listings also unit_id, active ones only.
+    Both: building_id, address, total_floors, built_year, floor, area, price; listings also unit_id, active ones only. An advert
+    leaves out no building but its own, so the two smallest buildings of every place decide: places are compared, not adverts.
     """
     same = ["total_floors", "built_year", "floor", "area", "price"]
-    wanted = adverts.where(" AND ".join(f"{c} <> 0" for c in same) + " AND address <> ''").select(key, *same, F.col("building_id").alias("_own"), F.col("address").alias("_address"))
-    j = wanted.join(listings.select("unit_id", "building_id", "address", *same), same).where((F.col("building_id") != F.col("_own")) & F.col("address").startswith(F.col("_address")))
-    return j.groupBy(key).agg(F.min(F.struct("building_id", "unit_id")).alias("_b")).select(key, "_b.building_id", "_b.unit_id")
+    at = [*same, "address"]
+    known = " AND ".join(f"{c} <> 0" for c in same) + " AND address <> '' AND building_id IS NOT NULL"
+    # the area as text: fractional keys are rewritten in joins, and would be shuffled once more
+    rows = lambda df, name: df.where(known).select(*same, "address", "building_id", name).withColumn("area", F.col("area").cast("double").cast("string"))
+    wanted, held = rows(adverts, key), rows(listings, "unit_id")
+    n = int(min(20_000, max(wanted.count(), held.count()) // DEALT + 1))
+
+    def two(df: DataFrame) -> DataFrame:
+        """The two smallest buildings of a place, each with its smallest unit."""
+        least = df.groupBy(*at, "building_id").agg(F.min("unit_id").alias("unit_id"))
+        return least.withColumn("_r", F.row_number().over(Window.partitionBy(*at).orderBy("building_id"))).where("_r <= 2")
+
+    offered = two(held.repartition(n, *at)).select(*same, F.col("address").alias("_held"), "building_id", "unit_id").repartition(n, *same)
+    asked = wanted.select(*at).distinct().repartition(n, *same)
+    met = two(asked.join(offered, same).where(F.col("_held").startswith(F.col("address"))).select(*at, "building_id", "unit_id"))
+    of = lambda r: F.max(F.when(F.col("_r") == r, F.struct("building_id", "unit_id"))).alias(f"_{r}")
+    best = met.groupBy(*at).agg(of(1), of(2)).repartition(n, *at)
+    own = F.col("building_id")
+    hit = F.when(F.col("_1.building_id") != own, F.col("_1")).otherwise(F.col("_2"))
+    found = wanted.repartition(n, *at).join(best, at).select(key, hit.alias("_b")).where("_b IS NOT NULL").select(key, "_b.building_id", "_b.unit_id")
+    # a key may be in several rows
+    smallest = F.min(F.struct("building_id", F.col("unit_id").isNull(), "unit_id")).alias("_b")
+    return found.repartition(n, key).groupBy(key).agg(smallest).select(key, "_b.building_id", "_b.unit_id")
 
 
 def learned_values(merged: DataFrame, keys: list[str], value: str) -> DataFrame:
