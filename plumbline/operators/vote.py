@@ -126,6 +126,8 @@ TENURE_KINDS = [
     ("一般定期借地権", ["定期借地権"]), ("旧法借地権", ["旧法借地権", "旧法賃借権"]), ("普通借地権", ["普通借地権"]), ("賃借権（旧）", ["賃借権（旧）"]), ("賃借権（普）", ["賃借権（普）"]), ("賃借権", ["賃借権"]),
     ("地上権（旧）", ["地上権（旧）"]), ("地上権（普）", ["地上権（普）"]), ("地上権", ["地上権"]), ("所有権", ["所有権"]),
 ]
+#: What is said is dealt over tasks of about so many rows.
+DEALT = 200_000
 UNTIL, LASTS = "借地期限([0-9]{4})年([0-9]{1,2})月", "借地期間(?:残存|新規)([0-9]+)年(?:([0-9]+)ヶ月)?"
 TOLD_APART = [LASTS + "、?", "※定期賃借権：借地期限[0-9]{4}年[0-9]{1,2}月[0-9]{1,2}日まで\\s*", "保証金（[^）]+）は販売価格に含まれています\\s*、?"]
 
@@ -144,8 +146,9 @@ def tenure_kind(c: Column) -> Column:
 def lease_until(c: Column, listed: Column) -> Column:
     """The month in which a lease ends, yyyy-MM: named, or so many years and months after the listing; NULL if neither."""
     part = lambda p, k: F.nullif(F.regexp_extract(c, p, k), F.lit(""))
-    months = part(LASTS, 1).cast("int") * 12 + F.coalesce(part(LASTS, 2).cast("int"), F.lit(0))
-    named = F.concat(part(UNTIL, 1), F.lit("-"), F.lpad(part(UNTIL, 2), 2, "0"))
+    # most texts hold neither word, and are not searched
+    months = F.when(c.contains("借地期間"), part(LASTS, 1).cast("int") * 12 + F.coalesce(part(LASTS, 2).cast("int"), F.lit(0)))
+    named = F.when(c.contains("借地期限"), F.concat(part(UNTIL, 1), F.lit("-"), F.lpad(part(UNTIL, 2), 2, "0")))
     return F.when(c.contains("借地"), F.coalesce(named, F.date_format(F.add_months(F.to_date(listed), months), "yyyy-MM")))
 
 
@@ -155,19 +158,25 @@ def tenure(df: DataFrame, key: str, text: str, site: str, listed: str, now: Colu
     Ties of kinds and conditions go to the better site, then the smaller text; ties of ends to the earlier one. Owned land
     needs no more than its name. A kind for which no advert tells an end keeps its most frequent text.
     """
-    rows = df.where(F.col(text).isNotNull() & (F.col(text) != "")).withColumn("_kind", tenure_kind(F.col(text)))
-    won = majority_by_site(rows, [key], "_kind", site, order=order).select(key, "_kind")
-    owned = won.where("_kind = '所有権'").select(key, F.lit("所有権").alias("tenure"))
-    mine = rows.join(won.where("_kind <> '所有権'"), [key, "_kind"]).withColumn("_until", lease_until(F.col(text), F.col(listed)))
-    ends = first_by(mine.where("_until IS NOT NULL").groupBy(key, "_until").agg(F.count(F.lit(1)).alias("_n")), [key], [F.desc("_n"), F.col("_until")]).select(key, "_until")
-    conditions = F.col(text)
+    c = F.col
+    rows = df.where(c(text).isNotNull() & (c(text) != "")).select(key, c(text).alias("_text"), tenure_kind(c(text)).alias("_kind"), lease_until(c(text), c(listed)).alias("_until"), site_priority(c(site), order).alias("_s"))
+    # read and counted once; what equal adverts say then stays in the task of its key through all three votes
+    said = rows.groupBy(key, "_text", "_kind", "_until").agg(F.count(F.lit(1)).alias("_n"), F.min("_s").alias("_s"))
+    said = said.repartition(int(min(20_000, df.count() // DEALT + 1)), key)
+    of = lambda *more: Window.partitionBy(key, *more)
+    votes = lambda df, value: df.withColumn("_votes", F.sum("_n").over(of(value))).withColumn("_site", F.min("_s").over(of(value)))
+    won = F.first("_kind").over(of().orderBy(F.desc("_votes"), "_site", "_kind"))
+    mine = votes(said, "_kind").withColumn("_won", won).where((c("_kind") == c("_won")) & (c(key).isNotNull() | (c("_kind") == "所有権")))
+    end = F.first("_until").over(of().orderBy(c("_until").isNull(), F.desc("_votes"), "_until"))
+    mine = votes(mine, "_until").withColumn("_end", F.when(c("_kind") != "所有権", end)).where((c("_until") == c("_end")) | c("_end").isNull())
+    conditions = c("_text")
     for p in TOLD_APART:
         conditions = F.regexp_replace(conditions, p, "")
     conditions = F.trim(F.regexp_replace(F.regexp_replace(conditions, "、+", "、"), "^、|、$", ""))
-    agreed = majority_by_site(mine.join(ends, [key, "_until"]).withColumn("_cond", conditions).withColumn("_cond", F.when(F.col("_cond") == "", " ").otherwise(F.col("_cond"))), [key], "_cond", site, order=order).select(key, F.trim("_cond").alias("_cond")).join(ends, key)
-    left = F.floor(F.months_between(F.to_date(F.concat("_until", F.lit("-01"))), now)).cast("int")
+    mine = mine.withColumn("_cond", F.when(c("_end").isNull(), c("_text")).otherwise(F.when(conditions == "", " ").otherwise(conditions)))
+    agreed = first_by(votes(mine, "_cond"), [key], [F.desc("_votes"), c("_site"), c("_cond")]).withColumn("_said", F.trim("_cond"))
+    left = F.floor(F.months_between(F.to_date(F.concat("_end", F.lit("-01"))), now)).cast("int")
     span = F.concat(F.lit("借地期間残存"), F.floor(left / 12).cast("string"), F.lit("年"), F.when(left % 12 > 0, F.concat((left % 12).cast("string"), F.lit("ヶ月"))).otherwise(""))
-    head, rest = F.substring_index("_cond", "、", 1), F.regexp_replace("_cond", "^[^、]*、", "")
-    said = F.when(left <= 0, F.col("_cond")).when(F.col("_cond").contains("、"), F.concat_ws("、", head, span, rest)).when(F.col("_cond") != "", F.concat_ws("、", "_cond", span)).otherwise(span)
-    endless = majority_by_site(mine.join(ends.select(key), key, "left_anti"), [key], text, site, order=order).select(key, F.col(text).alias("tenure"))
-    return owned.unionByName(agreed.select(key, said.alias("tenure"))).unionByName(endless)
+    head, rest = F.substring_index("_said", "、", 1), F.regexp_replace("_said", "^[^、]*、", "")
+    told = F.when(left <= 0, c("_said")).when(c("_said").contains("、"), F.concat_ws("、", head, span, rest)).when(c("_said") != "", F.concat_ws("、", "_said", span)).otherwise(span)
+    return agreed.select(key, F.when(c("_kind") == "所有権", c("_kind")).when(c("_end").isNull(), c("_cond")).otherwise(told).alias("tenure"))
