@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.match import name_similarity, ratio
-from plumbline.runtime import broadcast_checked, stage, unstage
-
-#: Guards the ceilings and the limits below against the rounding of decimal fractions.
-TINY = 1e-9
+from plumbline.operators import ratios
+from plumbline.operators.match import name_similarity
+from plumbline.runtime import broadcast_checked, sized, stage, unstage
 
 
 def _names(df: DataFrame, name: str) -> DataFrame:
@@ -27,59 +27,76 @@ def contained_pairs(inner: DataFrame, outer: DataFrame, inner_name: str, outer_n
     A name is looked up under one of its own pieces of three characters (or all of a shorter name), the one that fewest outer
     names hold; whatever holds the name holds that piece. A piece that no outer name holds ends the search.
     """
-    inside, outside = _names(inner, inner_name), _names(outer, outer_name)
+    inside, outside = stage(_names(inner, inner_name), "inner_names"), stage(_names(outer, outer_name), "outer_names")
     probes = inside.select("s", F.explode(_grams(F.col("s"), F.least(F.char_length("s"), F.lit(3)))).alias("gram"))
     sizes = F.sequence(F.lit(1), F.least(F.char_length("s"), F.lit(3)))
     index = outside.select("s", F.explode(F.flatten(F.transform(sizes, lambda k: _grams(F.col("s"), k)))).alias("gram"))
-    held = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = probes.join(held, "gram", "left").groupBy("s").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).where("r.n > 0")
-    found = rarest.select(F.col("s").alias("inner"), F.col("r.gram").alias("gram")).join(index.withColumnRenamed("s", "outer"), "gram")
+    held = stage(index.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "held")
+    rarest = probes.join(sized(held), "gram", "left").groupBy("s").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).where("r.n > 0")
+    rarest = stage(rarest.select(F.col("s").alias("inner"), F.col("r.gram").alias("gram")), "rarest")
+    # pieces that nothing is looked up under are left out before rows are brought together
+    asked = index.join(sized(rarest.select("gram").distinct()), "gram", "left_semi").withColumnRenamed("s", "outer")
+    found = asked.join(sized(rarest), "gram")
     return found.where(F.col("outer").contains(F.col("inner"))).select("inner", "outer")
 
 
-def _bags(names: DataFrame, order: DataFrame, least: float) -> DataFrame:
-    """(s, bag, size, head): characters with their number of occurrence, rarest first, and the part that a close name must meet.
+#: Names of a block are compared in parts of about so many, every two of them in one place; places are dealt over tasks.
+PART, TASK = 8192, 40_000_000
 
-    Ratcliff and Obershelp's ratio is twice the matched characters over both lengths, and matched characters are common to
-    both bags. For a ratio of ``least`` a name of n characters so shares at least ``least`` / 2 * (n + m) with one of m, and m
-    is at least n * least / (2 - least). All but that many of its characters, and one more, meet the other name's.
-    """
-    letters = names.select("s", F.explode(_occurrences(F.col("s"))).alias("c")).join(broadcast_checked(order), "c")
-    size = F.char_length("s")
-    other = F.ceil(size * (least / (2 - least)) - TINY)
-    needed = F.ceil((size + other) * (least / 2) - TINY)
-    bags = letters.groupBy("s").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "c"))), lambda x: x["c"]).alias("bag"))
-    return bags.select("s", "bag", size.alias("size"), F.slice("bag", F.lit(1), (size - needed + 1).cast("int")).alias("head"))
 
+def _compared(blocks: list[str], least: float, ordered: bool):
+    """Pairs of one part of a block's names with another: (blocks, left, right, ratio)."""
 
-def _occurrences(s: Column) -> Column:
-    """Each character with the number of times that it occurred before: the multiset as a set."""
-    chars = F.split(s, "")
-    return F.transform(F.sequence(F.lit(1), F.size(chars)), lambda i: F.concat(F.element_at(chars, i), F.size(F.filter(F.slice(chars, F.lit(1), i), lambda c: c == F.element_at(chars, i))).cast("string")))
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        one, two = left["l_s"].to_pylist(), right["r_s"].to_pylist()
+        i, j, r = ratios.close(one, two, least, ordered) if one and two else (np.zeros(0, np.int64),) * 3
+        names = pa.chunked_array([*left["l_s"].chunks, *right["r_s"].chunks], left["l_s"].type)
+        first = np.zeros(len(i), np.int64)
+        out = {**{c: left[f"l_{c}"].take(first) for c in blocks}, "left": names.take(i), "right": names.take(j if ordered else j + len(one)), "ratio": r.astype(float)}
+        return pa.table(out)
 
+    return run
 
-def close_candidates(left: DataFrame, right: DataFrame, left_name: str, right_name: str, least: float = 0.6, blocks: list[str] | None = None) -> DataFrame:
-    """(blocks, left, right): different names whose bags of characters allow a ratio of ``least``; none with that ratio is missing.
 
-    Names meet under the characters of their heads, in their block. A pair that meets under several is made at the first of
-    them only. NULL in a block column agrees with nothing.
+def close_names(left: DataFrame, right: DataFrame, left_name: str, right_name: str, least: float = 0.6, blocks: list[str] | None = None, ordered: bool = False) -> DataFrame:
+    """(blocks, left, right, ratio): names of one block with a Ratcliff-Obershelp ratio of ``least`` and more, exactly.
+
+    ``ordered``: the names of one table, pairs left < right. A block is dealt into parts, so that one of any size is in many
+    tasks and pairs without that ratio are in no shuffle. NULL in a block column agrees with nothing.
     """
     blocks = blocks or []
-    rows = lambda df, name: df.select(*blocks, F.col(name).alias("s")).where("s <> ''").distinct()
-    one, two = rows(left, left_name), rows(right, right_name)
-    names = one.select("s").unionByName(two.select("s")).distinct()
-    order = stage(names.select(F.explode(_occurrences(F.col("s"))).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")), "letters")
-    bags = stage(_bags(names, order, least), "bags")
-    side = lambda df, tag: df.join(bags, "s").select(*blocks, *(F.col(c).alias(f"{tag}_{c}") for c in ("s", "bag", "size", "head")), F.explode("head").alias("c"))
-    a, b = side(one, "a"), side(two, "b")
-    met = a.join(b, [*blocks, "c"]).where((F.least("a_size", "b_size") * 2 + TINY >= (F.col("a_size") + F.col("b_size")) * least) & (F.get(F.array_intersect("a_head", "b_head"), F.lit(0)) == F.col("c")))
-    common = F.size(F.array_intersect("a_bag", "b_bag")) * 2 + TINY >= (F.col("a_size") + F.col("b_size")) * least
-    return met.where(common).select(*blocks, F.col("a_s").alias("left"), F.col("b_s").alias("right"))
+    spark = left.sparkSession
+    known = " AND ".join(["s <> ''", *(f"`{c}` IS NOT NULL" for c in blocks)])
+    # one key column at least: without blocks all names are in one
+    rows = lambda df, name: stage(df.select(*blocks, F.col(name).alias("s")).where(known).distinct(), "different_names")
+    one = rows(left, left_name)
+    two = one if ordered else rows(right, right_name)
+    n_of = lambda df, n: df.groupBy(*blocks).agg(F.count(F.lit(1)).alias(n))
+    a, b = n_of(one, "_a"), n_of(two, "_b")
+    sizes = a.join(b, blocks) if blocks else a.crossJoin(b)
+    sizes = stage(sizes.withColumns({"_pairs": F.col("_a").cast("double") * F.col("_b"), "_a": F.ceil(F.col("_a") / PART), "_b": F.ceil(F.col("_b") / PART)}), "sizes")
+    tasks, shuffled = sizes.agg(F.sum("_pairs"), F.sum(F.col("_a") * F.col("_b"))).first()
+    n = int(min(20_000, max(1, min((tasks or 0) // TASK + 1, shuffled or 1))))
+    sizes = broadcast_checked(sizes)
+    part = lambda df, own: (df.join(sizes, blocks) if blocks else df.crossJoin(sizes)).withColumn(own, F.pmod(F.xxhash64("s"), F.col(f"_n{own}")).cast("int"))
+    sizes = sizes.withColumnsRenamed({"_a": "_n_i", "_b": "_n_j"})
+    other = lambda first, last: F.explode(F.sequence(first, last.cast("int")))
+    x = part(one, "_i").withColumn("_j", other(F.col("_i") if ordered else F.lit(0), F.col("_n_j") - 1))
+    y = part(two, "_j").withColumn("_i", other(F.lit(0), F.col("_j") if ordered else F.col("_n_i") - 1))
+    keys = [*blocks, "_i", "_j"]
+    schema = one.select(*blocks, F.col("s").alias("left"), F.col("s").alias("right"), F.lit(0.0).alias("ratio")).schema
+    dealt = lambda df, tag: df.select(*(F.col(c).alias(f"{tag}{c}") for c in (*keys, "s"))).repartition(n, *(f"{tag}{c}" for c in keys)).groupBy(*(f"{tag}{c}" for c in keys))
+    return dealt(x, "l_").cogroup(dealt(y, "r_")).applyInArrow(_compared(blocks, least, ordered), schema)
+
+
+def close_candidates(left: DataFrame, right: DataFrame, left_name: str, right_name: str, least: float = 0.6, blocks: list[str] | None = None) -> DataFrame:
+    """(blocks, left, right) of ``close_names``: none with a ratio of ``least`` is missing, and no other is told."""
+    return close_names(left, right, left_name, right_name, least, blocks).drop("ratio")
 
 
 def close_pairs(left: DataFrame, right: DataFrame, left_name: str, right_name: str, least: float = 0.6) -> DataFrame:
     """(left, right, ratio): different names of two tables with a Ratcliff-Obershelp ratio of ``least`` and more, exactly."""
-    return close_candidates(left, right, left_name, right_name, least).withColumn("ratio", ratio("left", "right")).where(F.col("ratio") >= least)
+    return close_names(left, right, left_name, right_name, least)
 
 
 def alias_scores(wanted: DataFrame, aliases: DataFrame, key: str, name: str, alias_name: str = "canonical_name", count: str = "occurrence_count", owner: str = "building_id", ambiguous: str | None = None) -> DataFrame:
@@ -92,10 +109,10 @@ def alias_scores(wanted: DataFrame, aliases: DataFrame, key: str, name: str, ali
     """
     held = aliases.where(F.col(alias_name) != "").groupBy(F.col(owner).alias("_owner"), F.col(alias_name).alias("_alias")).agg(F.sum(count).alias("_n"))
     held = stage(held, "aliases")
-    of_owner = held.groupBy("_owner").agg(F.sum("_n").alias("_own"))
-    of_alias = held.groupBy("_alias").agg(F.sum("_n").alias("_every"))
+    of_owner = stage(held.groupBy("_owner").agg(F.sum("_n").alias("_own")), "of_owner")
+    of_alias = stage(held.groupBy("_alias").agg(F.sum("_n").alias("_every")), "of_alias")
     unsure = F.lit(False) if ambiguous is None else F.coalesce(ambiguous, F.lit(False))
-    asked = wanted.select(key, F.col(name).alias("_asked"), unsure.alias("_unsure"))
+    asked = stage(wanted.select(key, F.col(name).alias("_asked"), unsure.alias("_unsure")), "asked")
     inside = contained_pairs(asked, held, "_asked", "_alias").select(F.col("inner").alias("_asked"), F.col("outer").alias("_alias"))
     around = contained_pairs(held, asked, "_alias", "_asked").select(F.col("outer").alias("_asked"), F.col("inner").alias("_alias"))
     close = close_pairs(asked, held, "_asked", "_alias").select(F.col("left").alias("_asked"), F.col("right").alias("_alias"), "ratio")
@@ -106,8 +123,9 @@ def alias_scores(wanted: DataFrame, aliases: DataFrame, key: str, name: str, ali
     text = F.when(q == n, 100.0).when(q.startswith(n) | n.startswith(q), 80 + 15 * r).when(q.contains(n) | n.contains(q), 50 + 25 * r).otherwise(60 * F.col("_ratio"))
     factor = (F.col("_n") / F.col("_own") + F.col("_n") / F.col("_every")) / 2
     score = lambda exact: F.max(F.when(q == n, exact).otherwise(F.col("_text") * factor))
-    scored = held.join(of_owner, "_owner").join(of_alias, "_alias").join(pairs.withColumn("_text", text), "_alias").groupBy("_asked", F.col("_owner").alias(owner)).agg(score(100 * (1 + factor) / 2).alias("_sure"), score(95 * factor).alias("_unsure_score"))
-    return asked.join(scored, "_asked").groupBy(key, owner).agg(F.max(F.when(F.col("_unsure"), F.col("_unsure_score")).otherwise(F.col("_sure"))).alias("score"))
+    known = held.join(sized(of_owner), "_owner").join(sized(of_alias), "_alias").hint("merge")
+    scored = known.join(pairs.withColumn("_text", text), "_alias").groupBy("_asked", F.col("_owner").alias(owner)).agg(score(100 * (1 + factor) / 2).alias("_sure"), score(95 * factor).alias("_unsure_score"))
+    return asked.join(scored.hint("merge"), "_asked").groupBy(key, owner).agg(F.max(F.when(F.col("_unsure"), F.col("_unsure_score")).otherwise(F.col("_sure"))).alias("score"))
 
 
 def similar_classes(df: DataFrame, name: str, blocks: list[str], least: float = 0.6) -> DataFrame:
@@ -138,10 +156,9 @@ def group_by_seed(df: DataFrame, block: str, key: str, name: str, least: float)
     rows = df.select(F.col(block).alias("_block"), F.col(key).alias("key"), F.coalesce(F.col(name), F.lit("")).alias("s"))
     rows = rows.withColumn("block", F.coalesce(F.concat(F.lit("="), F.col("_block").cast("string")), F.lit("")))
     classes = stage(rows.groupBy("block", "s").agg(F.min("key").alias("k")), "seed_classes")
-    found = close_candidates(classes, classes, "s", "s", least, ["block"])
-    keyed = found.join(classes.select("block", F.col("s").alias("left"), F.col("k").alias("later")), ["block", "left"]).join(classes.select("block", F.col("s").alias("right"), F.col("k").alias("earlier")), ["block", "right"]).where("later > earlier")
-    near = keyed.select("left", "right").distinct().withColumn("ratio", ratio("left", "right")).where(F.col("ratio") >= least)
-    edges = stage(keyed.join(near, ["left", "right"]).select("block", "later", "earlier"), "seed_edges")
+    found = close_names(classes, classes, "s", "s", least, ["block"])
+    keyed = found.join(classes.select("block", F.col("s").alias("left"), F.col("k").alias("later")), ["block", "left"]).join(classes.select("block", F.col("s").alias("right"), F.col("k").alias("earlier")), ["block", "right"])
+    edges = stage(keyed.where("later > earlier").select("block", "later", "earlier"), "seed_edges")
     # seed: NULL while open, else whether the row is one
     state = stage(classes.select("block", F.col("k").alias("node"), F.lit(None).cast("boolean").alias("seed")), "seed_state")
     while state.where("seed IS NULL").limit(1).count():

@@ -55,6 +55,11 @@ def broadcast_checked(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def sized(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """As ``broadcast_checked``, but a larger ``df`` is merged: estimated from compressed files and without what ``explode`` adds, it may be broadcast else."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df.hint("merge")
+
+
 def null_safe(left: DataFrame, right: DataFrame, names: list[str]):
     """Equality of the named columns in which NULL equals NULL."""
     cond = None
