@@ -47,10 +47,13 @@ def shared_prefix(a: Column, b: Column) -> Column:
     return F.when(n > 0, F.size(F.filter(F.sequence(F.lit(1), n), lambda i: F.slice(a, F.lit(1), i) == F.slice(b, F.lit(1), i)))).otherwise(0)
 
 
-def name_similarity(a: Column, b: Column) -> Column:
-    """Names as tokens: 1 if equal; without a shared first token their ratio; else 0.65 at most if one goes on, 0.6 if both go on differently, 0.95 if only blanks differ."""
+def name_similarity(a: Column, b: Column, known: Column | None = None) -> Column:
+    """Names as tokens: 1 if equal; without a shared first token their ratio; else 0.65 at most if one goes on, 0.6 if both go on differently, 0.95 if only blanks differ.
+
+    ``known``: their ratio, where it was found before.
+    """
     x, y = F.split(a, r"\s+"), F.split(b, r"\s+")
-    p, r = shared_prefix(x, y), ratio(a, b)
+    p, r = shared_prefix(x, y), ratio(a, b) if known is None else known
     return (
         F.when(a == b, 1.0).when(p == 0, r).when((p < F.size(x)) & (p < F.size(y)), F.least(r, F.lit(0.6))).when((p < F.size(x)) | (p < F.size(y)), F.least(r, F.lit(0.65))).otherwise(0.95)
     )

@@ -132,16 +132,17 @@ def similar_classes(df: DataFrame, name: str, blocks: list[str], least: float =
     """(blocks, a, b, similarity): pairs a < b of different names of a block with a name similarity of ``least`` and more.
 
     Rows with the same block and name are one class, so a block grows with its different names. The similarity is that of
-    ``match.name_similarity``, which only exceeds the ratio where names differ in blanks alone: those meet by their words. Each
-    pair of different names is compared once, in however many blocks it occurs. NULL names are in no class.
+    ``match.name_similarity``, which only exceeds the ratio where names differ in blanks alone: those meet by their words.
+    NULL names are in no class.
     """
-    classes = df.select(*blocks, F.col(name).alias("s")).where("s <> ''").distinct()
-    close = close_candidates(classes, classes, "s", "s", least, blocks).where("left < right")
-    words = lambda tag: classes.select(*blocks, F.col("s").alias(tag), F.array_join(F.split("s", r"\s+"), " ").alias("w"))
-    blank = words("left").join(words("right"), [*blocks, "w"]).where("left < right").drop("w")
-    pairs = stage(close.unionByName(blank).distinct(), "near_names")
-    scored = pairs.select("left", "right").distinct().withColumn("similarity", name_similarity(F.col("left"), F.col("right"))).where(F.col("similarity") >= least)
-    return pairs.join(scored, ["left", "right"]).select(*blocks, F.col("left").alias("a"), F.col("right").alias("b"), "similarity")
+    classes = stage(df.select(*blocks, F.col(name).alias("s")).where("s <> ''").distinct(), "different_names")
+    close = close_names(classes, classes, "s", "s", least, blocks, ordered=True)
+    worded = lambda c: F.array_join(F.split(c, r"\s+"), " ")
+    words = lambda tag: classes.select(*blocks, F.col("s").alias(tag), worded(F.col("s")).alias("w"))
+    blank = words("left").join(words("right").hint("merge"), [*blocks, "w"]).where("left < right").drop("w").withColumn("ratio", F.lit(0.0))
+    pairs = close.where(worded(F.col("left")) != worded(F.col("right"))).unionByName(blank)
+    scored = pairs.withColumn("similarity", name_similarity(F.col("left"), F.col("right"), F.col("ratio"))).where(F.col("similarity") >= least)
+    return scored.select(*blocks, F.col("left").alias("a"), F.col("right").alias("b"), "similarity")
 
 
 def group_by_seed(df: DataFrame, block: str, key: str, name: str, least: float) -> DataFrame:

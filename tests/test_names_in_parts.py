@@ -17,6 +17,8 @@ def test_only_pairs_with_the_ratio_are_told(spark, monkeypatch):
     want = [(a, b) for a in names for b in names if difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.7]
     assert sorted((r["left"], r["right"]) for r in got.collect()) == sorted(want)
     assert sum(1 for n in got.rdd.glom().map(len).collect() if n) > 4
+    pairs = similar.similar_classes(df, "n", ["k"], 0.7).collect()
+    assert sorted((r["a"], r["b"]) for r in pairs) == sorted((a, b) for a, b in want if a < b)
 
 
 def test_pieces_of_names_are_not_broadcast(spark, tmp_path, monkeypatch):
