@@ -334,12 +334,16 @@ def block_pairs(df: DataFrame, key: str, blocks: list[str], near: dict[str, floa
     The first ``near`` column is cut into cells as wide as its tolerance, and each row meets its own and the neighbouring
     cells only, so a block with very many rows is not compared with itself as a whole.
     """
-    near = near or {}
-    a, b = df.select([F.col(c).alias(f"a_{c}") for c in df.columns]), df.select([F.col(c).alias(f"b_{c}") for c in df.columns])
-    cond = F.col(f"a_{key}") < F.col(f"b_{key}")
+    a, b = classes.side(df, "a"), classes.side(df, "b")
+    return _met(a, b, blocks, near).where(F.col(f"a_{key}") < F.col(f"b_{key}"))
+
+
+def _met(a: DataFrame, b: DataFrame, blocks: list[str], near: dict[str, float] | None) -> DataFrame:
+    """The sides a and b joined where they agree on all ``blocks`` and lie within ``near``."""
+    cond = F.lit(True)
     for c in blocks:
         cond = cond & (F.col(f"a_{c}") == F.col(f"b_{c}"))
-    for k, (c, tolerance) in enumerate(near.items()):
+    for k, (c, tolerance) in enumerate((near or {}).items()):
         if k == 0:
             cell = lambda side: F.floor(F.col(f"{side}_{c}") / tolerance)  # noqa: B023, E731
             a = a.withColumn("_cell", cell("a"))
@@ -349,6 +353,27 @@ def block_pairs(df: DataFrame, key: str, blocks: list[str], near: dict[str, floa
     return a.join(b, cond).drop("_cell", "_cell_b")
 
 
+def class_pairs(df: DataFrame, key: str, blocks: list[str], near: dict[str, float] | None = None, hit: Column | None = None, both: bool = False, **scores: Column) -> DataFrame:
+    """(a, b, scores): the pairs of ``block_pairs``, ``both``: in both orders, for which ``hit`` holds.
+
+    ``hit`` and scores are made of a_ and b_ columns of ``df`` without its key. Rows equal in all but the key are one class:
+    classes are compared, and pairs of rows told out at the end. Where most rows are a class of their own they are compared.
+    """
+    hit = F.lit(True) if hit is None else hit
+    order = lambda a, b: F.col(a) != F.col(b) if both else F.col(a) < F.col(b)
+    rows = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (key, *blocks)))
+    by = [c for c in df.columns if c != key]
+    found = classes.found(rows, by)
+    several = found.agg((F.sum("n") >= 2 * F.count(F.lit(1))).alias("several")).first()["several"]
+    named = [c.alias(k) for k, c in scores.items()]
+    if not several:
+        met = _met(classes.side(rows, "a"), classes.side(rows, "b"), blocks, near)
+        return met.where(hit & order(f"a_{key}", f"b_{key}")).select(F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b"), *named)
+    met = _met(classes.side(found, "a"), classes.side(found, "b"), blocks, near).where(hit)
+    members = classes.parts(rows, key, by, found)
+    return classes.told(met.select("a_class", "a_n", "b_class", "b_n", *named), members, members, list(scores), order("a", "b"))
+
+
 def without_excluded(pairs: DataFrame, excluded: DataFrame, left: str, right: str, first: str, second: str) -> DataFrame:
     """Pairs but those that were ruled out, in either order."""
     out = excluded.select(F.least(first, second).alias("_x"), F.greatest(first, second).alias("_y")).distinct()
